@@ -8,14 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, wavelet
-from .common import shared_path
+from . import bpe, mixing, quality, secrets, simhash, wavelet
+from .common import shared_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(secrets.scan(docs, secrets.train(secrets.samples(docs))))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(mixing.counted(table(spark, sf_dir, "documents")), "mixing")
+    mixed, _ = mixing.mix(rows, target_entropy=0.97, most_epochs=4.0, budget=1.0)
+    return mixed.select("doc_id", "source", "n_tokens", "epoch", "block", "slot", "weight")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -35,5 +46,5 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_token_ids, op6_fingerprints, op7_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op6_fingerprints, op7_byte_bpe)}
 ORACLES: dict[str, str] = {}
