@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, secrets, simhash, wavelet
+from . import bpe, mixing, pii, quality, secrets, simhash, wavelet
 from .common import shared_path, written
 
 
@@ -38,6 +38,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.directory(wavelet.write(shards, shared_path(spark, "wavelet")))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
@@ -46,5 +50,5 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op6_fingerprints, op7_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe)}
 ORACLES: dict[str, str] = {}
