@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
