@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MULT, U64, Block, blocks, bucket_of, buckets, grams, mix, narrow, pack, pack_sorted, ranges, span_hash, unpack, unpack_sorted, written
+from .common import LOWER, MULT, U64, Block, blocks, bucket_of, buckets, grams, mix, pack, pack_sorted, ranges, span_hash, unpack, unpack_sorted, written
 from .components import components
 
 #: Signatures that a task gathers before it hands them on.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, partenum, pii, quality, secrets, simhash, wavelet
+from . import bpe, interpolation, mixing, partenum, pii, quality, secrets, simhash, wavelet
 from .common import shared_path, written
 
 
@@ -50,9 +50,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe, op9_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe, op8_lm_score, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
