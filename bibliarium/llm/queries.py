@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, interpolation, mixing, partenum, pii, quality, secrets, simhash, wavelet
+from . import bpe, interpolation, mixing, partenum, pii, quality, secrets, simhash, suffix_dedup, wavelet
 from .common import shared_path, written
 
 
@@ -58,5 +58,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe, op8_lm_score, op9_jaccard_join)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), window=200, with_text=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe, op8_lm_score, op9_jaccard_join, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
