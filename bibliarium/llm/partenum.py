@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, MULT, U64, Block, blocks, bucket_of, buckets, grams, mix, pack, pack_sorted, ranges, span_hash, unpack, unpack_sorted, written
@@ -280,3 +280,19 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     out = own.join(result, ["h1", "h2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each component: the one whose id is the component's (of rows that repeat that id, the first by text).
+
+    Documents without a set, or without an id, stay. The columns are those of docs.
+    """
+    names = docs.columns
+    found = written(join(docs, n, percent, id_col, text_col), "components")
+    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
+    left = docs.join(drop, F.col(id_col).cast("bigint") == F.col("_drop"), "left_anti")
+    again = found.where("n_shingles > 0 AND component_id = doc_id").groupBy("doc_id").count().where("count > 1")
+    if not again.isEmpty():
+        order = Window.partitionBy(id_col).orderBy(F.col(text_col).isNull(), text_col)
+        left = left.withColumn("_row", F.row_number().over(order)).where(F.col(id_col).isNull() | (F.col("_row") == 1) | F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    return left.select(*(f"`{c}`" for c in names))

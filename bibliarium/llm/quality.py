@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, MULT, SPACE, U64, blocks, gram_bounds, grams, mix, ranges, repeated, span_hash
+from .common import BYTE, MULT, SPACE, Block, blocks, gram_bounds, grams, mix, ranges, repeated, slices, span_hash
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -33,48 +33,53 @@ FEATURES = [("log_words", 0), ("word_length", 0), ("symbol_rate", -1), ("dup_lin
 SCHEMA = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
 
+def count(b: Block) -> list[np.ndarray]:
+    """COUNTS of each document of a block."""
+    start, end, first = b.words()
+    n = len(b)
+    prefix = b.prefix(BYTE)
+    h = span_hash(prefix, start, end)
+    doc = np.repeat(np.arange(n), np.diff(first)).astype(np.uint64)
+    space = SPACE[b.data]
+    at, of = ranges(*gram_bounds(first, 3))
+    g = grams(h, 3)[at] if len(at) else np.zeros(0, np.uint64)
+    hit = at[repeated(mix(g + of.astype(np.uint64) * MULT[62]))]
+    covered = np.zeros(len(h) + 2, bool)
+    for k in range(3):
+        covered[hit + k] = True
+    total = np.zeros(len(h) + 1, np.int64)
+    np.cumsum(covered[: len(h)], out=total[1:])
+    distinct = np.unique(mix(h + doc * MULT[61]), return_index=True)[1]
+    # lines: the documents' edges and the newlines cut the bytes
+    newline = np.flatnonzero(b.data == 10)
+    owner = np.searchsorted(b.offs, newline, side="right") - 1
+    begin = np.concatenate([b.offs[:-1], newline + 1])
+    whose = np.concatenate([np.arange(n), owner])
+    by = np.lexsort((begin, whose))
+    begin, whose = begin[by], whose[by]
+    stop = np.empty_like(begin)
+    if len(begin):
+        stop[:-1] = begin[1:] - 1
+        stop[-1] = b.offs[-1]
+        last = np.append(whose[1:] != whose[:-1], True)
+        stop[last] = b.offs[1:][whose[last]]
+    solid = np.zeros(len(b.data) + 1, np.int64)
+    np.cumsum(~space, out=solid[1:])
+    full = solid[stop] > solid[begin]
+    begin, stop, whose = begin[full], stop[full], whose[full]
+    line = mix(span_hash(prefix, begin, stop) + whose.astype(np.uint64) * MULT[60])
+    _, seen = np.unique(line, return_index=True)
+    again = np.ones(len(line), bool)
+    again[seen] = False
+    lead = (b.data & 0xC0) != 0x80
+    return [x.astype(np.int64) for x in (
+        np.diff(first), b.per_doc(lead & ~space), b.per_doc(SYMBOL[b.data]), np.bincount(whose[again], minlength=n), np.diff(total[first]),
+        b.per_doc(lead), b.per_doc(UPPER[b.data]), b.per_doc(DIGIT[b.data]), b.per_doc(PUNCT[b.data]), np.bincount(doc[distinct].astype(np.int64), minlength=n), np.bincount(whose, minlength=n))]
+
+
 def _counts(batches):
     for b in blocks(batches):
-        start, end, first = b.words()
-        n = len(b)
-        prefix = b.prefix(BYTE)
-        h = span_hash(prefix, start, end)
-        doc = np.repeat(np.arange(n), np.diff(first)).astype(np.uint64)
-        space = SPACE[b.data]
-        at, of = ranges(*gram_bounds(first, 3))
-        g = grams(h, 3)[at] if len(at) else np.zeros(0, np.uint64)
-        hit = at[repeated(mix(g + of.astype(np.uint64) * MULT[62]))]
-        covered = np.zeros(len(h) + 2, bool)
-        for k in range(3):
-            covered[hit + k] = True
-        total = np.zeros(len(h) + 1, np.int64)
-        np.cumsum(covered[: len(h)], out=total[1:])
-        distinct = np.unique(mix(h + doc * MULT[61]), return_index=True)[1]
-        # lines: the documents' edges and the newlines cut the bytes
-        newline = np.flatnonzero(b.data == 10)
-        owner = np.searchsorted(b.offs, newline, side="right") - 1
-        begin = np.concatenate([b.offs[:-1], newline + 1])
-        whose = np.concatenate([np.arange(n), owner])
-        by = np.lexsort((begin, whose))
-        begin, whose = begin[by], whose[by]
-        stop = np.empty_like(begin)
-        if len(begin):
-            stop[:-1] = begin[1:] - 1
-            stop[-1] = b.offs[-1]
-            last = np.append(whose[1:] != whose[:-1], True)
-            stop[last] = b.offs[1:][whose[last]]
-        solid = np.zeros(len(b.data) + 1, np.int64)
-        np.cumsum(~space, out=solid[1:])
-        full = solid[stop] > solid[begin]
-        begin, stop, whose = begin[full], stop[full], whose[full]
-        line = mix(span_hash(prefix, begin, stop) + whose.astype(np.uint64) * MULT[60])
-        _, seen = np.unique(line, return_index=True)
-        again = np.ones(len(line), bool)
-        again[seen] = False
-        lead = (b.data & 0xC0) != 0x80
-        yield pa.record_batch([b.ids, *(pa.array(x.astype(np.int64)) for x in (
-            np.diff(first), b.per_doc(lead & ~space), b.per_doc(SYMBOL[b.data]), np.bincount(whose[again], minlength=n), np.diff(total[first]),
-            b.per_doc(lead), b.per_doc(UPPER[b.data]), b.per_doc(DIGIT[b.data]), b.per_doc(PUNCT[b.data]), np.bincount(doc[distinct].astype(np.int64), minlength=n), np.bincount(whose, minlength=n)))], ["doc_id", *COUNTS])
+        yield pa.record_batch([b.ids, *map(pa.array, count(b))], ["doc_id", *COUNTS])
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,14 +180,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     return fit(matrix({c: rows[c] for c in COUNTS}), rows["_y"].to_numpy(float), [s for _, s in FEATURES], **how)
 
 
+def verdict(c: dict[str, np.ndarray], model: Trees, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, probability and kept, from columns of counts."""
+    failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+    p = model.predict(matrix(c))
+    return failed, p, ~failed & (p >= threshold)
+
+
+def keep(docs: DataFrame, model: Trees, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    names = docs.columns
+    rest = [F.col(f"`{c}`") for c in names if c != text_col]
+
+    def run(batches):
+        for piece in slices(batches):
+            c = dict(zip(COUNTS, count(Block(piece))))
+            yield piece.filter(pa.array(verdict(c, model, threshold)[2])).drop_columns(["_first"])
+
+    laid = docs.select(F.lit(0).alias("_first"), F.col(f"`{text_col}`"), *rest)
+    return laid.mapInArrow(run, laid.drop("_first").schema).select(*(f"`{c}`" for c in names))
+
+
 def judge(counts: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
     """Adds base_failed, probability and kept to what features() gives."""
 
     def score(batches):
         for b in batches:
             c = {k: b.column(k).to_numpy() for k in COUNTS}
-            failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-            p = model.predict(matrix(c))
-            yield pa.record_batch([*b.columns, pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], [*b.schema.names, "base_failed", "probability", "kept"])
+            yield pa.record_batch([*b.columns, *map(pa.array, verdict(c, model, threshold))], [*b.schema.names, "base_failed", "probability", "kept"])
 
     return counts.mapInArrow(score, f"{SCHEMA}, base_failed boolean, probability double, kept boolean")

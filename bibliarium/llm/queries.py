@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,5 +63,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), window=200, with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe, op8_lm_score, op9_jaccard_join, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe, op8_lm_score, op9_jaccard_join, op10_suffix_dedup)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
