@@ -142,7 +142,7 @@ def contains_ci(c: Column, text: str) -> Column:
 
 def label_count(c: Column) -> Column:
     """A count for people: thousands as K, millions as M."""
-    return F.when(c >= 1_000_000, F.concat(F.format_number(c / 1_000_000, "0.0"), F.lit("M"))).when(c >= 1000, F.concat(F.format_number(c / 1000, "0.0"), F.lit("K"))).otherwise(c.cast("string"))
+    return F.when(c >= 1_000_000, F.concat(F.format_string("%.1f", c / 1_000_000), F.lit("M"))).when(c >= 1000, F.concat(F.format_string("%.1f", c / 1000), F.lit("K"))).otherwise(c.cast("string"))
 
 
 def shortened(c: Column, most: int) -> Column:

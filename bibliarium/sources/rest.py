@@ -81,8 +81,10 @@ class Reader(DataSourceReader):
                 time.sleep(self.wait * attempt)
         return None
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        c, left, place = self.catalogue, partition.most, partition.number
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark hands out where there are no partitions
+            return
+        c, left = self.catalogue, partition.most
         mark: object = "*" if c.cursor else partition.number
         pos = 0 if c.cursor else (partition.number - c.first) * c.size
         while left > 0 and mark:
@@ -100,7 +102,6 @@ class Reader(DataSourceReader):
                 pos += 1
             left -= len(hits)
             mark = answer.get("meta", {}).get("next_cursor") if c.cursor else None
-            place += 1
 
 
 class CatalogueSource(DataSource):

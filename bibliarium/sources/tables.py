@@ -19,7 +19,7 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(conf)
 
     def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_CURRENT"
+        return f"{self.root}/{table}/CURRENT"
 
     def _folder(self, table: str) -> str | None:
         if not self._fs.exists(self._path(self._pointer(table))):
