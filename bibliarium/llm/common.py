@@ -126,6 +126,14 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), of
 
 
+def flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All integers of the ranges that begin at lo and have n members, end to end."""
+    at = np.cumsum(n)
+    out = np.repeat(lo - at + n, n)
+    out += np.arange(len(out))
+    return out
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
     order = np.argsort(keys, kind="stable")
@@ -215,11 +223,22 @@ def _drop_all() -> None:
             return
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor costs no recomputation of it."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: its lineage is cut, and a lost executor costs no recomputation of it.
+
+    The shuffle files that made it are of no use then, and go when the write ends.
+    """
+    spark = df.sparkSession
+    path, before = shared_path(spark, what), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def buckets(spark: SparkSession) -> int:
