@@ -3,8 +3,8 @@
 Every window has an anchor, the first of its least-hashed 16-byte grams, which its own bytes determine; neighbouring
 windows with one anchor form a segment. Equal windows have equal anchors, so only segments whose anchor's gram occurs
 again can hold repeats. Buckets of gram hashes find those. Equal segments repeat as a whole and are told so at once;
-where one gram has different segments, each different segment is sent once, and a shard joins what it gets into one
-text, builds its suffix array by induced sorting, and finds by permuted common prefixes which windows repeat.
+where different segments of one gram share a side of it too (a window holds half of what it has besides the gram on one
+side or the other), each different segment is sent once, and a shard joins what it gets into one text, builds its suffix array by induced sorting, and finds by permuted common prefixes which windows repeat.
 
 A gram with over HOT different segments (as at the edge of a passage that a third of all documents share) would make one
 shard as large as the corpus; its windows are told apart by their hashes instead, which are dealt and pre-aggregated
@@ -24,14 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, MULT, U64, blocks, bucket_of, buckets, flat, mix, narrow, pack, pack_sorted, powers, span_hash, unpack, unpack_sorted, written
+from .common import BYTE, MULT, U64, blocks, bucket_of, buckets, flat, mix, narrow, pack, pack_sorted, powers, repeated, span_hash, unpack, unpack_sorted, written
 from .exchange import pieces, text_columns
 from .suffix import common_prefixes, suffix_array
 
 GRAM = 16
 #: Different segments of one gram that a shard takes.
 HOT = 2000
-PIECE_SCHEMA = "ids binary, has_id binary, lengths binary, text binary, start binary, windows binary, rank binary, grams binary, segments binary, twice binary"
+PIECE_SCHEMA = "ids binary, has_id binary, lengths binary, text binary, start binary, windows binary, rank binary, grams binary, segments binary, twice binary, left binary, right binary"
+#: Bytes of text that one suffix array is built over; the segments of one gram stay together, however long.
+SHARD_BYTES = 1 << 20
 #: What a bucket tells of a segment: it repeats as a whole; its windows are to be asked of a shard; of the buckets of windows.
 REPEATS, SEND, SPREAD = 1, 2, 4
 
@@ -60,13 +62,18 @@ def _anchors(prefix: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndar
 
 def _piece(window: int):
     def make(batches: list[pa.RecordBatch]) -> dict:
-        start, windows, grams, segments, lengths, texts, at = [], [], [], [], [], [], 0
+        start, windows, grams, segments, lengths, texts, sides, at = [], [], [], [], [], [], ([], []), 0
+        side = (window - GRAM) // 2
         for b in blocks(iter(batches)):
             prefix = b.prefix(BYTE)
             s, w, a = _anchors(prefix, b.offs, window)
             start.append(s + at), windows.append(w)
-            grams.append(span_hash(prefix, a, a + GRAM))
+            grams.append(mix(span_hash(prefix, a, a + GRAM) + MULT[6]))  # anchors have low hashes; these are even
             segments.append(mix(span_hash(prefix, s, s + w + window - 1) + (a - s).astype(np.uint64) * MULT[5]))
+            for k, (lo, has) in enumerate(((a - side, a - s >= side), (a + GRAM, s + w + window - 1 - a - GRAM >= side))):
+                h = mix(segments[-1] + MULT[7])  # of what has no such side: like nothing else
+                h[has] = span_hash(prefix, lo[has], lo[has] + side)
+                sides[k].append(h)
             lengths.append(np.diff(b.offs)), texts.append(b.data)
             at += len(b.data)
         ids = pa.chunked_array([b.column(0) for b in batches])
@@ -80,6 +87,7 @@ def _piece(window: int):
             "ids": pack(pc.fill_null(ids, 0).to_numpy()), "has_id": pack(pc.is_valid(ids).to_numpy()), "lengths": pack(np.concatenate(lengths)), "text": pack(np.concatenate(texts)),
             "start": pack_sorted(np.concatenate(start).astype(np.uint64)), "windows": pack(narrow(np.concatenate(windows))), "rank": pack(rank.astype(np.uint32)),
             "grams": pack_sorted(g[order][lead]), "segments": pack(s[order][lead]), "twice": pack(np.bincount(rank, minlength=int(lead.sum()))[: int(lead.sum())] > 1),
+            "left": pack(np.concatenate(sides[0])[order][lead]), "right": pack(np.concatenate(sides[1])[order][lead]),
         }
 
     return make
@@ -91,10 +99,10 @@ def _ask(many: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                g, s, twice = unpack_sorted(row["grams"]), unpack(row["segments"]), unpack(row["twice"])
+                g, others = unpack_sorted(row["grams"]), [unpack(row[k]) for k in ("segments", "twice", "left", "right")]
                 edge = bucket_of(g, many)
-                cols = [[pack_sorted(g[a:b]) for a, b in zip(edge, edge[1:])], [pack(s[a:b]) for a, b in zip(edge, edge[1:])], [pack(twice[a:b]) for a, b in zip(edge, edge[1:])]]
-                yield pa.record_batch([pa.array(np.arange(many), pa.int32()), pa.array(np.full(many, row["piece"])), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "piece", "grams", "segments", "twice"])
+                cols = [[pack_sorted(g[a:b]) for a, b in zip(edge, edge[1:])], *([pack(x[a:b]) for a, b in zip(edge, edge[1:])] for x in others)]
+                yield pa.record_batch([pa.array(np.arange(many), pa.int32()), pa.array(np.full(many, row["piece"])), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "piece", "grams", "segments", "twice", "left", "right"])
 
     return run
 
@@ -102,9 +110,10 @@ def _ask(many: int):
 def _tell(t: pa.Table, hot: int) -> pa.Table:
     """What is to be done with each segment of a bucket, for each piece."""
     c = t.sort_by("piece").to_pydict()
-    g, s, twice = [unpack_sorted(x) for x in c["grams"]], [unpack(x) for x in c["segments"]], [unpack(x) for x in c["twice"]]
+    g = [unpack_sorted(x) for x in c["grams"]]
     cut = np.cumsum([len(x) for x in g])[:-1]
-    g, s, twice = np.concatenate(g), np.concatenate(s), np.concatenate(twice)
+    g = np.concatenate(g)
+    s, twice, left, right = (np.concatenate([unpack(x) for x in c[k]]) for k in ("segments", "twice", "left", "right"))
     order = np.lexsort((s, g))  # stable: of equal segments the first piece's comes first
     sg, ss = g[order], s[order]
     new_g = np.append(True, sg[1:] != sg[:-1])[: len(sg)]
@@ -112,10 +121,13 @@ def _tell(t: pa.Table, hot: int) -> pa.Table:
     new_s[1:] |= ss[1:] != ss[:-1]
     which = np.cumsum(new_s) - 1
     often = np.bincount(which) + np.bincount(which, twice[order]).astype(np.int64) if len(which) else np.zeros(0, np.int64)
+    # a window holds one whole side of its anchor, so different segments that share one share a side
+    own = order[new_s]
+    meets = repeated(mix(g[own] * MULT[8] + left[own])) | repeated(mix(g[own] * MULT[9] + right[own]))
+    several = meets[which]
     gram = np.cumsum(new_g) - 1
-    kinds = np.bincount(gram, new_s).astype(np.int64) if len(gram) else np.zeros(0, np.int64)
+    kinds = np.bincount(gram, new_s & several).astype(np.int64) if len(gram) else np.zeros(0, np.int64)
     code = np.where(often[which] > 1, REPEATS, 0)
-    several = kinds[gram] > 1
     spread = several & (kinds[gram] > hot)
     code += np.where(several & ~spread & new_s, SEND, 0) + np.where(spread, SPREAD, 0)
     out = np.empty(len(code), np.uint8)
@@ -160,13 +172,13 @@ def _split(many: int, window: int):
         for k, (a, b) in enumerate(zip(edge, edge[1:])):
             if b > a:
                 seg = go[a:b]
-                rows.append((1, k, pack(data[flat(start[seg], windows[seg] + window - 1)]), pack(narrow(windows[seg])), pack(code[seg] & REPEATS == 0)))
+                rows.append((1, k, pack(data[flat(start[seg], windows[seg] + window - 1)]), pack(narrow(windows[seg])), pack(code[seg] & REPEATS == 0), pack_sorted(grams[rank[seg]])))
         far = np.flatnonzero(code & SPREAD)
         h = _window_hashes(data, start[far], windows[far], window)
         every, n = np.unique(h, return_counts=True)
         edge = bucket_of(every, many)
-        rows += [(2, k, pack_sorted(every[a:b]), pack(n[a:b] > 1), b"") for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([row["piece"]] * len(rows), pa.int64()), *(pa.array([x[k] for x in rows], pa.binary()) for k in (2, 3, 4))], ["kind", "bucket", "piece", "a", "b", "c"])
+        rows += [(2, k, pack_sorted(every[a:b]), pack(n[a:b] > 1), b"", b"") for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([row["piece"]] * len(rows), pa.int64()), *(pa.array([x[k] for x in rows], pa.binary()) for k in (2, 3, 4, 5))], ["kind", "bucket", "piece", "a", "b", "c", "d"])
 
     return run
 
@@ -201,8 +213,20 @@ def _shard(t: pa.Table, window: int) -> pa.Table:
     if kind == 1:
         data, windows, asks = [unpack(x) for x in c["a"]], [unpack(x).astype(np.int64) for x in c["b"]], [unpack(x) for x in c["c"]]
         sizes = np.concatenate(windows) + window - 1
-        flags = repeated_windows(np.concatenate(data), sizes, window)
-        begin, at, told = np.cumsum(sizes) - sizes, 0, []
+        data, grams = np.concatenate(data), np.concatenate([unpack_sorted(x) for x in c["d"]])
+        begin, order = np.cumsum(sizes) - sizes, np.argsort(grams, kind="stable")
+        flags = np.zeros(len(data), bool)
+        # one suffix array at a time, over whole grams
+        fresh = np.append(np.flatnonzero(np.append(True, np.diff(grams[order]) != 0)), len(order))
+        filled = np.append(0, np.cumsum(sizes[order]))[fresh]
+        lo = 0
+        while lo + 1 < len(fresh):
+            hi = max(lo + 1, int(np.searchsorted(filled, filled[lo] + SHARD_BYTES, side="right")) - 1)
+            some = order[fresh[lo] : fresh[hi]]
+            at = flat(begin[some], sizes[some])
+            flags[at] = repeated_windows(data[at], sizes[some], window)
+            lo = hi
+        at, told = 0, []
         for w, a in zip(windows, asks):
             told.append(np.packbits(flags[flat(begin[at : at + len(w)][a], w[a])]).tobytes())
             at += len(w)
@@ -247,7 +271,8 @@ def _finish(many: int, window: int, with_text: bool):
             at = flat(start[far], windows[far])
             hit[at] |= flags[inverse]
         n = len(data)
-        total = np.concatenate([[0], np.cumsum(hit[:n])])
+        total = np.zeros(n + 1, np.int64)
+        np.cumsum(hit[:n], out=total[1:])
         gone = total[1:] > total[np.maximum(np.arange(n) + 1 - window, 0)]
         ends = np.cumsum(lengths)
         begins = ends - lengths
@@ -255,11 +280,14 @@ def _finish(many: int, window: int, with_text: bool):
         fresh[1:] &= ~gone[:-1]
         real = begins[lengths > 0]
         fresh[real] = gone[real]
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, fresh)]
-        kept = np.concatenate([[0], np.cumsum(~gone)])
+        sums = []
+        for x in (gone, fresh, ~gone):
+            np.cumsum(x, out=total[1:])
+            sums.append((total[begins], total[ends]))
+        kept = sums.pop()
         left_over = data[~gone].tobytes()
-        texts = [left_over[a:b] for a, b in zip(kept[begins].tolist(), kept[ends].tolist())]
-        cols = [pa.array(unpack(row["ids"]), mask=~unpack(row["has_id"])), pa.array(lengths), *(pa.array((x[ends] - x[begins]).astype(np.int64)) for x in sums), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+        texts = [left_over[a:b] for a, b in zip(kept[0].tolist(), kept[1].tolist())]
+        cols = [pa.array(unpack(row["ids"]), mask=~unpack(row["has_id"])), pa.array(lengths), *(pa.array(b - a) for a, b in sums), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
         return pa.table(cols + [pa.array(texts, pa.binary())] * with_text, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
     return run
@@ -271,10 +299,10 @@ def dedup(docs: DataFrame, window: int = 200, hot: int = HOT, id_col: str = "doc
         raise ValueError(f"windows of {2 * GRAM} bytes at least")
     many = buckets(docs.sparkSession)
     table = pieces(docs, _piece(window), PIECE_SCHEMA, "pieces", text_columns(id_col, text_col))
-    asked = table.select("piece", "grams", "segments", "twice").mapInArrow(_ask(many), "bucket int, piece bigint, grams binary, segments binary, twice binary")
+    asked = table.select("piece", "grams", "segments", "twice", "left", "right").mapInArrow(_ask(many), "bucket int, piece bigint, grams binary, segments binary, twice binary, left binary, right binary")
     told = written(asked.groupBy("bucket").applyInArrow(lambda t: _tell(t, hot), "piece bigint, bucket int, kind int, told binary"), "told")
     body = table.select("piece", "ids", "has_id", "lengths", "text", "start", "windows", "rank", "grams")
-    sent = body.select("piece", "text", "start", "windows", "rank", "grams").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_split(many, window), "kind int, bucket int, piece bigint, a binary, b binary, c binary")
+    sent = body.select("piece", "text", "start", "windows", "rank", "grams").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_split(many, window), "kind int, bucket int, piece bigint, a binary, b binary, c binary, d binary")
     found = sent.groupBy("kind", "bucket").applyInArrow(lambda t: _shard(t, window), "piece bigint, bucket int, kind int, told binary")
     answers = told.unionByName(written(found, "found"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
