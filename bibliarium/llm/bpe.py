@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks
-from .pieces import Pieces
+from .pieces import Pieces, laid
 
 CACHE = 500_000
 #: Matches of more bytes have a queue of their own.
@@ -266,7 +266,7 @@ def encoder(path: str, pattern: str) -> tuple[Encoder, Pieces]:
     if (path, pattern) not in _encoders:
         _encoders.clear()
         enc = Encoder(read_ranks(path), pattern)
-        _encoders[path, pattern] = enc, Pieces(enc.tokenise, enc.tokens)
+        _encoders[path, pattern] = enc, Pieces(lambda p: laid(enc.tokenise(p)), enc.tokens)
     return _encoders[path, pattern]
 
 

@@ -1,20 +1,22 @@
 """Tokenising whole blocks of texts through the pieces that occur in them.
 
 Split patterns of byte-level BPE never let a match run from ink into a blank or newline, nor from an ASCII letter into
-ASCII punctuation. Texts are cut there in numpy, and only pieces whose hash is not known yet are tokenised. What the
-ids stand for is compared with the text byte by byte, so that equal hashes of different pieces can't go unnoticed.
+ASCII punctuation. Texts are cut there in numpy, and only pieces whose hash is not known yet are tokenised. A second hash, of other byte values, tells pieces
+apart whose first hashes are equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-from .common import BYTE, Block, ranges, span_hash
+from .common import BYTE, MULT, U64, Block, flat, mix, span_hash
 
 #: Pieces kept by each worker at most; beyond that it keeps those of the last block only.
-KNOWN = 1_000_000
+KNOWN = 2_000_000
+OTHER = mix(BYTE + MULT[0]) | U64(1)
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _PUNCT = np.zeros(256, bool)
@@ -25,6 +27,12 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[10, 32]] = True
 
 
+def laid(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of ids end to end, where each begins, and their lengths."""
+    count = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum())), np.cumsum(count) - count, count
+
+
 def cuts(b: Block) -> np.ndarray:
     """Where pieces begin, each document's first included, and the end of all bytes."""
     d = b.data
@@ -40,33 +48,33 @@ def cuts(b: Block) -> np.ndarray:
 
 
 class Pieces:
-    """tokenise: takes pieces as bytes, gives a list of ids for each. tokens: the bytes that each id stands for."""
+    """tokenise: takes pieces as bytes, gives ids end to end, where each piece's begin, and how many it has. tokens: the bytes that each id stands for."""
 
-    def __init__(self, tokenise: Callable[[list[bytes]], list[list[int]]], tokens: dict[int, bytes]):
+    def __init__(self, tokenise: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], tokens: dict[int, bytes]):
         self.tokenise = tokenise
         top = max(tokens, default=-1) + 1
         own = [tokens.get(i, b"") for i in range(top)]
         self.bytes = np.frombuffer(b"".join(own), np.uint8)
         self.byte_at = np.cumsum([0, *map(len, own)])
+        self.size = np.diff(self.byte_at)
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.begin, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hashes, self.others, self.begin, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, others: np.ndarray, pieces: list[bytes]) -> None:
         """Adds pieces by their ascending, unknown hashes."""
-        out = self.tokenise(pieces)
-        count = np.fromiter(map(len, out), np.int64, len(out))
-        begin = len(self.pool) + np.cumsum(count) - count
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in out for i in x), np.int32, int(count.sum()))])
+        ids, begin, count = self.tokenise(pieces)
+        begin = begin + len(self.pool)
+        self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.begin, self.count = np.insert(self.hashes, at, hashes), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+        self.hashes, self.others, self.begin, self.count = np.insert(self.hashes, at, hashes), np.insert(self.others, at, others), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
 
     def encode(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block's documents end to end, and where each document's begin (one more at the end)."""
         edge = cuts(b)
         start, end = edge[:-1], edge[1:]
-        h = span_hash(b.prefix(BYTE), start, end)
+        h, other = span_hash(b.prefix(BYTE), start, end), span_hash(b.prefix(OTHER), start, end)
         order = np.argsort(h)
         lead = np.ones(len(h), bool)
         lead[1:] = h[order][1:] != h[order][:-1]
@@ -82,17 +90,17 @@ class Pieces:
                 self.clear()
                 new[:] = True
             raw = b.data.tobytes()
-            self._learn(each[new], [raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            self._learn(each[new], other[first[new]], [raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
         at = np.searchsorted(self.hashes, each)
         begin, count = self.begin[at][inverse], self.count[at][inverse]
-        ids = self.pool[ranges(begin, begin + count)[0]]
+        ids = self.pool[flat(begin, count)]
         total = np.concatenate([[0], np.cumsum(count)])
         offs = total[np.searchsorted(start, b.offs)] if len(start) else np.zeros(len(b) + 1, np.int64)
-        if not np.array_equal(self.decode(ids), b.data):  # two pieces with one hash
-            out = [self.tokenise([b.data[s:e].tobytes()])[0] if e > s else [] for s, e in zip(b.offs[:-1].tolist(), b.offs[1:].tolist())]
-            return np.array([i for x in out for i in x], np.int32), np.cumsum([0, *map(len, out)])
+        if not np.array_equal(self.others[at][inverse], other):  # two pieces with one hash
+            out = [self.tokenise([b.data[s:e].tobytes()] if e > s else [])[0] for s, e in zip(b.offs[:-1].tolist(), b.offs[1:].tolist())]
+            return np.concatenate(out).astype(np.int32), np.cumsum([0, *map(len, out)])
         return ids, offs
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for."""
-        return self.bytes[ranges(self.byte_at[ids], self.byte_at[ids + 1])[0]]
+        return self.bytes[flat(self.byte_at[ids], self.size[ids])]
