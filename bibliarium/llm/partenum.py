@@ -12,8 +12,9 @@ sets still agree in one that is not empty. Documents with more thin parts tell a
 
 Equal sets are one node. Each task sorts its signatures and hands on one document for each, so a signature that a
 third of all documents share reaches its bucket once for each task; equal signatures link to their smallest document
-(a star, never all pairs). Components of those candidates are families, and families are compared exactly, in square
-pieces of bounded size, whose results are forests and link counts instead of pairs.
+(a star, never all pairs). Components of those candidates are families; large ones are taken apart by sketches, cell
+counts whose difference bounds that of the sets from below. Families are compared exactly, in square pieces of bounded
+size, whose results are forests and link counts instead of pairs.
 
 Null, empty and wordless texts have no set and link with nothing. Rows that repeat an id are one node; null ids have no
 component. An empty table gives no rows; extra columns are not read.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, MULT, U64, Block, blocks, bucket_of, buckets, grams, mix, pack, pack_sorted, ranges, span_hash, unpack, unpack_sorted, written
+from .common import LOWER, MULT, U64, Block, blocks, bucket_of, buckets, grams, mix, pack, pack_sorted, ranges, slices, span_hash, unpack, unpack_sorted, written
 from .components import components
 
 #: Signatures that a task gathers before it hands them on.
@@ -140,14 +141,67 @@ def _ids(b: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sizes(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and the set's two hashes."""
+    """doc_id, n_shingles, the set's two hashes and its sketch."""
 
     def run(batches):
         for b in blocks(batches):
-            _, begin, both = sets(b, n)
-            yield pa.record_batch([b.ids, pa.array(np.diff(begin)), pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64))], ["doc_id", "n_shingles", "h1", "h2"])
+            g, begin, both = sets(b, n)
+            yield pa.record_batch([b.ids, pa.array(np.diff(begin)), pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64)), pa.array(sketches(g, begin), pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    return _own(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
+    return _own(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sketch binary")
+
+
+def sketches(g: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """How many features of each set fall into each of a power of two of cells, about one for four features.
+
+    The counts of two sets differ, summed over cells, by no more than the sets do. Half as many cells are the sums of both halves.
+    """
+    size = np.diff(begin)
+    cells = 1 << np.ceil(np.log2(np.maximum(size / 4, 16))).astype(np.int64)
+    at = np.cumsum(cells) - cells
+    of = np.repeat(np.arange(len(size)), size)
+    counts = np.minimum(np.bincount(at[of] + (mix(g + MULT[59]) & (cells[of] - 1).astype(np.uint64)).astype(np.int64), minlength=int(cells.sum())), 255).astype(np.uint8)
+    return [counts[a : a + n].tobytes() for a, n in zip(at.tolist(), cells.tolist())]
+
+
+def _root(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def _sift(t: pa.Table, percent: int) -> pa.Table:
+    """Of a square's sketches: (node, parent), a forest of the pairs that their sketches and sizes let link."""
+    t = t.take(np.sort(np.unique(t.column("node").to_numpy(), return_index=True)[1])).sort_by("n_shingles")
+    node, side, size = (t.column(c).to_numpy() for c in ("node", "side", "n_shingles"))
+    raw = [np.frombuffer(x, np.uint8).astype(np.int16) for x in t.column("sketch").to_pylist()]
+    cells = np.array([len(x) for x in raw])
+    parent, diagonal = np.arange(len(node)), not (side != side[0]).any()
+    for c in np.unique(cells).tolist():
+        # sets of this many cells, with those of the same and of twice as many
+        some = np.flatnonzero((cells == c) | (cells == 2 * c))
+        x = np.stack([raw[k] if cells[k] == c else raw[k].reshape(2, c).sum(0, dtype=np.int16) for k in some.tolist()])
+        own = np.flatnonzero(cells[some] == c)
+        lo = own.min(initial=0)
+        while lo <= own.max(initial=-1):
+            far = int(np.searchsorted(size[some], size[some][lo] * 100 // percent, side="right"))
+            step = max(1, (4 << 20) // max((far - lo) * c, 1))
+            k = min(lo + step, int(own.max()) + 1)
+            far = int(np.searchsorted(size[some], size[some][k - 1] * 100 // percent, side="right"))
+            apart = np.abs(x[lo:k, None, :] - x[None, lo:far, :]).sum(2, dtype=np.int32)
+            most = (100 - percent) * (size[some][lo:k, None] + size[some][None, lo:far]) // (100 + percent)
+            a, b = np.nonzero(apart <= most)
+            a, b = some[a + lo], some[b + lo]
+            keep = (a < b) & (diagonal | (side[a] != side[b]))
+            for i, j in zip(a[keep].tolist(), b[keep].tolist()):
+                i, j = _root(parent, i), _root(parent, j)
+                if i != j:
+                    parent[max(i, j)] = min(i, j)
+            lo = k
+    tops = np.array([_root(parent, k) for k in range(len(node))])
+    keep = tops != np.arange(len(node))
+    return pa.table({"a": node[keep], "b": node[tops[keep]]})
 
 
 def candidates(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,6 +265,8 @@ def overlaps(g: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarr
 
 def _compare(t: pa.Table, percent: int) -> pa.Table:
     """Of a square's sets: (node, parent, links): a forest of the links found, and how many documents each set links with."""
+    first = np.sort(np.unique(t.column("node").to_numpy(), return_index=True)[1])  # rows that repeat an id and its text are one
+    t = t.take(first)
     node, side, weight = (t.column(c).to_numpy() for c in ("node", "side", "weight"))
     packed = [unpack(x) for x in t.column("features").to_pylist()]
     size = np.array([len(x) for x in packed])
@@ -229,26 +285,20 @@ def _compare(t: pa.Table, percent: int) -> pa.Table:
         links[right] += linked.T @ weight[left]
     parent = np.arange(len(node))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     rank = np.argsort(np.argsort(node, kind="stable"), kind="stable")
     i, j = np.nonzero(linked)
     for a, b in zip(left[i].tolist(), right[j].tolist()):
-        a, b = root(a), root(b)
+        a, b = _root(parent, a), _root(parent, b)
         if a != b:
             parent[a if rank[a] > rank[b] else b] = b if rank[a] > rank[b] else a
-    tops = np.array([root(k) for k in range(len(node))])
+    tops = np.array([_root(parent, k) for k in range(len(node))])
     keep = links > 0
     return pa.table({"node": node[keep], "parent": node[tops[keep]], "links": links[keep]})
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other documents whose sets link with the document's) of every row."""
-    own = written(sizes(docs, n, id_col, text_col), "sizes")
+    own = written(sizes(docs, n, id_col, text_col), "sizes")  # read below without the sketches but where they are named
     full = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight")), "classes")
     of = written(full.select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "node"), "nodes")
@@ -257,20 +307,35 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     met = met.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     families = components(met)
 
+    one = full.select("h1", "h2", F.col("doc_id").alias("node"), "n_shingles", "sketch").dropDuplicates(["node", "h1", "h2"])
+
+    def squared(families: DataFrame, weight: str, most: int) -> DataFrame:
+        """Nodes with their family's number of pieces, so many that a piece has SIDE sets and `most` of weight at most, and their own piece."""
+        own = classes.join(families, "node").join(one, ["node", "h1", "h2"])
+        pieces = own.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum(weight) / most, F.lit(1.0))).cast("int").alias("pieces"))
+        return own.join(pieces, "component").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+
+    # a chance signature chains families together: large ones are taken apart by sketches, which are small, before sets travel
+    first = written(squared(families, "n_shingles", SIDE_FEATURES).select("component", "node", "n_shingles", "sketch", "pieces", "piece"), "families")
+    large = first.where("pieces > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    large = large.select("component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), F.col("piece").alias("side"), "node", "n_shingles", "sketch")
+    sifted = components(large.groupBy("component", "i", "j").applyInArrow(lambda t: _sift(t, percent), "a bigint, b bigint"))
+    families = written(first.where("pieces = 1").select("node", "component").unionByName(sifted), "families")
+    light = squared(families, "n_shingles", SIDE_FEATURES).select(F.col("node").alias("doc_id"), "h1", "h2", "component", "weight", "pieces", "piece")
+
     def features(batches):
-        for block in blocks(batches):
-            g, begin, both = sets(block, n)
-            yield pa.record_batch([block.ids, pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64)), pa.array(np.diff(begin)), pa.array([pack(g[x:y]) for x, y in zip(begin, begin[1:])], pa.binary())], ["node", "h1", "h2", "size", "features"])
-
-    texts = _own(docs, id_col, text_col).join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    rows = texts.mapInArrow(features, "node bigint, h1 bigint, h2 bigint, size bigint, features binary")
-    rows = rows.join(classes, ["node", "h1", "h2"]).join(families, "node").dropDuplicates(["node", "h1", "h2"])
-    rows = written(rows.select("component", "node", "weight", "size", "features"), "families")
-    # a family's squares: as many pieces a side as keep a piece within SIDE sets and SIDE_FEATURES features
-    pieces = rows.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum("size") / SIDE_FEATURES, F.lit(1.0))).cast("int").alias("pieces"))
-    rows = rows.join(pieces, "component").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    rows = rows.select("component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), F.col("piece").alias("side"), "node", "weight", "features")
+        for batch in slices(batches):
+            g, begin, both = sets(Block(batch), n)
+            h1, h2, component, weight, count, piece = (batch.column(k).to_numpy() for k in range(2, 8))
+            node = batch.column(0).to_numpy()
+            mine = np.flatnonzero((both[:, 0].copy().view(np.int64) == h1) & (both[:, 1].copy().view(np.int64) == h2))
+            other, of = ranges(np.zeros(len(mine), np.int64), count[mine].astype(np.int64))
+            of = mine[of]
+            packed = {int(k): pack(g[begin[k] : begin[k + 1]]) for k in mine}
+            cols = [component[of], np.minimum(piece[of], other), np.maximum(piece[of], other), piece[of].astype(np.int64), node[of], weight[of]]
+            yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in cols), pa.array([packed[int(k)] for k in of], pa.binary())], ["component", "i", "j", "side", "node", "weight", "features"])
+
+    rows = _own(docs, id_col, text_col).join(light, "doc_id").mapInArrow(features, "component bigint, i bigint, j bigint, side bigint, node bigint, weight bigint, features binary")
     found = written(rows.groupBy("component", "i", "j").applyInArrow(lambda t: _compare(t, percent), "node bigint, parent bigint, links bigint"), "found")
     # rows that repeat an id with another text: their sets' nodes are one
     repeats = of.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("parent")).where("node <> parent").select("node", "parent")
