@@ -2,7 +2,7 @@
 
 Split patterns of byte-level BPE never let a match run from ink into a blank or newline, nor from an ASCII letter into
 ASCII punctuation. Texts are cut there in numpy, and only pieces whose hash is not known yet are tokenised. A second hash, of other byte values, tells pieces
-apart whose first hashes are equal.
+apart whose first hashes are equal. Texts that hold a string which cuts could take apart are tokenised whole.
 """
 
 from __future__ import annotations
@@ -48,10 +48,13 @@ def cuts(b: Block) -> np.ndarray:
 
 
 class Pieces:
-    """tokenise: takes pieces as bytes, gives ids end to end, where each piece's begin, and how many it has. tokens: the bytes that each id stands for."""
+    """tokenise: takes pieces as bytes, gives ids end to end, where each piece's begin, and how many it has. tokens: the bytes that each id stands for.
 
-    def __init__(self, tokenise: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], tokens: dict[int, bytes]):
-        self.tokenise = tokenise
+    uncut: strings that are seen in whole texts only; a text that holds one is tokenised as one piece.
+    """
+
+    def __init__(self, tokenise: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], tokens: dict[int, bytes], uncut: tuple[bytes, ...] = ()):
+        self.tokenise, self.uncut = tokenise, uncut
         top = max(tokens, default=-1) + 1
         own = [tokens.get(i, b"") for i in range(top)]
         self.bytes = np.frombuffer(b"".join(own), np.uint8)
@@ -70,9 +73,23 @@ class Pieces:
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.others, self.begin, self.count = np.insert(self.hashes, at, hashes), np.insert(self.others, at, others), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
 
+    def _whole(self, b: Block, raw: bytes) -> np.ndarray:
+        """The documents that hold one of the uncut strings; one that runs over a document's end is none."""
+        found = set()
+        for u in self.uncut:
+            at = raw.find(u)
+            while at >= 0:
+                k = int(np.searchsorted(b.offs, at, side="right")) - 1
+                if at + len(u) <= b.offs[k + 1]:
+                    found.add(k)
+                    at = raw.find(u, int(b.offs[k + 1]))
+                else:
+                    at = raw.find(u, at + 1)
+        return np.array(sorted(found), np.int64)
+
     def encode(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block's documents end to end, and where each document's begin (one more at the end)."""
-        edge = cuts(b)
+        edge, raw = cuts(b), b.data.tobytes()
         start, end = edge[:-1], edge[1:]
         h, other = span_hash(b.prefix(BYTE), start, end), span_hash(b.prefix(OTHER), start, end)
         order = np.argsort(h)
@@ -89,15 +106,18 @@ class Pieces:
             if again == 0 and len(self.hashes) + int(new.sum()) > KNOWN:
                 self.clear()
                 new[:] = True
-            raw = b.data.tobytes()
             self._learn(each[new], other[first[new]], [raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
         at = np.searchsorted(self.hashes, each)
         begin, count = self.begin[at][inverse], self.count[at][inverse]
         ids = self.pool[flat(begin, count)]
         total = np.concatenate([[0], np.cumsum(count)])
         offs = total[np.searchsorted(start, b.offs)] if len(start) else np.zeros(len(b) + 1, np.int64)
-        if not np.array_equal(self.others[at][inverse], other):  # two pieces with one hash
-            out = [self.tokenise([b.data[s:e].tobytes()] if e > s else [])[0] for s, e in zip(b.offs[:-1].tolist(), b.offs[1:].tolist())]
+        # two pieces with one hash: no text goes by its pieces
+        whole = self._whole(b, raw) if np.array_equal(self.others[at][inverse], other) else np.arange(len(b))
+        if len(whole):
+            out = [ids[s:e] for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            for k in whole.tolist():
+                out[k] = self.tokenise([raw[b.offs[k] : b.offs[k + 1]]] if b.offs[k + 1] > b.offs[k] else [])[0]
             return np.concatenate(out).astype(np.int32), np.cumsum([0, *map(len, out)])
         return ids, offs
 

@@ -151,13 +151,14 @@ def _byte_letters() -> dict[str, int]:
 
 
 def open_pieces(vocabulary: str) -> Pieces:
-    """Encodes through the tokenizers library."""
+    """Encodes as the tokenizers library does whole texts, its added tokens included."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
     letters = _byte_letters()
-    tokens = {i: bytes(letters[c] for c in t) for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+    added = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
+    tokens = {i: bytes(letters[c] for c in t) for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)} | added
+    blanks = any(b" " in t for t in added.values())  # such tokens could arise where pieces stand in one text
 
     size = np.zeros(max(tokens, default=-1) + 1, np.int64)
     for i, t in tokens.items():
@@ -165,7 +166,7 @@ def open_pieces(vocabulary: str) -> Pieces:
 
     def tokenise(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # pieces that begin with a blank and end in ink keep apart when they stand in one text, which is encoded faster
-        joins = np.fromiter((p[:1] == b" " and 33 <= p[-1] < 127 for p in pieces), bool, len(pieces))
+        joins = np.fromiter((p[:1] == b" " and 33 <= p[-1] < 127 for p in pieces), bool, len(pieces)) & (not blanks)
         some, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
         begin, count = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         parts, total = [], 0
@@ -191,7 +192,7 @@ def open_pieces(vocabulary: str) -> Pieces:
             total += len(ids)
         return np.concatenate([*parts, np.zeros(0, np.int32)]), begin, count
 
-    return Pieces(tokenise, tokens)
+    return Pieces(tokenise, tokens, tuple(added.values()))
 
 
 _encoders: dict[str, Pieces] = {}

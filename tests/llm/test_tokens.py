@@ -57,6 +57,23 @@ def test_wavelet_round_trip(spark):
     assert got == want
 
 
+def test_added_tokens_as_in_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    own, t = Tokenizer.from_file(vocabulary), "<|endoftext|>"
+    texts = [f"a {t} b", f"a{t}b", t, t + t, f" {t} ", f"<|{t}|>", f"a\n{t}\n\nb", "x <|endof", "text|> y", f"é{t}日本 {t}", "a b", None, f"{'word ' * 400}{t} end", "<|endoftext |>"]
+    shards = wavelet.write(wavelet.encode(frame(spark, texts).coalesce(1), vocabulary), shared_path(spark, "test"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in wavelet.directory(shards).collect()}
+    want, at = {}, 0
+    for i, x in enumerate(texts):
+        e = [*own.encode(x or "", add_special_tokens=False).ids, 2]
+        want[i] = (at, len(e), zlib.crc32(np.array(e, "<u4").tobytes()))
+        at += len(e)
+    assert own.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert got == want
+
+
 def test_null_and_repeated_ids(spark):
     df = frame(spark, ["b", "a", None, "a"], [3, 3, None, None])
     shards = wavelet.write(wavelet.encode(df, public_tokenizers.path("byte_bpe_50k.json")), shared_path(spark, "test"))
