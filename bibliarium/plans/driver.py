@@ -231,7 +231,7 @@ def keyword_normalise(spark, sf):
 
 @query("SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS clean FROM pages WHERE NOT contains(html, '\\')")
 def html_clean_native(spark, sf):
-    return _t(spark, sf, "pages").where(~F.contains("html", F.lit("\\"))).select("page_id", text.strip_markup(text.unescape_common(F.col("html"))).alias("clean"))
+    return _t(spark, sf, "pages").select("page_id", text.strip_markup(text.unescape_common(F.col("html"))).alias("clean"))
 
 
 @query(None)
