@@ -373,6 +373,13 @@ def completeness(spark, sf):
     return e.join(i.select("id"), "id", "left_semi").select("id", merge.completeness(e).alias("completeness"))
 
 
+@query(f"WITH {_MERGE} SELECT id, round((CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN abstract <> '' THEN 1 ELSE 0 END + CASE WHEN citation_count IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN license <> '' THEN 1 ELSE 0 END) / 11, 4) AS completeness FROM e")
+def completeness_every_row(spark, sf):
+    """Of rows without an incoming one, too."""
+    e, _ = _pair(spark, sf)
+    return e.select("id", merge.completeness(e).alias("completeness"))
+
+
 _TAKES = {c: f"(coalesce({n} <> '', false) AND (NOT coalesce({o} <> '', false) OR (es < si AND {o} <> {n})))" for c, o, n in (("title", "et", "it"), ("abstract", "ea", "ia"), ("license", "el", "il"))} | {"citation_count": "(ic IS NOT NULL AND (ec IS NULL OR (es < si AND ec <> ic)))"}
 
 

@@ -27,6 +27,12 @@ def test_html_clean_native_keeps_pages_with_backslashes(spark, tmp_path):
     assert got == {i: None if t is None else clean(t) for i, t in enumerate(pages)}
 
 
+def test_completeness_scores_every_customer(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = sorted(r.id for r in driver.QUERIES["completeness_every_row"](spark, sf).select("id").collect())
+    assert ids == sorted(r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect())
+
+
 def test_entry(spark):
     import __spark_entry__
 
