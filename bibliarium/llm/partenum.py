@@ -173,7 +173,7 @@ def _root(parent: np.ndarray, i: int) -> int:
 
 def _sift(t: pa.Table, percent: int) -> pa.Table:
     """Of a square's sketches: (node, parent), a forest of the pairs that their sketches and sizes let link."""
-    t = t.take(np.sort(np.unique(t.column("node").to_numpy(), return_index=True)[1])).sort_by("n_shingles")
+    t = t.sort_by("n_shingles")
     node, side, size = (t.column(c).to_numpy() for c in ("node", "side", "n_shingles"))
     raw = [np.frombuffer(x, np.uint8).astype(np.int16) for x in t.column("sketch").to_pylist()]
     cells = np.array([len(x) for x in raw])
@@ -264,9 +264,10 @@ def overlaps(g: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarr
 
 
 def _compare(t: pa.Table, percent: int) -> pa.Table:
-    """Of a square's sets: (node, parent, links): a forest of the links found, and how many documents each set links with."""
-    first = np.sort(np.unique(t.column("node").to_numpy(), return_index=True)[1])  # rows that repeat an id and its text are one
-    t = t.take(first)
+    """Of a square's sets: (node, h1, h2, parent, links): a forest of the links found, and how many documents each set links with."""
+    hashes = np.stack([t.column(c).to_numpy() for c in ("h1", "h2")])
+    first = np.sort(np.unique(hashes, axis=1, return_index=True)[1])  # rows that repeat an id and its text are one
+    t, hashes = t.take(first), hashes[:, first]
     node, side, weight = (t.column(c).to_numpy() for c in ("node", "side", "weight"))
     packed = [unpack(x) for x in t.column("features").to_pylist()]
     size = np.array([len(x) for x in packed])
@@ -293,7 +294,7 @@ def _compare(t: pa.Table, percent: int) -> pa.Table:
             parent[a if rank[a] > rank[b] else b] = b if rank[a] > rank[b] else a
     tops = np.array([_root(parent, k) for k in range(len(node))])
     keep = links > 0
-    return pa.table({"node": node[keep], "parent": node[tops[keep]], "links": links[keep]})
+    return pa.table({"node": node[keep], "h1": hashes[0, keep], "h2": hashes[1, keep], "parent": node[tops[keep]], "links": links[keep]})
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +306,13 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     met = candidates(docs, n, percent, id_col, text_col).distinct()
     a, b = of.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), of.select(F.col("doc_id").alias("b"), F.col("node").alias("nb"))
     met = met.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    families = components(met)
+    # an id with several texts can be the node of several sets, which no link between ids brings together
+    several = written(classes.groupBy("node").count().where("count > 1").select("node"), "several")
+
+    def with_several(families: DataFrame) -> DataFrame:
+        return families.unionByName(several.join(families, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+    families = with_several(components(met))
 
     one = full.select("h1", "h2", F.col("doc_id").alias("node"), "n_shingles", "sketch").dropDuplicates(["node", "h1", "h2"])
 
@@ -320,7 +327,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     large = first.where("pieces > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     large = large.select("component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), F.col("piece").alias("side"), "node", "n_shingles", "sketch")
     sifted = components(large.groupBy("component", "i", "j").applyInArrow(lambda t: _sift(t, percent), "a bigint, b bigint"))
-    families = written(first.where("pieces = 1").select("node", "component").unionByName(sifted), "families")
+    families = written(with_several(first.where("pieces = 1").select("node", "component").distinct().unionByName(sifted)), "families")
     light = squared(families, "n_shingles", SIDE_FEATURES).select(F.col("node").alias("doc_id"), "h1", "h2", "component", "weight", "pieces", "piece")
 
     def features(batches):
@@ -332,15 +339,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
             other, of = ranges(np.zeros(len(mine), np.int64), count[mine].astype(np.int64))
             of = mine[of]
             packed = {int(k): pack(g[begin[k] : begin[k + 1]]) for k in mine}
-            cols = [component[of], np.minimum(piece[of], other), np.maximum(piece[of], other), piece[of].astype(np.int64), node[of], weight[of]]
-            yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in cols), pa.array([packed[int(k)] for k in of], pa.binary())], ["component", "i", "j", "side", "node", "weight", "features"])
+            cols = [component[of], np.minimum(piece[of], other), np.maximum(piece[of], other), piece[of].astype(np.int64), node[of], h1[of], h2[of], weight[of]]
+            yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in cols), pa.array([packed[int(k)] for k in of], pa.binary())], ["component", "i", "j", "side", "node", "h1", "h2", "weight", "features"])
 
-    rows = _own(docs, id_col, text_col).join(light, "doc_id").mapInArrow(features, "component bigint, i bigint, j bigint, side bigint, node bigint, weight bigint, features binary")
-    found = written(rows.groupBy("component", "i", "j").applyInArrow(lambda t: _compare(t, percent), "node bigint, parent bigint, links bigint"), "found")
+    rows = _own(docs, id_col, text_col).join(light, "doc_id").mapInArrow(features, "component bigint, i bigint, j bigint, side bigint, node bigint, h1 bigint, h2 bigint, weight bigint, features binary")
+    found = written(rows.groupBy("component", "i", "j").applyInArrow(lambda t: _compare(t, percent), "node bigint, h1 bigint, h2 bigint, parent bigint, links bigint"), "found")
     # rows that repeat an id with another text: their sets' nodes are one
     repeats = of.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("parent")).where("node <> parent").select("node", "parent")
     groups = components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")).unionByName(repeats.toDF("a", "b")))
-    result = classes.join(groups, "node", "left").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    result = classes.join(groups, "node", "left").join(found.groupBy("h1", "h2").agg(F.sum("links").alias("links")), ["h1", "h2"], "left")
     result = result.select("h1", "h2", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = own.join(result, ["h1", "h2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

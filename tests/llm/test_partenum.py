@@ -95,6 +95,17 @@ def test_repeated_null_and_empty(spark):
     assert partenum.join(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("side", [512, 2])
+def test_repeated_ids_with_other_texts(spark, monkeypatch, side):
+    monkeypatch.setattr(partenum, "SIDE", side)
+    rng = random.Random(5)
+    a, b, c = ([f"{x}{k}" for k in range(60)] for x in "abc")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, edited(rng, b, 1)), (3, edited(rng, a, 1)), (4, edited(rng, a, 1)), (7, " ".join(c)), (7, edited(rng, c, 1)), (8, "other words stand here alone")]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id, r.n_links) for r in partenum.join(frame(spark, order)).collect())
+        assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 1), (4, 1, 1), (7, 7, 1), (7, 7, 1), (8, 8, 0)]
+
+
 def test_components(spark):
     rng = random.Random(0)
     for links in ([(i, i + 1) for i in range(300)], [(rng.randrange(400), rng.randrange(400)) for _ in range(300)], [(0, i) for i in range(500)], [(1, None), (2, 2)]):
