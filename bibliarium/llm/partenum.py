@@ -171,13 +171,28 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def _diagonal(t: pa.Table) -> bool | None:
+    """Whether a square compares a piece with itself; None if it is of two pieces one of which is empty, so that there is nothing to compare."""
+    if t.column("i")[0] == t.column("j")[0]:
+        return True
+    side = t.column("side").to_numpy()
+    return False if (side != side[0]).any() else None
+
+
+def _none(*names: str) -> pa.Table:
+    return pa.table({c: pa.array([], pa.int64()) for c in names})
+
+
 def _sift(t: pa.Table, percent: int) -> pa.Table:
     """Of a square's sketches: (node, parent), a forest of the pairs that their sketches and sizes let link."""
+    diagonal = _diagonal(t)
+    if diagonal is None:
+        return _none("a", "b")
     t = t.sort_by("n_shingles")
     node, side, size = (t.column(c).to_numpy() for c in ("node", "side", "n_shingles"))
     raw = [np.frombuffer(x, np.uint8).astype(np.int16) for x in t.column("sketch").to_pylist()]
     cells = np.array([len(x) for x in raw])
-    parent, diagonal = np.arange(len(node)), not (side != side[0]).any()
+    parent = np.arange(len(node))
     for c in np.unique(cells).tolist():
         # sets of this many cells, with those of the same and of twice as many
         some = np.flatnonzero((cells == c) | (cells == 2 * c))
@@ -265,6 +280,9 @@ def overlaps(g: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarr
 
 def _compare(t: pa.Table, percent: int) -> pa.Table:
     """Of a square's sets: (node, h1, h2, parent, links): a forest of the links found, and how many documents each set links with."""
+    diagonal = _diagonal(t)
+    if diagonal is None:
+        return _none("node", "h1", "h2", "parent", "links")
     hashes = np.stack([t.column(c).to_numpy() for c in ("h1", "h2")])
     first = np.sort(np.unique(hashes, axis=1, return_index=True)[1])  # rows that repeat an id and its text are one
     t, hashes = t.take(first), hashes[:, first]
@@ -272,7 +290,6 @@ def _compare(t: pa.Table, percent: int) -> pa.Table:
     packed = [unpack(x) for x in t.column("features").to_pylist()]
     size = np.array([len(x) for x in packed])
     g, begin = np.concatenate(packed), np.concatenate([[0], np.cumsum(size)])
-    diagonal = not (side != side[0]).any()
     left = np.flatnonzero(side == side.min())
     right = left if diagonal else np.flatnonzero(side == side.max())
     common = overlaps(g, begin, left, right)

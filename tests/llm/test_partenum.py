@@ -106,6 +106,15 @@ def test_repeated_ids_with_other_texts(spark, monkeypatch, side):
         assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 1), (4, 1, 1), (7, 7, 1), (7, 7, 1), (8, 8, 0)]
 
 
+def test_more_pieces_than_sets(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "SIDE_FEATURES", 20)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, edited(rng, base, 1)) for i in range(4)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in partenum.join(frame(spark, rows)).collect()}
+    assert got == brute(rows) and any(n for _, _, n in got.values())
+
+
 def test_components(spark):
     rng = random.Random(0)
     for links in ([(i, i + 1) for i in range(300)], [(rng.randrange(400), rng.randrange(400)) for _ in range(300)], [(0, i) for i in range(500)], [(1, None), (2, 2)]):
