@@ -115,6 +115,14 @@ def test_more_pieces_than_sets(spark, monkeypatch):
     assert got == brute(rows) and any(n for _, _, n in got.values())
 
 
+def test_square_with_an_empty_piece_has_no_links():
+    import pyarrow as pa
+
+    t = {"i": [0, 0], "j": [1, 1], "side": [0, 0], "node": [1, 2], "h1": [5, 6], "h2": [5, 6], "weight": [1, 1], "features": [partenum.pack(np.arange(50, dtype=np.uint64))] * 2}
+    assert partenum._compare(pa.table(t), 85).num_rows == 0
+    assert partenum._compare(pa.table(t | {"j": [0, 0]}), 85).column("links").to_pylist() == [1, 1]
+
+
 def test_components(spark):
     rng = random.Random(0)
     for links in ([(i, i + 1) for i in range(300)], [(rng.randrange(400), rng.randrange(400)) for _ in range(300)], [(0, i) for i in range(500)], [(1, None), (2, 2)]):
