@@ -2,8 +2,10 @@
 
 Each match of the split pattern is merged by itself: positions of a doubly linked list of parts wait in one bucket per
 merge rank, a bitmap of three levels tells the lowest rank that waits (find-first-set on each level), and positions
-whose pair has changed since they were queued are skipped. The cost is linear in the queued pairs whatever the length
-of the match. Null and empty texts give no ids; every row is encoded, repeated or not; extra columns are not read.
+whose pair has changed since they were queued are skipped. One queue serves all matches of a batch, short or long: they
+never touch, and no match has a pair of a rank below the lowest of all, so a popped bucket's positions merge together
+in numpy. The cost is linear in the queued pairs whatever the length of the matches. Null and empty texts give no ids;
+every row is encoded, repeated or not; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,9 +21,8 @@ from pyspark.sql import functions as F
 from .common import blocks
 from .pieces import Pieces, laid
 
-CACHE = 500_000
-#: Matches of more bytes have a queue of their own.
-SHORT = 48
+#: Bytes of the matches that share a queue, unless one alone has more.
+BATCH = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,215 +41,158 @@ class RankQueue:
     def __init__(self):
         self.top, self.middle, self.low, self.buckets = 0, {}, {}, {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, positions: np.ndarray) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            bucket.append(position)
+            bucket.append(positions)
             return
-        self.buckets[rank] = [position]
-        a, b = rank >> 14, rank >> 7
+        self.buckets[rank] = [positions]
+        a, b = rank >> 2 * self.WIDTH, rank >> self.WIDTH
         self.top |= 1 << a
-        self.middle[a] = self.middle.get(a, 0) | 1 << (b & 127)
-        self.low[b] = self.low.get(b, 0) | 1 << (rank & 127)
+        self.middle[a] = self.middle.get(a, 0) | 1 << (b & self.MASK)
+        self.low[b] = self.low.get(b, 0) | 1 << (rank & self.MASK)
 
-    def pop(self) -> tuple[int, list[int]] | None:
+    def pop(self) -> tuple[int, list[np.ndarray]] | None:
         """The lowest rank with all its positions."""
         if not self.top:
             return None
         a = (self.top & -self.top).bit_length() - 1
         bits = self.middle[a]
-        b = a << 7 | (bits & -bits).bit_length() - 1
+        b = a << self.WIDTH | (bits & -bits).bit_length() - 1
         bits = self.low[b]
-        rank = b << 7 | (bits & -bits).bit_length() - 1
+        rank = b << self.WIDTH | (bits & -bits).bit_length() - 1
         self.low[b] = bits = bits & (bits - 1)
         if not bits:
-            self.middle[a] &= ~(1 << (b & 127))
+            self.middle[a] &= ~(1 << (b & self.MASK))
             if not self.middle[a]:
                 self.top &= ~(1 << a)
         return rank, self.buckets.pop(rank)
 
 
 class Encoder:
-    """Ids of texts by the ranks of a file; pairs seen before are kept, up to 4 * CACHE of them."""
+    """Ids of texts by the ranks of a file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
-        if max(ranks.values(), default=0) >> 21:
+        top = max(ranks.values(), default=0)
+        if top >> 3 * RankQueue.WIDTH:
             raise ValueError("ranks of over 21 bits")
         self.pattern = regex.compile(pattern)
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-        self.table: tuple[np.ndarray, np.ndarray] | None = None
-
-    def pair(self, a: int, b: int) -> int | None:
-        """Rank of what two neighbouring parts make together, None if nothing."""
-        key = (a, b)
-        try:
-            return self.pairs[key]
-        except KeyError:
-            if len(self.pairs) > 4 * CACHE:
-                self.pairs.clear()
-            out = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b])
-            return out
-
-    def merge(self, match: bytes) -> list[int]:
-        """Ids of one match."""
-        whole = self.ranks.get(match)
-        if whole is not None:
-            return [whole]
-        part = [self.single[b] for b in match]
-        n = len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits: list[int | None] = [None] * n  # the rank under which a position's pair was last queued
-        queue, pair = RankQueue(), self.pair
-        push = queue.push
-        for i in range(n - 1):
-            r = pair(part[i], part[i + 1])
-            if r is not None:
-                waits[i] = r
-                push(r, i)
-        while (got := queue.pop()) is not None:
-            rank, positions = got
-            if len(positions) > 1:
-                positions.sort()
-            for at, i in enumerate(positions):
-                if waits[i] != rank:
-                    continue  # stale
-                j = after[i]
-                part[i], waits[j] = rank, None
-                k = after[i] = after[j]
-                waits[i] = None
-                lower = False
-                if k < n:
-                    before[k] = i
-                    r = pair(rank, part[k])
-                    if r is not None:
-                        waits[i] = r
-                        push(r, i)
-                        lower = r < rank
-                h = before[i]
-                if h >= 0:
-                    r = pair(part[h], rank)
-                    waits[h] = r
-                    if r is not None:
-                        push(r, h)
-                        lower = lower or r < rank
-                if lower:  # what this merge made goes first; the rest waits again
-                    for p in positions[at + 1 :]:
-                        push(rank, p)
-                    break
-        out, i = [], 0
-        while i < n:
-            out.append(part[i])
-            i = after[i]
-        return out
-
-    def merge_many(self, matches: list[bytes]) -> list[list[int]]:
-        """Ids of many short matches at once.
-
-        One queue serves all of them. Its lowest bitmap level is taken a leaf of 64 ranks at a time: of the positions
-        that wait there, each match merges its lowest (rank, then leftmost), and the others wait again. Matches never
-        touch, so each sees its own merges in the order that merge() makes them.
-        """
-        if not matches:
-            return []
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = sorted((u << 24 | v, r) for t, r in ranks.items() for k in range(1, len(t)) if (u := ranks.get(t[:k])) is not None and (v := ranks.get(t[k:])) is not None)
+        self.keys, self.values = (np.array([p[k] for p in pairs] + [-2 if k else 1 << 62], np.int64) for k in range(2))
+        # tokens that may make a pair of a lower rank than their own
+        self.lower = np.zeros(top + 1, bool)
+        for side in (self.keys[:-1] >> 24, self.keys[:-1] & 0xFFFFFF):
+            self.lower[side[self.values[:-1] < side]] = True
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of what neighbouring parts make together; -1 for nothing, and wherever a part is -1."""
+        want = a << 24 | b
+        at = np.searchsorted(self.keys, want)
+        return np.where((self.keys[at] == want) & (a >= 0) & (b >= 0), self.values[at], -1)
+
+    def merge(self, matches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all matches end to end, and how many each has."""
         size = np.fromiter(map(len, matches), np.int64, len(matches))
         n = int(size.sum())
-        part = np.array(self.single, np.int64)[np.frombuffer(b"".join(matches), np.uint8)]
+        if not n:
+            return np.zeros(0, np.int64), size
+        part = np.append(self.single[np.frombuffer(b"".join(matches), np.uint8)], -1)  # what stands beyond an end makes no pair
         of = np.repeat(np.arange(len(matches)), size)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
         edge = np.append(of[1:] != of[:-1], True)
-        after[edge] = n
-        before[1:][edge[:-1]] = -1
-        part = np.append(part, -1)  # what stands beyond an end makes no pair
-        live = np.ones(n, bool)
-        waits = np.full(n + 1, -1)
-        leaves: dict[int, list[np.ndarray]] = {}
-        top, low = 0, {}
+        after[:-1][edge] = n
+        before[1:][edge] = -1
+        live, waits = np.ones(n, bool), np.full(n + 1, -1)
+        queue = RankQueue()
 
         def push(at: np.ndarray) -> None:
-            nonlocal top
-            r = self.pair_ranks(part[at], part[after[at]])
-            waits[at] = r
+            """Ascending positions, each under the rank of its pair."""
+            waits[at] = r = self.pair_ranks(part[at], part[after[at]])
             keep = r >= 0
             at, r = at[keep], r[keep]
-            if not len(at):
+            if len(at) < 2:
+                if len(at):
+                    queue.push(int(r[0]), at)
                 return
-            order = np.argsort(r >> 6, kind="stable")
-            at, leaf = at[order], (r >> 6)[order]
-            begin = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-            for k, lo, hi in zip(leaf[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)]):
-                leaves.setdefault(k, []).append(at[lo:hi])
-                top |= 1 << (k >> 6)
-                low[k >> 6] = low.get(k >> 6, 0) | 1 << (k & 63)
+            order = np.argsort(r, kind="stable")
+            at, r = at[order], r[order]
+            begin = np.flatnonzero(np.append(True, r[1:] != r[:-1])).tolist()
+            for lo, hi in zip(begin, [*begin[1:], len(at)]):
+                queue.push(int(r[lo]), at[lo:hi])
 
         push(np.flatnonzero(~edge))
-        while top:
-            a = (top & -top).bit_length() - 1
-            k = a << 6 | (low[a] & -low[a]).bit_length() - 1
-            at = leaves.pop(k)
-            at = np.unique(np.concatenate(at) if len(at) > 1 else at[0])
-            at = at[(waits[at] >> 6) == k]  # the others are stale
-            order = np.lexsort((at, waits[at], of[at]))
-            lead = np.ones(len(at), bool)
-            lead[1:] = of[at[order]][1:] != of[at[order]][:-1]
-            go, rest = at[order[lead]], at[order[~lead]]
-            low[a] &= low[a] - 1
-            if len(rest):
-                leaves[k] = [rest]
-                low[a] |= 1 << (k & 63)
-            if not low[a]:
-                top &= top - 1
-            if not len(go):
+        while (got := queue.pop()) is not None:
+            rank, waiting = got
+            at = waiting[0] if len(waiting) == 1 else np.unique(np.concatenate(waiting))
+            at = at[waits[at] == rank]  # the others are stale
+            if not len(at):
                 continue
+            go = at
+            # of positions whose pairs overlap, the leftmost goes and takes the next one's part
+            clash = after[at[:-1]] == at[1:]
+            if clash.any():
+                lead = np.append(True, ~clash)
+                run = np.arange(len(at))
+                go = at[(run - np.maximum.accumulate(np.where(lead, run, 0))) % 2 == 0]
+            if self.lower[rank]:
+                go = self._until_lower(rank, go, part, after, before, of)
             gone = after[go]
-            part[go] = waits[go]
-            waits[gone], live[gone] = -1, False
-            after[go] = after[gone]
-            inner = go[after[go] < n]
-            before[after[inner]] = inner
+            part[go], waits[gone], live[gone] = rank, -1, False
+            follow = after[go] = after[gone]
+            before[follow] = go  # that of the end says nothing
             left = before[go]
-            push(np.concatenate([go, left[left >= 0]]))
+            push(np.unique(np.concatenate([go, left[left >= 0]])))
+            if self.lower[rank]:
+                again = at[(waits[at] == rank) & ~np.isin(at, go)]
+                if len(again):
+                    queue.push(rank, again)
         ids = part[:n][live]
-        ends = np.cumsum(np.bincount(of[live], minlength=len(matches))).tolist()
-        ids = ids.tolist()
-        return [ids[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends)]
-
-    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """pair() for arrays; -1 for None, and wherever a part is -1."""
-        if self.table is None:
-            keys, values = [], []
-            for t, r in self.ranks.items():
-                for k in range(1, len(t)):
-                    u, v = self.ranks.get(t[:k]), self.ranks.get(t[k:])
-                    if u is not None and v is not None:
-                        keys.append(u << 24 | v), values.append(r)
-            order = np.argsort(np.array(keys, np.int64))
-            self.table = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
-        keys, values = self.table
-        want = np.where((a < 0) | (b < 0), -1, a << 24 | b)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[at] == want, values[at], -1) if len(keys) else np.full(len(a), -1)
+        return ids, np.bincount(of[live], minlength=len(matches))
+
+    def _until_lower(self, rank: int, go: np.ndarray, part: np.ndarray, after: np.ndarray, before: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Of the positions to merge, those of each match up to the first whose merge makes a pair of a lower rank, which is to go first."""
+        left = before[go]
+        taken = np.zeros(len(part), bool)
+        taken[after[go]] = True
+        own = np.full(len(go), rank)
+        low = np.zeros(len(go), bool)
+        for r in (self.pair_ranks(np.where(taken[left] & (left >= 0), rank, part[left]), own), self.pair_ranks(own, part[after[after[go]]])):
+            low |= (r >= 0) & (r < rank)
+        if not low.any():
+            return go
+        match = of[go]
+        first = np.full(int(match.max()) + 1, len(part))
+        np.minimum.at(first, match[low], go[low])
+        return go[go <= first[match]]
 
     def tokenise(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pieces of text that begin and end where matches do."""
         matches = [[m.encode() for m in self.pattern.findall(p.decode())] for p in pieces]
         ids: dict[bytes, list[int]] = {}
-        short = []
+        rest, size = [], 0
+
+        def flush() -> None:
+            flat, count = self.merge(rest)
+            flat, ends = flat.tolist(), np.cumsum(count).tolist()
+            ids.update(zip(rest, (flat[lo:hi] for lo, hi in zip([0, *ends], ends))))
+
         for m in {m for x in matches for m in x}:
             whole = self.ranks.get(m)
             if whole is not None:
                 ids[m] = [whole]
-            elif len(m) <= SHORT:
-                short.append(m)
-            else:
-                ids[m] = self.merge(m)
-        for lo in range(0, len(short), 200_000):
-            part = short[lo : lo + 200_000]
-            ids.update(zip(part, self.merge_many(part)))
+                continue
+            rest.append(m)
+            size += len(m)
+            if size > BATCH:
+                flush()
+                rest, size = [], 0
+        if rest:
+            flush()
         return [ids[x[0]] if len(x) == 1 else [i for m in x for i in ids[m]] for x in matches]
 
     def encode(self, text: str) -> list[int]:

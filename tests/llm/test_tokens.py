@@ -30,12 +30,37 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode(frame(spark, []), path, pattern).count() == 0
 
 
-def test_queue_and_batch_merge_alike():
+def plain_merge(ranks, match):
+    """The lowest rank first, of equal ones the leftmost, one pair at a time."""
+    parts = [bytes([b]) for b in match]
+    while match not in ranks:
+        best = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if best is None:
+            break
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return [ranks[match]] if match in ranks else [ranks[p] for p in parts]
+
+
+def test_queue_equals_plain_merging():
     enc = bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     rng = random.Random(4)
     words = ["".join(rng.choice("aeiorstn lhdé\n") for _ in range(rng.randint(1, 40))).encode() for _ in range(3000)]
-    single = [w for w in words if w not in enc.ranks]
-    assert enc.merge_many(single) == [enc.merge(w) for w in single]
+    words += [b"a" * 200, b"ab" * 150, b" " * 301]
+    words = [w for w in words if w not in enc.ranks]
+    ids, count = enc.merge(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [plain_merge(enc.ranks, w) for w in words]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_queue_with_ranks_in_any_order(seed):
+    """Ranks under which a merge makes a pair of a lower rank than its own."""
+    rng = random.Random(seed)
+    made = list({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 6))) for _ in range(60)})
+    ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(made)}
+    enc = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    words = [w for w in (bytes(rng.choice(b"abc") for _ in range(rng.randint(7, 80))) for _ in range(60)) if w not in ranks] + [b"a" * 100, b"abc" * 40]
+    ids, count = enc.merge(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [plain_merge(ranks, w) for w in words]
 
 
 def test_wavelet_round_trip(spark):
@@ -43,7 +68,6 @@ def test_wavelet_round_trip(spark):
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(vocabulary)
-    own.encode_special_tokens = True
     texts = spark.read.parquet(SF).select("text").toPandas()["text"].tolist() + ODD
     ids = random.Random(2).sample(range(10_000), len(texts))
     shards = wavelet.write(wavelet.encode(frame(spark, texts, ids), vocabulary, shard_ids=20_000), shared_path(spark, "test"))
