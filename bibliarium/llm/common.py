@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. All arithmetic on
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -186,6 +187,20 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b), dtype=np.uint64)
 
 
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n nodes with links a-b: the smallest node that each is connected with. Larger roots hook to smaller ones, then paths are flattened."""
+    top = np.arange(n)
+    while True:
+        x, y = top[a], top[b]
+        apart = x != y
+        if not apart.any():
+            return top
+        a, b = a[apart], b[apart]
+        np.minimum.at(top, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while not np.array_equal(up := top[top], top):
+            top = up
+
+
 def narrow(a: np.ndarray) -> np.ndarray:
     """Non-negative integers in the smallest unsigned type that holds them."""
     return a.astype(np.min_scalar_type(int(a.max(initial=0))))
@@ -195,10 +210,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below spark.checkpoint.dir, which all executors share; in a session without one, below a folder of our own."""
+    """A new path below spark.checkpoint.dir, which all executors share; in a local session without one, below a folder of our own."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="bibliarium-")
         sc.setCheckpointDir(top)
     if not sc.getCheckpointDir():
@@ -229,7 +246,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor costs no recomputation of it.
 
-    The shuffle files that made it are of no use then, and go when the write ends.
+    The shuffle files that made it are of no use then, and go when the write ends. free() takes the table back.
     """
     spark = df.sparkSession
     path, before = shared_path(spark, what), spark.conf.get(_CLEANUP, None)
@@ -238,7 +255,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        entry = (t.sparkSession, t.written_path)
+        if entry in _written:
+            _written.remove(entry)
+            drop_path(*entry)
+
+
+def unused(names: list[str], stem: str) -> str:
+    """A column name that none of names equals, in letters of either case."""
+    taken, name = {n.lower() for n in names}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def buckets(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     In each round a node takes the smallest label among its own, its neighbours' and those of the node that its label
     names, so that labels travel twice as far each round; links inside one component are dropped as they go. Rounds are
-    written to the shared folder. Null ends and links of a node with itself say nothing.
+    written to the shared folder, and a round's tables go when the next are written; the labels returned are such a
+    table. Null ends and links of a node with itself say nothing.
     """
     links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = written(links, "links")
@@ -23,18 +24,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # every link as one between labels: its larger label should become its smaller
         a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        links = written(links.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
+        before, links = links, written(links.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
+        free(before)
         if links.isEmpty():
             break
         # labels are nodes too: hook each to the smallest that it meets, then flatten the hooks
         hooks = written(links.groupBy(F.col("b").alias("old")).agg(F.min("a").alias("new")), "hooks")
         for _ in range(rounds):
             up = hooks.select(F.col("old").alias("new"), F.col("new").alias("next"))
-            moved = written(hooks.join(up, "new", "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved")), "hooks")
-            hooks = moved.select("old", "new")
+            moved = written(hooks.select("old", "new").join(up, "new", "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved")), "hooks")
+            free(hooks)
+            hooks = moved
             if moved.where("moved").isEmpty():
                 break
-        labels = written(labels.join(hooks, labels["component"] == hooks["old"], "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+        before, labels = labels, written(labels.join(hooks, labels["component"] == hooks["old"], "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+        free(before, hooks)
     else:
         raise RuntimeError("components did not settle")
+    free(links)
     return labels

@@ -73,21 +73,57 @@ def test_large_family_in_squares(spark, monkeypatch):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("percent", [70, 85, 95])
-def test_signatures_lose_no_link(percent):
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+@pytest.mark.parametrize("common_words", [False, True])
+def test_signatures_lose_no_link(percent, common_words):
     rng = np.random.default_rng(percent)
-    for size in [*range(1, 40), 64, 100, 250, 900]:
+    for size in [*range(1, 40), 64, 100, 250, 500, 900, 3000]:
         for _ in range(25):
             g = rng.integers(1, 2**63, size, dtype=np.uint64)
-            drop = rng.integers(0, size + 1)
+            drop = rng.integers(0, min(size, size * (100 - percent) // 50 + 2) + 1)
             other = np.concatenate([g[: size - drop], rng.integers(1, 2**63, rng.integers(0, drop + 2), dtype=np.uint64)])
             common = size - drop
             if not common or 100 * common < percent * (size + len(other) - common) or common == size == len(other):
                 continue
-            sig, doc = partenum.signatures(np.concatenate([np.sort(g), np.sort(other)]), np.array([0, size, size + len(other)]), percent)
+            often = np.sort(g[: rng.integers(0, size + 1)]) if common_words else None
+            sig, doc, _ = partenum.signatures(np.concatenate([np.sort(g), np.sort(other)]), np.array([0, size, size + len(other)]), percent, often)
             assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_empty_choices_are_hardly_told(percent):
+    rng = np.random.default_rng(0)
+    for size in (30, 50, 100, 300, 800, 2000, 6000, 20000):
+        sizes = rng.integers(size, size * 5 // 4, max(20, 100_000 // size))
+        _, _, tells = partenum.signatures(rng.integers(1, 2**63, int(sizes.sum()), dtype=np.uint64), np.concatenate([[0], np.cumsum(sizes)]), percent)
+        assert tells.mean() <= 0.005, size
+
+
+@pytest.mark.parametrize(("percent", "n"), [(80, 5), (85, 4)])
+def test_few_links_of_unlike_sets(percent, n):
+    """Of the links from each signature's documents to one of them, few are of sets that share less than a tenth."""
+    import pyarrow.parquet as pq
+    from bibliarium.llm.common import blocks
+
+    of = {}
+    for b in blocks(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_batches()):
+        g, begin, both = partenum.sets(b, n)
+        of |= {h: g[x:y] for h, x, y in zip(both[:, 0].tolist(), begin, begin[1:]) if y > x}
+    every = list(of.values())
+    often = partenum._frequent(every, len(every))[0].view(np.uint64)
+    sig, doc, _ = partenum.signatures(np.concatenate(every), np.cumsum([0, *map(len, every)]), percent, often)
+    order = np.lexsort((doc, sig))
+    sig, doc = sig[order], doc[order]
+    lead = np.append(True, sig[1:] != sig[:-1])
+    pairs = np.unique(np.stack([doc[lead][np.cumsum(lead) - 1], doc]), axis=1)
+    pairs = pairs[:, pairs[0] != pairs[1]].T.tolist()
+    unlike = 0
+    for a, b in pairs:
+        common = len(np.intersect1d(every[a], every[b], assume_unique=True))
+        unlike += common < 0.1 * (len(every[a]) + len(every[b]) - common)
+    assert unlike < 0.05 * len(pairs), (unlike, len(pairs))
+
+
 def test_repeated_null_and_empty(spark):
     rows = [(1, "a b c d e"), (1, "x y z w v"), (2, "x y z w v"), (None, "a b c d e"), (3, None), (3, None), (4, "A B C D E")]
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in partenum.join(frame(spark, rows)).collect())
@@ -118,11 +154,18 @@ def test_more_pieces_than_sets(spark, monkeypatch):
 def test_square_with_an_empty_piece_has_no_links():
     import pyarrow as pa
 
-    t = {"i": [0, 0], "j": [1, 1], "side": [0, 0], "node": [1, 2], "h1": [5, 6], "h2": [5, 6], "weight": [1, 1], "features": [partenum.pack(np.arange(50, dtype=np.uint64))] * 2}
+    t = {"i": [0, 0], "j": [1, 1], "side": [0, 0], "node": [1, 2], "first_id": [1, 2], "weight": [1, 1], "features": [partenum.pack(np.arange(50, dtype=np.uint64))] * 2}
     assert partenum._compare(pa.table(t), 85).num_rows == 0
     assert partenum._compare(pa.table(t | {"j": [0, 0]}), 85).column("links").to_pylist() == [1, 1]
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 5, 6, 7), (2, "a b c d e f", 8, 9, 1), (3, "other words that stand here alone", 1, 2, 3), (3, "a b c d e f", 1, 1, 1), (None, None, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _drop int, _row int, `a.b` int")
+    got = partenum.one_of_each(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r._drop, r._row, r["a.b"]) for r in got.collect()) == [(0, 1, 2, 3), (1, 5, 6, 7)]
+
+
 def test_components(spark):
     rng = random.Random(0)
     for links in ([(i, i + 1) for i in range(300)], [(rng.randrange(400), rng.randrange(400)) for _ in range(300)], [(0, i) for i in range(500)], [(1, None), (2, 2)]):
