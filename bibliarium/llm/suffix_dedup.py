@@ -1,14 +1,15 @@
 """Suffix-array dedup (operator 10): bytes under a string of `window` bytes that starts anywhere else, in any document.
 
 Every window has an anchor, the first of its least-hashed 16-byte grams, which its own bytes determine; neighbouring
-windows with one anchor form a segment. Equal windows have equal anchors, so only segments whose anchor's gram occurs
-again can hold repeats. Buckets of gram hashes find those. Equal segments repeat as a whole and are told so at once;
-where different segments of one gram share a side of it too (a window holds half of what it has besides the gram on one
-side or the other), each different segment is sent once, and a shard joins what it gets into one text, builds its suffix array by induced sorting, and finds by permuted common prefixes which windows repeat.
+windows with one anchor form a segment. Equal windows have equal anchors, and share the gram and half of what they
+have besides it on one side or the other. Buckets of gram hashes tell pieces which of their segments share that much
+with another; each piece sends these once, by gram, to shards. A shard compares the bytes of segments whose hashes are
+equal, joins those that differ into one text, builds its suffix array by induced sorting, and finds by permuted common
+prefixes which windows repeat. Hashes only choose what is compared; bytes decide.
 
 A gram with over HOT different segments (as at the edge of a passage that a third of all documents share) would make one
-shard as large as the corpus; its windows are told apart by their hashes instead, which are dealt and pre-aggregated
-like everything else. Hashes have 64 bits.
+shard as large as the corpus; its windows are told apart by two hashes of 64 bits instead, which are dealt and
+pre-aggregated like everything else.
 
 Null and empty texts have no bytes; texts shorter than a window lose none. Every row counts, so a repeated row repeats
 its bytes; null ids stay. An empty table gives no rows; extra columns are not read.
@@ -17,6 +18,7 @@ its bytes; null ids stay. An empty table gives no rows; extra columns are not re
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, MULT, U64, blocks, bucket_of, buckets, flat, mix, narrow, pack, pack_sorted, powers, repeated, span_hash, unpack, unpack_sorted, written
+from .common import BYTE, MULT, U64, blocks, bucket_of, flat, mix, narrow, pack, pack_sorted, powers, repeated, span_hash, unpack, unpack_sorted, written
 from .exchange import pieces, text_columns
 from .suffix import common_prefixes, suffix_array
 
 GRAM = 16
 #: Different segments of one gram that a shard takes.
 HOT = 2000
-PIECE_SCHEMA = "ids binary, has_id binary, lengths binary, text binary, start binary, windows binary, rank binary, grams binary, segments binary, twice binary, left binary, right binary"
+PIECE_SCHEMA = "ids binary, has_id binary, lengths binary, text binary, start binary, windows binary, rank binary, grams binary, segments binary, twice binary, left binary, right binary, n_segments bigint"
 #: Bytes of text that one suffix array is built over; the segments of one gram stay together, however long.
 SHARD_BYTES = 1 << 20
-#: What a bucket tells of a segment: it repeats as a whole; its windows are to be asked of a shard; of the buckets of windows.
-REPEATS, SEND, SPREAD = 1, 2, 4
+#: What a bucket tells of a segment: its windows are to be asked of a shard; of the buckets of windows.
+SEND, SPREAD = 1, 2
+#: Bytes of what pieces ask that a bucket takes, and of text, about.
+BUCKET_BYTES = 8 << 20
+OTHER = mix(BYTE + MULT[0]) | U64(1)
 
 
 def _anchors(prefix: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,20 +51,39 @@ def _anchors(prefix: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndar
     if not count.sum():
         return none, none, none
     at = np.arange(n - GRAM + 1)
-    bits = max(int(n).bit_length(), 20)
-    low = U64((1 << bits) - 1)
-    key = (span_hash(prefix, at, at + GRAM) & ~low) | at.astype(np.uint64)
     span = window - GRAM + 1
-    padded = np.concatenate([key, np.full(-len(key) % span + span, ~U64(0))]).reshape(-1, span)
-    ahead = np.minimum.accumulate(padded, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    key = span_hash(prefix, at, at + GRAM)
+    key = np.concatenate([key, np.full(-len(key) % span + span, ~U64(0))]).reshape(-1, span)
+    place = np.arange(key.size).reshape(key.shape)
+    # least keys, and the leftmost places of them, from a row's begin up to each place and from each place to the row's end
+    ahead = np.minimum.accumulate(key, axis=1)
+    fresh = np.ones(key.shape, bool)
+    fresh[:, 1:] = key[:, 1:] < ahead[:, :-1]
+    ahead_at = np.maximum.accumulate(np.where(fresh, place, -1), axis=1).reshape(-1)
+    behind = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1]
+    behind_at = np.minimum.accumulate(np.where(key <= behind, place, key.size)[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    ahead, behind = ahead.reshape(-1), behind.reshape(-1)
     s = flat(offs[:-1][count > 0], count[count > 0])
-    anchor = (np.minimum(behind[s], ahead[s + span - 1]) & low).astype(np.int64)
+    e = s + span - 1
+    anchor = np.where(behind[s] <= ahead[e], behind_at[s], ahead_at[e])
     doc = np.repeat(np.arange(len(count)), count)
     lead = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
     return s[lead], np.diff(np.append(lead, len(s))), anchor[lead]
 
 
+def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the pairs of stretches that begin at a and b, of size bytes, are not equal."""
+    out = np.zeros(len(a), bool)
+    step = np.searchsorted(np.cumsum(size), np.arange(1, int(size.sum() // BUCKET_BYTES) + 1) * BUCKET_BYTES) if len(size) else []
+    for lo, hi in zip([0, *step], [*step, len(a)]):
+        n = size[lo:hi]
+        unequal = data[flat(a[lo:hi], n)] != data[flat(b[lo:hi], n)]
+        at = np.cumsum(np.append(0, unequal))
+        ends = np.cumsum(n)
+        out[lo:hi] = at[ends] > at[ends - n]
+    return out
+
+
 def _piece(window: int):
     def make(batches: list[pa.RecordBatch]) -> dict:
         start, windows, grams, segments, lengths, texts, sides, at = [], [], [], [], [], [], ([], []), 0
@@ -77,16 +101,22 @@ def _piece(window: int):
             lengths.append(np.diff(b.offs)), texts.append(b.data)
             at += len(b.data)
         ids = pa.chunked_array([b.column(0) for b in batches])
-        g, s = np.concatenate(grams), np.concatenate(segments)
+        g, s, data = np.concatenate(grams), np.concatenate(segments), np.concatenate(texts)
+        begin, size = np.concatenate(start), np.concatenate(windows) + window - 1
         order = np.lexsort((s, g))
         lead = np.ones(len(g), bool)
         lead[1:] = (g[order][1:] != g[order][:-1]) | (s[order][1:] != s[order][:-1])
+        first = order[lead][np.cumsum(lead) - 1] if len(order) else order
+        same = np.flatnonzero(~lead)
+        wrong = size[order[same]] != size[first[same]]
+        wrong[~wrong] = _differ(data, begin[order[same][~wrong]], begin[first[same][~wrong]], size[order[same][~wrong]])
+        lead[same[wrong]] = True  # equal hashes of different bytes
         rank = np.empty(len(g), np.int64)
         rank[order] = np.cumsum(lead) - 1
         return {
-            "ids": pack(pc.fill_null(ids, 0).to_numpy()), "has_id": pack(pc.is_valid(ids).to_numpy()), "lengths": pack(np.concatenate(lengths)), "text": pack(np.concatenate(texts)),
-            "start": pack_sorted(np.concatenate(start).astype(np.uint64)), "windows": pack(narrow(np.concatenate(windows))), "rank": pack(rank.astype(np.uint32)),
-            "grams": pack_sorted(g[order][lead]), "segments": pack(s[order][lead]), "twice": pack(np.bincount(rank, minlength=int(lead.sum()))[: int(lead.sum())] > 1),
+            "ids": pack(pc.fill_null(ids, 0).to_numpy()), "has_id": pack(pc.is_valid(ids).to_numpy()), "lengths": pack(np.concatenate(lengths)), "text": pack(data),
+            "start": pack_sorted(begin.astype(np.uint64)), "windows": pack(narrow(np.concatenate(windows))), "rank": pack(rank.astype(np.uint32)),
+            "grams": pack_sorted(g[order][lead]), "segments": pack(s[order][lead]), "twice": pack(np.bincount(rank, minlength=int(lead.sum()))[: int(lead.sum())] > 1), "n_segments": int(lead.sum()),
             "left": pack(np.concatenate(sides[0])[order][lead]), "right": pack(np.concatenate(sides[1])[order][lead]),
         }
 
@@ -101,8 +131,10 @@ def _ask(many: int):
             for row in batch.to_pylist():
                 g, others = unpack_sorted(row["grams"]), [unpack(row[k]) for k in ("segments", "twice", "left", "right")]
                 edge = bucket_of(g, many)
-                cols = [[pack_sorted(g[a:b]) for a, b in zip(edge, edge[1:])], *([pack(x[a:b]) for a, b in zip(edge, edge[1:])] for x in others)]
-                yield pa.record_batch([pa.array(np.arange(many), pa.int32()), pa.array(np.full(many, row["piece"])), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "piece", "grams", "segments", "twice", "left", "right"])
+                some = np.flatnonzero(np.diff(edge))
+                cells = [(int(edge[k]), int(edge[k + 1])) for k in some]
+                cols = [[pack_sorted(g[a:b]) for a, b in cells], *([pack(x[a:b]) for a, b in cells] for x in others)]
+                yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["piece"])), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "piece", "grams", "segments", "twice", "left", "right"])
 
     return run
 
@@ -124,12 +156,10 @@ def _tell(t: pa.Table, hot: int) -> pa.Table:
     # a window holds one whole side of its anchor, so different segments that share one share a side
     own = order[new_s]
     meets = repeated(mix(g[own] * MULT[8] + left[own])) | repeated(mix(g[own] * MULT[9] + right[own]))
-    several = meets[which]
+    several = meets[which] | (often[which] > 1)
     gram = np.cumsum(new_g) - 1
     kinds = np.bincount(gram, new_s & several).astype(np.int64) if len(gram) else np.zeros(0, np.int64)
-    code = np.where(often[which] > 1, REPEATS, 0)
-    spread = several & (kinds[gram] > hot)
-    code += np.where(several & ~spread & new_s, SEND, 0) + np.where(spread, SPREAD, 0)
+    code = np.where(several, np.where(kinds[gram] > hot, SPREAD, SEND), 0)
     out = np.empty(len(code), np.uint8)
     out[order] = code
     return pa.table({"piece": pa.array(c["piece"], pa.int64()), "bucket": pa.array(c["bucket"], pa.int32()), "kind": pa.array([0] * len(c["piece"]), pa.int32()), "told": pa.array([pack(x) for x in np.split(out, cut)], pa.binary())})
@@ -143,17 +173,36 @@ def _codes(told: list[dict], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[rank].astype(np.int64), first
 
 
-def _window_hashes(data: np.ndarray, start: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
-    """Hashes of all windows of some segments, one segment's after the other's."""
-    out = []
+def _window_hashes(data: np.ndarray, start: np.ndarray, windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of all windows of some segments, one segment's after the other's."""
+    out = ([], [])
     for lo in range(0, len(start), 20_000):
         s, w = start[lo : lo + 20_000], windows[lo : lo + 20_000]
         size = w + window - 1
         own = data[flat(s, size)]
-        up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[own] * powers(len(own))[0])])
         at = flat(np.cumsum(size) - size, w)
-        out.append(span_hash(up, at, at + window))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        for table, hashes in zip((BYTE, OTHER), out):
+            up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[own] * powers(len(own))[0])])
+            hashes.append(span_hash(up, at, at + window))
+    one, two = (np.concatenate([*x, np.zeros(0, np.uint64)]) for x in out)
+    return one, two
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, which of them each is, and how often each occurs."""
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    lead = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
+    at = np.empty(len(one), np.int64)
+    at[order] = np.cumsum(lead) - 1
+    return one[lead], two[lead], at, np.bincount(at)
+
+
+def _asked(code: np.ndarray, first: np.ndarray, rank: np.ndarray, grams: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segments that a piece sends to shards, in order of their grams, and where each bucket's begin."""
+    go = np.flatnonzero((code & SEND > 0) & first)
+    go = go[np.argsort(rank[go], kind="stable")]
+    return go, bucket_of(grams[rank[go]], many)
 
 
 def _split(many: int, window: int):
@@ -164,20 +213,17 @@ def _split(many: int, window: int):
         start, windows, rank = unpack_sorted(row["start"]).astype(np.int64), unpack(row["windows"]).astype(np.int64), unpack(row["rank"]).astype(np.int64)
         data = unpack(row["text"])
         code, first = _codes(right.to_pylist(), rank)
-        grams = unpack_sorted(row["grams"])
-        go = np.flatnonzero((code & SEND > 0) & first)
-        go = go[np.argsort(rank[go], kind="stable")]
-        edge = bucket_of(grams[rank[go]], many)
+        grams, twice = unpack_sorted(row["grams"]), unpack(row["twice"])
+        go, edge = _asked(code, first, rank, grams, many)
         rows = []
         for k, (a, b) in enumerate(zip(edge, edge[1:])):
             if b > a:
                 seg = go[a:b]
-                rows.append((1, k, pack(data[flat(start[seg], windows[seg] + window - 1)]), pack(narrow(windows[seg])), pack(code[seg] & REPEATS == 0), pack_sorted(grams[rank[seg]])))
+                rows.append((1, k, pack(data[flat(start[seg], windows[seg] + window - 1)]), pack(narrow(windows[seg])), pack(twice[rank[seg]]), pack_sorted(grams[rank[seg]])))
         far = np.flatnonzero(code & SPREAD)
-        h = _window_hashes(data, start[far], windows[far], window)
-        every, n = np.unique(h, return_counts=True)
-        edge = bucket_of(every, many)
-        rows += [(2, k, pack_sorted(every[a:b]), pack(n[a:b] > 1), b"", b"") for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+        one, two, _, n = _distinct(*_window_hashes(data, start[far], windows[far], window))
+        edge = bucket_of(one, many)
+        rows += [(2, k, pack_sorted(one[a:b]), pack(two[a:b]), pack(n[a:b] > 1), b"") for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
         return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([row["piece"]] * len(rows), pa.int64()), *(pa.array([x[k] for x in rows], pa.binary()) for k in (2, 3, 4, 5))], ["kind", "bucket", "piece", "a", "b", "c", "d"])
 
     return run
@@ -211,29 +257,43 @@ def _shard(t: pa.Table, window: int) -> pa.Table:
     c = t.to_pydict()
     kind = c["kind"][0]
     if kind == 1:
-        data, windows, asks = [unpack(x) for x in c["a"]], [unpack(x).astype(np.int64) for x in c["b"]], [unpack(x) for x in c["c"]]
+        windows = [unpack(x).astype(np.int64) for x in c["b"]]
         sizes = np.concatenate(windows) + window - 1
-        data, grams = np.concatenate(data), np.concatenate([unpack_sorted(x) for x in c["d"]])
-        begin, order = np.cumsum(sizes) - sizes, np.argsort(grams, kind="stable")
-        flags = np.zeros(len(data), bool)
-        # one suffix array at a time, over whole grams
-        fresh = np.append(np.flatnonzero(np.append(True, np.diff(grams[order]) != 0)), len(order))
-        filled = np.append(0, np.cumsum(sizes[order]))[fresh]
+        data, twice, grams = (np.concatenate([read(x) for x in c[k]]) for k, read in (("a", unpack), ("c", unpack), ("d", unpack_sorted)))
+        begin = np.cumsum(sizes) - sizes
+        up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(len(data))[0])])
+        h = span_hash(up, begin, begin + sizes)
+        order = np.lexsort((sizes, h, grams))
+        lead = np.ones(len(order), bool)
+        lead[1:] = (grams[order][1:] != grams[order][:-1]) | (h[order][1:] != h[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+        same = np.flatnonzero(~lead)
+        lead[same[_differ(data, begin[order[same]], begin[order[lead][np.cumsum(lead) - 1][same]], sizes[order[same]])]] = True
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(lead) - 1
+        whole = np.bincount(which) + np.bincount(which, twice) > 1  # segments that repeat as they are
+        own = order[lead]  # of equal segments one
+        flags = np.repeat(whole[which], sizes)
+        # one suffix array at a time, over whole grams, of those with different segments
+        fresh = np.append(np.flatnonzero(np.append(True, np.diff(grams[own]) != 0)), len(own))
+        several = np.flatnonzero(np.diff(fresh) > 1)
+        weight = np.add.reduceat(sizes[own], fresh[:-1])[several]
+        filled = np.append(0, np.cumsum(weight))
         lo = 0
-        while lo + 1 < len(fresh):
+        while lo < len(several):
             hi = max(lo + 1, int(np.searchsorted(filled, filled[lo] + SHARD_BYTES, side="right")) - 1)
-            some = order[fresh[lo] : fresh[hi]]
+            some = own[flat(fresh[several[lo:hi]], np.diff(fresh)[several[lo:hi]])]
             at = flat(begin[some], sizes[some])
-            flags[at] = repeated_windows(data[at], sizes[some], window)
+            flags[at] |= repeated_windows(data[at], sizes[some], window)
             lo = hi
+        begin = begin[own[which]]  # equal segments' answers are one
         at, told = 0, []
-        for w, a in zip(windows, asks):
-            told.append(np.packbits(flags[flat(begin[at : at + len(w)][a], w[a])]).tobytes())
+        for w in windows:
+            told.append(np.packbits(flags[flat(begin[at : at + len(w)], w)]).tobytes())
             at += len(w)
     else:
-        h, twice = [unpack_sorted(x) for x in c["a"]], [unpack(x) for x in c["b"]]
-        cut = np.cumsum([len(x) for x in h])[:-1]
-        _, at, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        one, two, twice = [unpack_sorted(x) for x in c["a"]], [unpack(x) for x in c["b"]], [unpack(x) for x in c["c"]]
+        cut = np.cumsum([len(x) for x in one])[:-1]
+        _, _, at, n = _distinct(np.concatenate(one), np.concatenate(two))
         n = n + np.bincount(at, np.concatenate(twice)).astype(np.int64)
         told = [np.packbits(x).tobytes() for x in np.split(n[at] > 1, cut)]
     return pa.table({"piece": pa.array(c["piece"], pa.int64()), "bucket": pa.array(c["bucket"], pa.int32()), "kind": pa.array(c["kind"], pa.int32()), "told": pa.array(told, pa.binary())})
@@ -246,30 +306,22 @@ def _finish(many: int, window: int, with_text: bool):
         data, lengths = unpack(row["text"]), unpack(row["lengths"])
         code, first = _codes(told, rank)
         hit = np.zeros(len(data) + 1, bool)
-        whole = np.flatnonzero(code & REPEATS)
+        whole = np.flatnonzero(unpack(row["twice"])[rank])  # twice within the piece, by their bytes
         hit[flat(start[whole], windows[whole])] = True
-        grams = unpack_sorted(row["grams"])
-        go = np.flatnonzero((code & SEND > 0) & first)
-        go = go[np.argsort(rank[go], kind="stable")]
-        edge = bucket_of(grams[rank[go]], many)
+        go, edge = _asked(code, first, rank, unpack_sorted(row["grams"]), many)
+        far = np.flatnonzero(code & SPREAD)
+        one, _, inverse, _ = _distinct(*_window_hashes(data, start[far], windows[far], window))
+        flags, spread = np.zeros(len(one), bool), bucket_of(one, many)
         for x in told:
             if x["kind"] == 1:
                 seg = go[edge[x["bucket"]] : edge[x["bucket"] + 1]]
-                seg = seg[code[seg] & REPEATS == 0]
                 at = flat(start[seg], windows[seg])
-                hit[at] = np.unpackbits(np.frombuffer(x["told"], np.uint8), count=len(at)).view(bool)
-        far = np.flatnonzero(code & SPREAD)
-        if len(far):
-            h = _window_hashes(data, start[far], windows[far], window)
-            every, inverse = np.unique(h, return_inverse=True)
-            edge = bucket_of(every, many)
-            flags = np.zeros(len(every), bool)
-            for x in told:
-                if x["kind"] == 2:
-                    a, b = edge[x["bucket"]], edge[x["bucket"] + 1]
-                    flags[a:b] = np.unpackbits(np.frombuffer(x["told"], np.uint8), count=int(b - a)).view(bool)
-            at = flat(start[far], windows[far])
-            hit[at] |= flags[inverse]
+                hit[at] |= np.unpackbits(np.frombuffer(x["told"], np.uint8), count=len(at)).view(bool)
+            elif x["kind"] == 2:
+                a, b = spread[x["bucket"]], spread[x["bucket"] + 1]
+                flags[a:b] = np.unpackbits(np.frombuffer(x["told"], np.uint8), count=int(b - a)).view(bool)
+        at = flat(start[far], windows[far])
+        hit[at] |= flags[inverse]
         n = len(data)
         total = np.zeros(n + 1, np.int64)
         np.cumsum(hit[:n], out=total[1:])
@@ -297,13 +349,15 @@ def dedup(docs: DataFrame, window: int = 200, hot: int = HOT, id_col: str = "doc
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with_text also the kept bytes, of every row."""
     if window < 2 * GRAM:
         raise ValueError(f"windows of {2 * GRAM} bytes at least")
-    many = buckets(docs.sparkSession)
     table = pieces(docs, _piece(window), PIECE_SCHEMA, "pieces", text_columns(id_col, text_col))
+    total = table.agg(F.sum(F.octet_length("text")), F.sum("n_segments")).first()
+    many = max(8, math.ceil(max(total[0] or 0, 33 * (total[1] or 0)) / BUCKET_BYTES))
     asked = table.select("piece", "grams", "segments", "twice", "left", "right").mapInArrow(_ask(many), "bucket int, piece bigint, grams binary, segments binary, twice binary, left binary, right binary")
     told = written(asked.groupBy("bucket").applyInArrow(lambda t: _tell(t, hot), "piece bigint, bucket int, kind int, told binary"), "told")
-    body = table.select("piece", "ids", "has_id", "lengths", "text", "start", "windows", "rank", "grams")
-    sent = body.select("piece", "text", "start", "windows", "rank", "grams").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_split(many, window), "kind int, bucket int, piece bigint, a binary, b binary, c binary, d binary")
-    found = sent.groupBy("kind", "bucket").applyInArrow(lambda t: _shard(t, window), "piece bigint, bucket int, kind int, told binary")
+    body = table.select("piece", "ids", "has_id", "lengths", "text", "start", "windows", "rank", "grams", "twice")
+    sent = body.select("piece", "text", "start", "windows", "rank", "grams", "twice").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_split(many, window), "kind int, bucket int, piece bigint, a binary, b binary, c binary, d binary")
+    # a given number of partitions is not merged into few tasks, whose work is more than their bytes tell
+    found = sent.repartition(many, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(lambda t: _shard(t, window), "piece bigint, bucket int, kind int, told binary")
     answers = told.unionByName(written(found, "found"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
     return body.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(_finish(many, window, with_text), schema)

@@ -67,3 +67,35 @@ def test_suffix_array_and_common_prefixes():
         for x, y in zip(sa, sa[1:]):
             n = next((i for i in range(min(len(b) - x, len(b) - y)) if b[x + i] != b[y + i]), min(len(b) - x, len(b) - y))
             assert shared[y] == min(n, 24)
+
+
+def test_anchors_do_not_depend_on_what_stands_around():
+    """Windows of equal bytes, whose least grams tie, in blocks of different sizes."""
+    from bibliarium.llm.common import BYTE, Block
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    text = "".join(rng.choice(["ab" * 40, "abcdefghijklmnopq" * 9, "x" * 70, "".join(rng.choice("abc") for _ in range(60))]) for _ in range(40))
+    own = {}
+    for before in ("", "y" * 70_001, "z" * 3_000_000):
+        b = Block(pa.record_batch([pa.array([1]), pa.array([before + text])], ["doc_id", "text"]))
+        s, w, a = suffix_dedup._anchors(b.prefix(BYTE), b.offs, 200)
+        at = {int(x) + k - len(before): int(y) - len(before) for x, n, y in zip(s, w, a) for k in range(n) if x + k >= len(before)}
+        own.setdefault("first", at)
+        assert at == own["first"] and len(at) == len(text) - 199
+
+
+def test_equal_hashes_of_different_bytes(spark, monkeypatch):
+    """Segments are told apart by their bytes where all their hashes are equal."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(230)
+    texts = [word(150) + shared + word(150) for _ in range(6)] + [shared, shared]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    assert suffix_dedup._differ(raw, starts[:1], starts[1:2], np.array([380])).tolist() == [True]
+    assert suffix_dedup._differ(raw, starts[[6, 6]], starts[[7, 0]], np.array([230, 230])).tolist() == [False, True]
+    assert suffix_dedup._differ(raw, starts[:0], starts[:0], ends[:0]).tolist() == []
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 100)
+    assert suffix_dedup._differ(raw, starts[[6, 6, 6]], starts[[7, 0, 7]], np.array([230, 230, 230])).tolist() == [False, True, False]
