@@ -1,21 +1,25 @@
 """LM scoring (operator 8): deleted interpolation of n-gram estimates, mixed by context-frequency buckets.
 
 Tokens are words (ASCII letters in lower case) and one end for each document. A token's probability mixes a uniform
-share, its unigram and its bigram maximum-likelihood estimate, with weights for each bucket of context frequency
-(powers of two). Weights come from expectation-maximisation over all training tokens, each held out in turn: its own
-occurrence is taken off every count that its estimates use. All documents count and all are scored.
+share and its unigram, bigram and trigram maximum-likelihood estimates, with weights for each bucket of context
+frequency (powers of two of the count of the two tokens before, or of the one before where the two are new). Weights
+come from expectation-maximisation on held-out counts: a seventh of the training documents, by their ids, is taken off
+the counts, and weights are those under which the counts of the others predict it best. The model then uses the counts
+of all training documents. All documents count and all are scored.
 
 Texts become pieces of token numbers once. Each piece asks for the counts of its distinct n-grams: sorted hashes go to
 buckets by hash range, a bucket adds up what all pieces bring and answers each, and answers meet their piece again. So a
-word that every document has reaches its bucket once for each piece. Expectation-maximisation sees a histogram of the
-estimates on a logarithmic grid, whose size the grid bounds.
+word that every document has reaches its bucket once for each piece. A round of expectation-maximisation is one pass
+over the distinct counts of the held-out tokens, of which each piece hands on sums by bucket only.
 
 Null and empty texts are the end alone. Repeated rows count each time. Null ids are in the training part. Without
-training tokens every probability is uniform. An empty table gives no rows; extra columns are not read.
+training tokens every probability is uniform; without held-out ones all estimates weigh the same. An empty table gives
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MULT, blocks, bucket_of, buckets, mix, narrow, pack, pack_sorted, span_hash, unpack, unpack_sorted, written
+from .common import LOWER, MULT, blocks, bucket_of, free, mix, narrow, pack, pack_sorted, span_hash, unpack, unpack_sorted, written
 from .exchange import pieces, text_columns
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-GRID = 8
+ORDER = 3
 LEVELS = 26
-PIECE_SCHEMA = "ids binary, has_id binary, held binary, lengths binary, hashes binary, tokens binary, train_tokens bigint, train_docs bigint"
+#: Bytes of what pieces ask that a bucket takes, about.
+BUCKET_BYTES = 8 << 20
+PIECE_SCHEMA = "ids binary, has_id binary, held binary, deleted binary, lengths binary, hashes binary, tokens binary, train_tokens bigint, train_docs bigint, deleted_tokens bigint, deleted_docs bigint, n_tokens bigint"
 
 
 def held_out(id_col: str) -> Column:
@@ -38,6 +44,11 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
+def deleted(id_col: str) -> Column:
+    """Training documents that the weights are learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 3, F.lit(False))
+
+
 def _piece(batches: list[pa.RecordBatch]) -> dict:
     words, lengths = [], []
     for b in blocks(iter(batches)):
@@ -45,163 +56,226 @@ def _piece(batches: list[pa.RecordBatch]) -> dict:
         h = span_hash(b.prefix(LOWER), start, end)
         words.append(np.insert(h, first[1:], END))
         lengths.append(np.diff(first) + 1)
-    held = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in batches]).astype(bool)
+    held, off = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]).astype(bool) for k in (2, 3))
+    off &= ~held
     ids = pa.chunked_array([b.column(0) for b in batches])
     n = np.concatenate(lengths)
     hashes, tokens = np.unique(np.concatenate(words), return_inverse=True)
     return {
-        "ids": pack(pc.fill_null(ids, 0).to_numpy()), "has_id": pack(pc.is_valid(ids).to_numpy()), "held": pack(held), "lengths": pack(n),
-        "hashes": pack_sorted(hashes), "tokens": pack(tokens.astype(np.uint32)), "train_tokens": int(n[~held].sum()), "train_docs": int((~held).sum()),
+        "ids": pack(pc.fill_null(ids, 0).to_numpy()), "has_id": pack(pc.is_valid(ids).to_numpy()), "held": pack(held), "deleted": pack(off), "lengths": pack(n),
+        "hashes": pack_sorted(hashes), "tokens": pack(tokens.astype(np.uint32)), "n_tokens": int(n.sum()),
+        "train_tokens": int(n[~held].sum()), "train_docs": int((~held).sum()), "deleted_tokens": int(n[off].sum()), "deleted_docs": int(off.sum()),
     }
 
 
-def _bigrams(hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending hashes of a piece's distinct bigrams, which of them each token ends, and the token before (one past all for a document's first)."""
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(lengths) - lengths] = len(hashes)
-    keys, inverse = np.unique(before * np.int64(len(hashes) + 1) + tokens, return_inverse=True)
-    ctx = np.append(hashes, MULT[10])[keys // (len(hashes) + 1)]
-    h = mix(ctx * MULT[11] + hashes[keys % (len(hashes) + 1)] * MULT[12])
-    order = np.argsort(h)
-    place = np.empty(len(h), np.int64)
-    place[order] = np.arange(len(h))
-    return h[order], place[inverse], before
-
-
-def _count(hashes: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
-    """For each list of hashes the counts of all lists together."""
-    h, c = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
+def _grams(hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n-grams of 1 to ORDER tokens: ascending hashes of a piece's distinct ones, and which of them each token ends.
+
+    Before a document's first token stand as many starts as needed.
+    """
+    first = np.cumsum(lengths) - lengths
+    out, start = [(hashes, tokens)], MULT[10]
+    for n in range(1, ORDER):
+        h, place = out[-1]
+        before = np.empty(len(tokens), np.int64)
+        before[1:] = place[:-1]
+        before[first] = len(h)
+        keys, inverse = np.unique(before * np.int64(len(hashes) + 1) + tokens, return_inverse=True)
+        made = mix(np.append(h, start)[keys // (len(hashes) + 1)] * MULT[11 + 2 * n] + hashes[keys % (len(hashes) + 1)] * MULT[12 + 2 * n])
+        order = np.argsort(made)
+        rank = np.empty(len(made), np.int64)
+        rank[order] = np.arange(len(made))
+        out.append((made[order], rank[inverse]))
+    return out
+
+
+def _count(hashes: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[list[list[np.ndarray]], int]:
+    """For each list of hashes the counts (of each kind) of all lists together; how many hashes have a first count."""
+    h = np.concatenate(hashes)
     order = np.argsort(h)
     lead = np.ones(len(h), bool)
     lead[1:] = h[order][1:] != h[order][:-1]
-    total = np.add.reduceat(c[order], np.flatnonzero(lead)) if len(h) else c
-    out = np.empty(len(h), np.int64)
-    out[order] = total[np.cumsum(lead) - 1]
-    return np.split(out, np.cumsum([len(x) for x in hashes])[:-1])
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(lead) - 1
+    cut = np.cumsum([len(x) for x in hashes])[:-1]
+    out, seen = [], None
+    for c in counts:
+        total = np.add.reduceat(np.concatenate(c).astype(np.int64)[order], np.flatnonzero(lead)) if len(h) else np.zeros(0, np.int64)
+        seen = int((total > 0).sum()) if seen is None else seen
+        out.append(np.split(total[of], cut))
+    return out, seen
 
 
 @dataclass
 class Mixture:
-    """Weights of the uniform, unigram and bigram estimates by bucket of context frequency, and what they need."""
+    """Weights of the uniform, unigram, bigram and trigram estimates by bucket of context frequency, and what they need."""
 
     weights: np.ndarray
     tokens: int
     types: int
     documents: int
 
-    def estimates(self, uni: np.ndarray, bi: np.ndarray, ctx: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Context bucket, unigram and bigram estimate, with `off` taken off every count."""
-        c = ctx - off
-        level = np.minimum(np.where(c > 0, np.frexp(c.astype(float))[1], 0), LEVELS - 1)
-        return level, (uni - off) / max(self.tokens - off, 1), np.where(c > 0, (bi - off) / np.maximum(c, 1), 0.0)
+    def estimates(self, counts: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket, and the estimates in columns. counts: of the n-grams; contexts: of what stands before the token in the bigram and in the trigram."""
+        one, two = contexts
+        bits = lambda c: np.minimum(np.frexp(c.astype(float))[1], LEVELS - 1)
+        level = np.where(two > 0, LEVELS + bits(two), bits(one))
+        p = [np.full(len(one), 1 / (self.types + 1)), counts[0] / max(self.tokens, 1)]
+        p += [np.where(c > 0, n / np.maximum(c, 1), 0.0) for n, c in zip(counts[1:], contexts)]
+        return level, np.stack(p, axis=1)
 
-    def log10(self, uni: np.ndarray, bi: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        level, p1, p2 = self.estimates(uni, bi, ctx, 0)
-        w = self.weights[level]
-        return np.log10(w[:, 0] / (self.types + 1) + w[:, 1] * p1 + w[:, 2] * p2)
+    def log10(self, counts: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        level, p = self.estimates(counts, contexts)
+        return np.log10((self.weights[level] * p).sum(1))
 
 
-def learn(cells: np.ndarray, counts: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
-    """Mixture weights by expectation-maximisation over a histogram: cells of (level, unigram place, bigram place) on the grid."""
-    level, q1, q2 = cells
-    p = np.stack([np.full(len(level), 1 / (types + 1)), np.where(q1 < 0, 0, 2.0 ** (-q1 / GRID)), np.where(q2 < 0, 0, 2.0 ** (-q2 / GRID))], axis=1)
-    w = np.full((LEVELS, 3), 1 / 3)
-    w[0] = 0.5, 0.5, 0.0
-    for _ in range(rounds):
-        share = w[level] * p
-        share *= (counts / np.maximum(share.sum(1), 1e-300))[:, None]
-        total = np.stack([np.bincount(level, share[:, k], LEVELS) for k in range(3)], axis=1) + 1e-3  # for levels without tokens, and so that the unseen keeps a share
-        total[0, 2] = 0
-        w = total / total.sum(1, keepdims=True)
-    return w
+def start_weights() -> np.ndarray:
+    """All estimates alike, but for those that a bucket has no context for: its first LEVELS are those of new pairs, its first that of new words."""
+    w = np.ones((2 * LEVELS, 1 + ORDER))
+    w[:LEVELS, 3] = 0
+    w[0, 2] = 0
+    return w / w.sum(1, keepdims=True)
+
+
+def step(weights: np.ndarray, level: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Expected counts of each bucket and estimate, of tokens that occur n times."""
+    share = weights[level] * p
+    share *= (n / np.maximum(share.sum(1), 1e-300))[:, None]
+    return np.stack([np.bincount(level, share[:, k], len(weights)) for k in range(share.shape[1])], axis=1)
+
+
+def renewed(expected: np.ndarray) -> np.ndarray:
+    """The next weights. A little of the first ones keeps buckets without tokens, and what was not seen, above zero."""
+    total = expected + 1e-3 * start_weights()
+    return total / total.sum(1, keepdims=True)
+
 
+def _contexts(counts: list[np.ndarray], lengths: np.ndarray, documents: int) -> list[np.ndarray]:
+    """Counts of the token before, and of the two tokens before."""
+    first, out = np.cumsum(lengths) - lengths, []
+    for c in counts[: ORDER - 1]:
+        x = np.empty(len(c), np.int64)
+        x[1:] = c[:-1]
+        x[first] = documents
+        out.append(x)
+    return out
 
-def counted(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mixture]:
-    """A written table of pieces with the training counts of each token's n-grams, and a mixture without weights yet."""
-    spark = docs.sparkSession
-    many = buckets(spark)
-    table = pieces(docs, _piece, PIECE_SCHEMA, "tokens", [*text_columns(id_col, text_col), held.alias("held")])
+
+def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mixture, tuple[int, int]]:
+    """A written table of pieces with the training counts of each token's n-grams, and of the deleted documents' tokens also those in deleted documents;
+    a mixture without learned weights; and how many tokens and documents are deleted."""
+    table = pieces(docs, _piece, PIECE_SCHEMA, "tokens", [*text_columns(id_col, text_col), held.alias("held"), off.alias("deleted")])
+    n = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "deleted_tokens", "deleted_docs", "n_tokens"))).first()
+    many = max(8, math.ceil(12 * n[4] / BUCKET_BYTES))  # about six bytes for each bigram and trigram
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                hashes, tokens, lengths = unpack_sorted(row["hashes"]), unpack(row["tokens"]).astype(np.int64), unpack(row["lengths"])
-                train = np.repeat(~unpack(row["held"]), lengths)
-                h, place, _ = _bigrams(hashes, tokens, lengths)
-                one, two = np.bincount(tokens[train], minlength=len(hashes)), np.bincount(place[train], minlength=len(h))
-                e1, e2 = bucket_of(hashes, many), bucket_of(h, many)
-                cols = [[pack_sorted(hashes[a:b]) for a, b in zip(e1, e1[1:])], [pack(narrow(one[a:b])) for a, b in zip(e1, e1[1:])], [pack_sorted(h[a:b]) for a, b in zip(e2, e2[1:])], [pack(narrow(two[a:b])) for a, b in zip(e2, e2[1:])]]
-                yield pa.record_batch([pa.array(np.arange(many), pa.int32()), pa.array(np.full(many, row["piece"])), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "piece", "h1", "c1", "h2", "c2"])
+                lengths = unpack(row["lengths"])
+                train, gone = (np.repeat(x, lengths) for x in (~unpack(row["held"]), unpack(row["deleted"])))
+                cells: dict[int, list] = {}
+                for k, (h, place) in enumerate(_grams(unpack_sorted(row["hashes"]), unpack(row["tokens"]).astype(np.int64), lengths)):
+                    counts = [np.bincount(place[x], minlength=len(h)) for x in (train, gone)]
+                    edge = bucket_of(h, many)
+                    for b in np.flatnonzero(np.diff(edge)).tolist():
+                        lo, hi = edge[b], edge[b + 1]
+                        cells.setdefault(b, [None] * 3 * ORDER)[3 * k : 3 * k + 3] = [pack_sorted(h[lo:hi]), *(pack(narrow(c[lo:hi])) for c in counts)]
+                some = sorted(cells)
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array(np.full(len(some), row["piece"])), *(pa.array([cells[b][j] for b in some], pa.binary()) for j in range(3 * ORDER))], names)
+
+    names = ["bucket", "piece", *(f"{x}{k}" for k in range(ORDER) for x in "hcd")]
+    answered = ["piece", "bucket", "types", *(f"{x}{k}" for k in range(ORDER) for x in "cd")]
+    none = pack_sorted(np.zeros(0, np.uint64)), pack(np.zeros(0, np.uint8))
 
     def answer(t: pa.Table) -> pa.Table:
-        c = t.to_pydict()
-        one = _count(h := [unpack_sorted(x) for x in c["h1"]], [unpack(x) for x in c["c1"]])
-        every, at = np.unique(np.concatenate(h), return_index=True)
-        types = int((np.concatenate(one)[at] > 0).sum())
-        del h, every
-        two = _count([unpack_sorted(x) for x in c["h2"]], [unpack(x) for x in c["c2"]])
-        return pa.table({"piece": t.column("piece"), "bucket": t.column("bucket"), "one": pa.array([pack(narrow(x)) for x in one], pa.binary()), "two": pa.array([pack(narrow(x)) for x in two], pa.binary()), "types": pa.array(np.full(t.num_rows, types))})
-
-    asked = table.select("piece", "hashes", "tokens", "lengths", "held").mapInArrow(ask, "bucket int, piece bigint, h1 binary, c1 binary, h2 binary, c2 binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "piece bigint, bucket int, one binary, two binary, types bigint")
+        out, types = [], 0
+        for k in range(ORDER):
+            h = [unpack_sorted(x or none[0]) for x in t.column(f"h{k}").to_pylist()]
+            counts, seen = _count(h, [[unpack(x or none[1]) for x in t.column(f"{c}{k}").to_pylist()] for c in "cd"])
+            types = seen if k == 0 else types
+            out += [pa.array([pack(narrow(x)) for x in c], pa.binary()) for c in counts]
+        return pa.table([t.column("piece"), t.column("bucket"), pa.array(np.full(t.num_rows, types)), *out], answered)
+
+    asked = table.select("piece", "hashes", "tokens", "lengths", "held", "deleted").mapInArrow(ask, "bucket int, piece bigint, " + ", ".join(f"{x} binary" for x in names[2:]))
+    answers = asked.groupBy("bucket").applyInArrow(answer, "piece bigint, bucket int, types bigint, " + ", ".join(f"{x} binary" for x in answered[3:]))
+    answers = written(answers, "answers")  # so that what was asked goes before answers meet their pieces
+    types = answers.groupBy("bucket").agg(F.max("types").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    made = ["ids", "has_id", "held", "deleted", "lengths", *(f"{x}{k}" for k in range(ORDER) for x in "cd")]
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        got = sorted(right.to_pylist(), key=lambda x: x["bucket"])
-        one, two = (np.concatenate([unpack(x[k]).astype(np.int64) for x in got]) for k in ("one", "two"))
-        tokens, lengths = unpack(row["tokens"]).astype(np.int64), unpack(row["lengths"])
-        _, place, _ = _bigrams(unpack_sorted(row["hashes"]), tokens, lengths)
-        made = [row["ids"], row["has_id"], row["held"], row["lengths"], pack(narrow(one[tokens])), pack(narrow(two[place]))]
-        return pa.table([pa.array([x], pa.binary()) for x in made] + [pa.array([sum(x["types"] for x in got)], pa.int64())], ["ids", "has_id", "held", "lengths", "uni", "bi", "types"])
-
-    joined = table.select("piece", "ids", "has_id", "held", "lengths", "hashes", "tokens").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(gather, "ids binary, has_id binary, held binary, lengths binary, uni binary, bi binary, types bigint")
-    joined = written(joined, "counts")
-    n = table.agg(F.sum("train_tokens"), F.sum("train_docs")).first()
-    types = joined.agg(F.max("types")).first()[0]
-    return joined, Mixture(np.full((LEVELS, 3), 1 / 3), n[0] or 0, types or 0, n[1] or 0)
-
-
-def _arrays(row: dict, documents: int) -> tuple[np.ndarray, ...]:
-    lengths, held = unpack(row["lengths"]), unpack(row["held"])
-    uni, bi = unpack(row["uni"]).astype(np.int64), unpack(row["bi"]).astype(np.int64)
-    ctx = np.empty(len(uni), np.int64)
-    ctx[1:] = uni[:-1]
-    ctx[np.cumsum(lengths) - lengths] = documents
-    return lengths, held, uni, bi, ctx
-
-
-def fit(joined: DataFrame, m: Mixture) -> Mixture:
-    def grid(batches):
+        right = right.sort_by("bucket")
+        lengths = unpack(row["lengths"])
+        gone = np.repeat(unpack(row["deleted"]), lengths)
+        out = [row[k] for k in made[:5]]
+        for k, (_, place) in enumerate(_grams(unpack_sorted(row["hashes"]), unpack(row["tokens"]).astype(np.int64), lengths)):
+            c, d = (np.concatenate([unpack(x) for x in right.column(f"{x}{k}").to_pylist()]) for x in "cd")
+            out += [pack(narrow(c[place])), pack(narrow(d[place[gone]]))]
+        return pa.table([pa.array([x], pa.binary()) for x in out], made)
+
+    body = table.select("piece", "ids", "has_id", "held", "deleted", "lengths", "hashes", "tokens")
+    joined = written(body.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(gather, ", ".join(f"{x} binary" for x in made)), "counts")
+    free(table, answers)
+    return joined, Mixture(start_weights(), n[0], types, n[1]), (n[2], n[3])
+
+
+def _counts(row: dict) -> list[np.ndarray]:
+    return [unpack(row[f"c{k}"]).astype(np.int64) for k in range(ORDER)]
+
+
+def fit(joined: DataFrame, m: Mixture, without: tuple[int, int], rounds: int = 20) -> Mixture:
+    """m with weights learned from the deleted documents, whose tokens and documents (without) are taken off the counts."""
+    rest = Mixture(m.weights, m.tokens - without[0], m.types, m.documents - without[1])
+    names = ["level", *(f"p{k}" for k in range(1 + ORDER)), "n"]
+
+    def collect(batches):
+        """The distinct buckets and estimates of a piece's deleted tokens, and how often each occurs."""
         for batch in batches:
             for row in batch.to_pylist():
-                lengths, held, uni, bi, ctx = _arrays(row, m.documents)
-                train = np.repeat(~held, lengths)
-                level, p1, p2 = m.estimates(uni[train], bi[train], ctx[train], 1)
-                q1, q2 = (np.where(p > 0, np.rint(-GRID * np.log2(np.maximum(p, 2.0**-100))), -1).astype(np.int64) + 1 for p in (p1, p2))
-                cell, n = np.unique((level * 1024 + q1) * 1024 + q2, return_counts=True)
-                yield pa.record_batch([pa.array(cell), pa.array(n)], ["cell", "n"])
+                lengths, gone = unpack(row["lengths"]), unpack(row["deleted"])
+                at = np.repeat(gone, lengths)
+                if not at.any():
+                    continue
+                counts = [c[at] - unpack(row[f"d{k}"]).astype(np.int64) for k, c in enumerate(_counts(row))]
+                counts += _contexts(counts, lengths[gone], rest.documents)
+                order = np.lexsort(counts)
+                new = np.append(True, np.any([np.diff(c[order]) != 0 for c in counts], axis=0))
+                some = order[new]
+                level, p = rest.estimates([c[some] for c in counts[:ORDER]], [c[some] for c in counts[ORDER:]])
+                n = np.diff(np.append(np.flatnonzero(new), len(order)))
+                yield pa.record_batch([pa.array([pack(x)], pa.binary()) for x in (narrow(level), *(np.ascontiguousarray(x) for x in p.T), narrow(n))], names)
+
+    cells = written(joined.select("lengths", "deleted", *(f"{x}{k}" for k in range(ORDER) for x in "cd")).mapInArrow(collect, ", ".join(f"{x} binary" for x in names)), "cells")
+    weights = m.weights
+    for _ in range(rounds):
+
+        def expect(batches, weights=weights):
+            total = np.zeros_like(weights)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    total += step(weights, unpack(row["level"]).astype(np.int64), np.stack([unpack(row[f"p{k}"]) for k in range(1 + ORDER)], axis=1), unpack(row["n"]))
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    # at most LEVELS * 800 * 800 cells; as they come, some ten thousands
-    cells = joined.select("lengths", "held", "uni", "bi").mapInArrow(grid, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
-    cell = cells["cell"].to_numpy(np.int64)
-    w = learn(np.stack([cell >> 20, (cell >> 10 & 1023) - 1, (cell & 1023) - 1]), cells["n"].to_numpy(float), m.types)
-    return Mixture(w, m.tokens, m.types, m.documents)
+        # 2 * LEVELS * 4 numbers of each task
+        sums = [np.frombuffer(r["sums"]).reshape(weights.shape) for r in cells.mapInArrow(expect, "sums binary").collect()]
+        weights = renewed(np.sum(sums, axis=0) if sums else np.zeros_like(weights))
+    free(cells)
+    return Mixture(weights, m.tokens, m.types, m.documents)
 
 
-def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, off: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10, the mixture)."""
-    joined, m = counted(docs, held_out(id_col) if held is None else held, id_col, text_col)
-    m = fit(joined, m)
+    joined, m, without = counted(docs, held_out(id_col) if held is None else held, deleted(id_col) if off is None else off, id_col, text_col)
+    m = fit(joined, m, without)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                lengths, held, uni, bi, ctx = _arrays(row, m.documents)
+                lengths, counts = unpack(row["lengths"]), _counts(row)
                 at = np.cumsum(lengths) - lengths
-                base = np.log10((uni + 1) / (m.tokens + m.types + 1))
-                sums = [np.add.reduceat(x, at) for x in (base, m.log10(uni, bi, ctx))]
-                known = np.add.reduceat((uni > 0).astype(np.int64), at)
-                yield pa.record_batch([pa.array(unpack(row["ids"]), mask=~unpack(row["has_id"])), pa.array(held), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(at), m.tokens)), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                base = np.log10((counts[0] + 1) / (m.tokens + m.types + 1))
+                sums = [np.add.reduceat(x, at) for x in (base, m.log10(counts, _contexts(counts, lengths, m.documents)))]
+                known = np.add.reduceat((counts[0] > 0).astype(np.int64), at)
+                yield pa.record_batch([pa.array(unpack(row["ids"]), mask=~unpack(row["has_id"])), pa.array(unpack(row["held"])), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(at), m.tokens)), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.select("ids", "has_id", "lengths", "held", "uni", "bi").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return joined.select("ids", "has_id", "lengths", "held", *(f"c{k}" for k in range(ORDER))).mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
