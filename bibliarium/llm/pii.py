@@ -284,7 +284,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 cut = [0, *(np.flatnonzero(np.diff(mine) > 1) + 1).tolist(), len(mine)]
                 for x, y in zip(cut, cut[1:]):
                     k = mine[x] - 1
-                    before = b.data[start[k] : end[k]].tobytes().decode()[-20:] if k >= first[d] else ""
+                    before = b.data[start[k] : end[k]].tobytes().decode() if k >= first[d] else ""
                     added += segment(t, list(zip(begins[x:y], ends[x:y])), before, w)
                 starts, stops = np.array([s for s, _ in taken]), np.maximum.accumulate(np.array([e for _, e in taken])) if taken else None
                 free = [(k, s, e) for k, s, e in added if not taken or (i := int(np.searchsorted(starts, e))) == 0 or stops[i - 1] <= s]
