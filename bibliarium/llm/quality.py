@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, MULT, SPACE, Block, blocks, gram_bounds, grams, mix, ranges, repeated, slices, span_hash
+from .common import BYTE, MULT, SPACE, Block, blocks, gram_bounds, grams, mix, ranges, repeated, slices, span_hash, unused
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -190,15 +190,15 @@ def verdict(c: dict[str, np.ndarray], model: Trees, threshold: float) -> tuple[n
 def keep(docs: DataFrame, model: Trees, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
     names = docs.columns
-    rest = [F.col(f"`{c}`") for c in names if c != text_col]
+    rest, lead = [F.col(f"`{c}`") for c in names if c != text_col], unused(names, "_first")
 
     def run(batches):
         for piece in slices(batches):
             c = dict(zip(COUNTS, count(Block(piece))))
-            yield piece.filter(pa.array(verdict(c, model, threshold)[2])).drop_columns(["_first"])
+            yield piece.filter(pa.array(verdict(c, model, threshold)[2])).drop_columns([lead])
 
-    laid = docs.select(F.lit(0).alias("_first"), F.col(f"`{text_col}`"), *rest)
-    return laid.mapInArrow(run, laid.drop("_first").schema).select(*(f"`{c}`" for c in names))
+    laid = docs.select(F.lit(0).alias(lead), F.col(f"`{text_col}`"), *rest)
+    return laid.mapInArrow(run, laid.drop(lead).schema).select(*(f"`{c}`" for c in names))
 
 
 def judge(counts: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:

@@ -16,6 +16,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Fixed patterns: kind, pattern, and the least length of what must be long (the match, or group 2).
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
@@ -65,7 +67,7 @@ def samples(docs: DataFrame, sample_docs: int = 400, sample_random: int = 4000,
     some = docs.select(F.col(id_col).cast("bigint").alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
     text = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(some), "_id")  # of at most sample_docs ids
     words = text.select(F.regexp_extract_all("t", F.lit("[A-Za-z][A-Za-z_-]+"), F.lit(0)).alias("w")).select(F.filter("w", lambda x: F.length(x).between(3, 40)).alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, 1_000_000), lambda a, b: F.concat_ws("_", a, b))
+    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws("_", a, b))
     names = words.select(F.explode(F.concat("w", pairs)).alias("string"))
     return rand.select(F.lit(1).alias("label"), "string").unionByName(names.select(F.lit(0).alias("label"), "string"))
 
@@ -119,15 +121,16 @@ def report(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, model: str, threshold: float = 0.8, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with every span in text_col (overlapping ones as one) replaced by mark; null stays null."""
     names = docs.columns
-    text = F.col(text_col)
-    spans = docs.withColumn("_text", F.coalesce(text.cast("string"), F.lit("")))
-    spans = spans.withColumns({f"_{k}": v for k, v in spans_of("_text", model, threshold).items()}).withColumn("_found", with_models("_base", "_markov"))
+    own, base, markov, found = (unused(names, f"_{k}") for k in ("text", "base", "markov", "found"))
+    text = F.col(f"`{text_col}`")
+    spans = docs.withColumn(own, F.coalesce(text.cast("string"), F.lit("")))
+    spans = spans.withColumns(dict(zip((base, markov), spans_of(own, model, threshold).values()))).withColumn(found, with_models(base, markov))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col("_text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
+        gap = F.substring(F.col(own), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
         new = F.when(x["start"] >= s["at"], F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"])
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), new.alias("out"))
 
-    clean = F.aggregate("_found", start, step, lambda s: F.concat(s["out"], F.substring(F.col("_text"), (s["at"] + 1).cast("int"), F.length("_text"))))
-    return spans.withColumn(text_col, F.when(F.size("_found") > 0, clean).otherwise(text)).select(*names)
+    clean = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(F.col(own), (s["at"] + 1).cast("int"), F.length(own))))
+    return spans.withColumn(text_col, F.when(F.size(found) > 0, clean).otherwise(text)).select(*(f"`{c}`" for c in names))

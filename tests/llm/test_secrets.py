@@ -58,3 +58,11 @@ def test_redact(spark):
     assert out.columns == df.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: 'é [SECRET]" end [SECRET]', 2: None, 3: "", 4: "clean"}
     assert secrets.scan(df.where("false"), secrets.train(secrets.samples(df.where("false")))).count() == 0
+
+
+def test_redact_with_names_of_its_own(spark):
+    rows = [("token=abcdefghij1234567890", 1, 2, 3, 4, 5), (None, 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "text string, _text int, _base int, _markov int, _found int, `a.b` int")
+    model = secrets.train(secrets.samples(spark.createDataFrame([(1, "some plain words")], "doc_id long, text string")))
+    out = secrets.redact(df, model)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [("[SECRET]", 1, 2, 3, 4, 5), (None, 1, 2, 3, 4, 5)]
