@@ -45,6 +45,34 @@ def test_weights_and_budgets(spark, goal, most, budget):
             assert x["whole"] >= 1
 
 
+@pytest.mark.parametrize("budget", [1.0, 2.5, None])
+def test_many_sources_alike(spark, monkeypatch, budget):
+    rows = mixing.counted(frame(spark, some()))
+    how = {"target_entropy": 0.97, "most_epochs": 4.0, "budget": budget, "blocks": 16}
+    few, plan = mixing.mix(rows, **how)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    many, apart = mixing.mix(rows, **how)
+    assert abs(plan.exponent - apart.exponent) < 1e-9 and not apart.sources
+    key = lambda r: (r.doc_id or 0, r.source or "", r.text_hash, r.epoch, r.block, round(r.slot, 9), round(r.weight, 9))
+    assert sorted(map(key, few.collect())) == sorted(map(key, many.collect()))
+
+
+def test_large_sources_have_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 200)
+    data = some()
+    copies, plan = mixing.mix(mixing.counted(frame(spark, data)), blocks=4)
+    rows = copies.collect()
+    blocks = {s: {r.block for r in rows if r.source == s} for s in ("big", "small")}
+    tokens = {x["source"]: x["tokens"] for x in plan.sources}
+    assert all(4 < max(blocks[s]) < max(5, tokens[s] / 200 + 1) for s in blocks)
+
+
+def test_a_budget_above_the_limit_is_an_error():
+    for budget, most in ((6.0, 4.0), (None, 0.5)):
+        with pytest.raises(ValueError):
+            mixing.plan([("a", 100), ("b", 10)], 0.9, most, budget)
+
+
 def test_draw_keeps_columns_and_all_documents(spark):
     data = some(400)
     df = frame(spark, data)
