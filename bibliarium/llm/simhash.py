@@ -3,8 +3,8 @@
 fingerprint() lets each word of a text (ASCII letters in lower case) vote, with a weight that grows with its length,
 for or against each of 64 bits. Equal texts have equal fingerprints; null, empty and wordless texts have that of no
 votes, all zeros. edited() adds the fingerprint of each document with its second half replaced by the beginning of the
-next. search() finds, for query rows, all rows within a Hamming radius; it loses none. Repeated rows stay apart; an
-empty table gives no rows; extra columns are not read.
+next. search() finds, for query rows, all rows within a Hamming radius through permuted block tables, and neighbours()
+counts them; both lose none. Repeated rows stay apart; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Block, blocks, span_hash, written
 
-SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, near_edited double, near_next double, bits bigint"
+#: Keys that rows of one block value are dealt to; queries ask all of them.
+SALTS = 4
 
 
 def votes(b: Block) -> np.ndarray:
@@ -67,11 +69,11 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _compare(ids: list, texts: list[str], after: list[str]) -> pa.RecordBatch:
     edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, after)]
     own, new, follow = votes(_block(texts)), votes(_block(edited)), votes(_block(after))
-    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), *(pa.array(_hex(x), pa.string()) for x in (own, new, follow)), pa.array(likeness(own, new)), pa.array(likeness(own, follow))], [x.split()[0] for x in SCHEMA.split(", ")])
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), *(pa.array(_hex(x), pa.string()) for x in (own, new, follow)), pa.array(likeness(own, new)), pa.array(likeness(own, follow)), pa.array(own.view(np.int64))], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA of every document. The next document is that of the next id (nulls first, ties by text); the first follows the last.
+    """SCHEMA of every document (bits: its fingerprint as a number). The next document is that of the next id (nulls first, ties by text); the first follows the last.
 
     Documents are range-partitioned by id and sorted in each partition, where all but the last find the next. Of each
     partition the first and the last text are kept as well, and those few rows, two for each task, are paired after.
@@ -109,13 +111,12 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.where("head IS NULL").select(*names).unionByName(ends.mapInArrow(pair, SCHEMA))
 
 
-def search(rows: DataFrame, queries: DataFrame, radius: int = 3, blocks_: int | None = None) -> DataFrame:
-    """query_id, doc_id and distance of all fingerprints within radius of each query's, itself included.
+def _near(rows: DataFrame, queries: DataFrame, radius: int, blocks_: int | None) -> DataFrame:
+    """q, r and distance of all pairs of distinct fingerprints (of queries and of rows) within radius of each other.
 
-    rows, queries: doc_id, fingerprint as of fingerprint(). The 64 bits are cut into blocks_ blocks (twice the radius
-    unless given); whichever radius of them differ, the others agree, so each choice of the others is a table in which
-    equal keys meet. Rows of one fingerprint meet as one, so that copies of a text make no pairs; the pairs that are
-    left are found in the first table in which they meet, and are not made twice. Null fingerprints find nothing.
+    The 64 bits are cut into blocks_ blocks (twice the radius unless given); whichever radius of them differ, the others
+    agree, so each choice of the others is a table in which equal keys meet. Rows of one key are dealt to SALTS keys, so
+    that a frequent one is not one task's. A pair counts in the first table in which it meets.
     """
     blocks_ = blocks_ or max(2 * radius, 1)
     if radius < 0 or blocks_ <= radius:
@@ -123,15 +124,32 @@ def search(rows: DataFrame, queries: DataFrame, radius: int = 3, blocks_: int |
     edges = [64 * k // blocks_ for k in range(blocks_ + 1)]
     masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in c) for c in combinations(range(blocks_), blocks_ - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    array = ",".join(f"{m}L" if m != -(1 << 63) else "bigint(-9223372036854775808)" for m in signed)
 
-    def tables(df: DataFrame, name: str) -> DataFrame:
+    def tables(df: DataFrame, name: str, salts) -> DataFrame:
         one = df.where("fingerprint IS NOT NULL").select(F.col("fingerprint").alias(name)).distinct()
-        return one.select(name, F.posexplode(F.array(*(F.col(name).bitwiseAND(F.lit(m).cast("bigint")) for m in signed))).alias("table", "key"))
+        return one.select(name, salts(name).alias("salt")).select(name, "salt", F.posexplode(F.expr(f"transform(array({array}), m -> {name} & m)")).alias("table", "key"))
 
-    met = tables(queries, "q").join(tables(rows, "r"), ["table", "key"])
+    asks = tables(queries, "q", lambda name: F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    has = tables(rows, "r", lambda name: F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
+    met = asks.join(has, ["table", "key", "salt"])
     differ = F.col("q").bitwiseXOR(F.col("r"))
-    earliest = F.expr(f"array_position(transform(array({','.join(f'{m}L' if m != -(1 << 63) else 'bigint(-9223372036854775808)' for m in signed)}), m -> ((q ^ r) & m) = 0), true) - 1")
-    pairs = met.where((F.bit_count(differ) <= radius) & (F.col("table") == earliest)).select("q", "r", F.bit_count(differ).alias("distance"))
+    earliest = F.expr(f"array_position(transform(array({array}), m -> ((q ^ r) & m) = 0), true) - 1")
+    return met.where((F.bit_count(differ) <= radius) & (F.col("table") == earliest)).select("q", "r", F.bit_count(differ).alias("distance"))
+
+
+def search(rows: DataFrame, queries: DataFrame, radius: int = 3, blocks_: int | None = None) -> DataFrame:
+    """query_id, doc_id and distance of all fingerprints within radius of each query's, itself included.
+
+    rows, queries: doc_id, fingerprint as of fingerprint(). Rows of one fingerprint meet as one, so that copies of a text
+    make no pairs before the result. Null fingerprints find nothing.
+    """
     asks = queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q"))
     has = rows.select("doc_id", F.col("fingerprint").alias("r"))
-    return pairs.join(asks, "q").join(has, "r").select("query_id", "doc_id", "distance")
+    return _near(rows, queries, radius, blocks_).join(asks, "q").join(has, "r").select("query_id", "doc_id", "distance")
+
+
+def neighbours(rows: DataFrame, queries: DataFrame, radius: int = 3, blocks_: int | None = None) -> DataFrame:
+    """fingerprint and n_near of each distinct fingerprint of queries: how many rows are within radius of it. Copies are counted, not paired."""
+    weights = rows.where("fingerprint IS NOT NULL").groupBy(F.col("fingerprint").alias("r")).agg(F.count("*").alias("n"))
+    return _near(rows, queries, radius, blocks_).join(weights, "r").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("n").alias("n_near"))

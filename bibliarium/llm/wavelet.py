@@ -1,17 +1,21 @@
-"""Token-ID output (operator 4): documents encoded and kept as one compressed wavelet matrix per shard.
-
-encode() range-partitions documents by id, so that shards and the documents in them ascend by id over the whole
-table, and gives rows of shards; write() keeps them as a table of one binary file image per row, in whatever store
-the path names. open_shard() reads an image: access, rank, select, counting and occurrence lookup work on its bit
-planes; decode() takes all ids back by undoing the partition of each plane. directory() reads a written table
-and gives each document's place. Null and empty texts are documents of the end id alone; repeated ids keep every
-row (in the order of their texts); null ids come first; an empty table gives no shards; extra columns are not read.
+"""Token-ID output (operator 4): documents encoded and kept as one compressed wavelet matrix per shard, a file each.
+
+encode() range-partitions documents by id, so that shards and the documents in them ascend by id over the whole table,
+writes one file a shard into a folder that all executors share, and gives a table of the files' paths: files of lost
+attempts are not in it. A file has a header, the documents' ids and lengths, and the bit planes of a wavelet matrix in
+blocks of BLOCK bits, each compressed by itself, with the number of ones before each. Shard reads from a file only what
+a call needs: access, rank, select, counting and occurrence lookup take a block or two from each plane; ids() takes all
+back by undoing the partition of each plane. directory() reads written files and gives each document's place. Null and
+empty texts are documents of the end id alone; repeated ids keep every row (in the order of their texts); null ids come
+first; an empty table gives no files; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,85 +24,130 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, pack, unpack
+from .common import blocks, pack, unpack, written
 from .pieces import Pieces, laid
 
-MAGIC = b"WMX1"
-BLOCK = 512
-SHARD_SCHEMA = "first_id bigint, part bigint, seq bigint, n_ids bigint, n_docs bigint, image binary"
+MAGIC = b"WMX2"
+HEAD = struct.Struct("<4sIQQqqQ")  # magic, planes, ids, documents, writing task, place in it, length of the directory
+BLOCK = 1 << 16
 
 
-class WaveletMatrix:
-    """A sequence of symbols as bit planes, the highest first, each a stable partition by the one before.
+def planes_of(ids: np.ndarray) -> list[np.ndarray]:
+    """The bit planes of a sequence, packed, the highest first, each a stable partition by the one before."""
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    out, cur = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    for k in range(bits - 1, -1, -1):
+        one = (cur >> k & 1).astype(np.uint8).view(bool)
+        out.append(np.packbits(one))
+        after = np.empty_like(cur)
+        zeros = len(cur) - int(np.count_nonzero(one))
+        np.compress(~one, cur, out=after[:zeros])
+        np.compress(one, cur, out=after[zeros:])
+        cur = after
+    return out
 
-    planes: packed bits; before: ones before each block of BLOCK bits; zeros: zeros of each plane.
-    """
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes = n, planes
-        self.before, self.zeros = [], []
-        for p in planes:
-            ones = np.bitwise_count(p).astype(np.int64)
-            sums = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, max(len(p), 1), BLOCK // 8)) if len(p) else np.zeros(0, np.int64))])
-            self.before.append(sums)
-            self.zeros.append(n - int(sums[-1]))
-
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
-        bits = bits or max(1, int(ids.max(initial=0)).bit_length())
-        planes, cur = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        for k in range(bits - 1, -1, -1):
-            one = (cur >> k & 1).astype(np.uint8).view(bool)
-            planes.append(np.packbits(one))
-            after = np.empty_like(cur)
-            zeros = len(cur) - int(np.count_nonzero(one))
-            np.compress(~one, cur, out=after[:zeros])
-            np.compress(one, cur, out=after[zeros:])
-            cur = after
-        return cls(len(ids), planes)
-
-    def decode(self) -> np.ndarray:
+def image(ids: np.ndarray, doc_ids: np.ndarray, has_id: np.ndarray, lengths: np.ndarray, part: int = 0, seq: int = 0) -> bytes:
+    """The bytes of a shard's file: header, directory, and all blocks of all planes.
+
+    Directory: six arrays, each after its length: ids, which are not null, lengths; ones before each block of each
+    plane, ones of each plane, and the places of blocks (one more at the end) after the directory.
+    """
+    planes, write = planes_of(ids), zstandard.ZstdCompressor(level=1)
+    step = BLOCK // 8
+    ones = [np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), step)) if len(p) else np.zeros(0, np.int64) for p in planes]
+    body = [write.compress(p[at : at + step].tobytes()) for p in planes for at in range(0, len(p), step)]
+    before = np.concatenate([np.cumsum(x) - x for x in ones])
+    arrays = doc_ids, has_id, lengths, before.astype(np.uint32 if len(ids) < 1 << 32 else np.uint64), np.array([int(x.sum()) for x in ones]), np.cumsum([0, *map(len, body)])
+    directory = b"".join(struct.pack("<Q", len(x)) + x for x in map(pack, arrays))
+    return HEAD.pack(MAGIC, len(planes), len(ids), len(doc_ids), part, seq, len(directory)) + directory + b"".join(body)
+
+
+class Shard:
+    """A shard's file, through a function that reads `size` bytes at a place. Of the blocks those read last are kept."""
+
+    KEPT = 64
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        magic, self.planes, self.n, self.n_docs, self.part, self.seq, size = HEAD.unpack(read(0, HEAD.size))
+        if magic != MAGIC:
+            raise ValueError("not a wavelet shard")
+        raw, at, arrays = read(HEAD.size, size), 0, []
+        while at < size:
+            (n,) = struct.unpack_from("<Q", raw, at)
+            arrays.append(unpack(raw[at + 8 : at + 8 + n]))
+            at += 8 + n
+        self.doc_ids, self.has_id, self.lengths, before, self.ones, self.places = arrays
+        self.before = before.astype(np.int64).reshape(self.planes, -1)
+        self.zeros = self.n - self.ones
+        self.places = self.places + HEAD.size + size
+        self.held: dict[int, np.ndarray] = {}
+
+    def _block(self, k: int, b: int) -> np.ndarray:
+        """Packed bits of block b of plane k."""
+        at = k * self.before.shape[1] + b
+        got = self.held.pop(at, None)
+        if got is None:
+            lo, hi = int(self.places[at]), int(self.places[at + 1])
+            got = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.read(lo, hi - lo)), np.uint8)
+            if len(self.held) >= self.KEPT:
+                del self.held[next(iter(self.held))]
+        self.held[at] = got
+        return got
+
+    def ids(self) -> np.ndarray:
         """All symbols, from the last plane to the first."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        kind = np.uint16 if self.planes <= 16 else np.uint32
         cur = np.zeros(self.n, kind)
-        for k, (p, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
-            one = np.unpackbits(p, count=self.n).view(bool)
-            out = np.empty_like(cur)
-            out[~one] = cur[:z]
-            out[one] = cur[z:] | kind(1 << k)
+        read, per = zstandard.ZstdDecompressor(), self.before.shape[1]
+        for k in range(self.planes - 1, -1, -1):
+            places = self.places[k * per : (k + 1) * per + 1].tolist()
+            raw = self.read(places[0], places[-1] - places[0])
+            plane = b"".join(read.decompress(raw[a - places[0] : b - places[0]]) for a, b in zip(places, places[1:]))
+            one = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n).view(bool)
+            out, z = np.empty_like(cur), int(self.zeros[k])
+            out[np.flatnonzero(~one)] = cur[:z]
+            out[np.flatnonzero(one)] = cur[z:] | kind(1 << (self.planes - 1 - k))
             cur = out
         return cur.astype(np.uint32)
 
     def _ones(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
-        b = i // BLOCK
-        part = np.unpackbits(self.planes[k][b * BLOCK // 8 : (i + 7) // 8], count=i - b * BLOCK) if i % BLOCK else ()
-        return int(self.before[k][b]) + int(np.sum(part))
+        if i >= self.n:
+            return int(self.ones[k])
+        b, rest = divmod(i, BLOCK)
+        if not rest:
+            return int(self.before[k, b])
+        block = self._block(k, b)
+        part = int(block[rest // 8]) >> (8 - rest % 8) if rest % 8 else 0
+        return int(self.before[k, b]) + int(np.bitwise_count(block[: rest // 8]).sum(dtype=np.int64)) + part.bit_count()
 
     def _select(self, k: int, bit: int, j: int) -> int:
         """Place of the j-th (from 0) such bit of plane k."""
-        sums = self.before[k] if bit else np.minimum(np.arange(len(self.before[k])) * BLOCK, self.n) - self.before[k]
+        sums = self.before[k] if bit else np.arange(self.before.shape[1]) * BLOCK - self.before[k]
         b = int(np.searchsorted(sums, j, side="right")) - 1
-        part = np.unpackbits(self.planes[k][b * BLOCK // 8 : (b + 1) * BLOCK // 8], count=min(BLOCK, self.n - b * BLOCK))
+        part = np.unpackbits(self._block(k, b), count=min(BLOCK, self.n - b * BLOCK))
         return b * BLOCK + int(np.flatnonzero(part == bit)[j - int(sums[b])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         symbol = 0
-        for k, p in enumerate(self.planes):
-            bit = int(p[i // 8]) >> (7 - i % 8) & 1
+        for k in range(self.planes):
+            bit = int(self._block(k, i // BLOCK)[i % BLOCK // 8]) >> (7 - i % 8) & 1
             ones = self._ones(k, i)
-            i = self.zeros[k] + ones if bit else i - ones
+            i = int(self.zeros[k]) + ones if bit else i - ones
             symbol = symbol << 1 | bit
         return symbol
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
-        if symbol >> len(self.planes):
+        if symbol >> self.planes:
             return 0, 0
-        for k in range(len(self.planes)):
+        for k in range(self.planes):
             a, b = self._ones(k, lo), self._ones(k, hi)
-            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if symbol >> (len(self.planes) - 1 - k) & 1 else (lo - a, hi - b)
+            z = int(self.zeros[k])
+            lo, hi = (z + a, z + b) if symbol >> (self.planes - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
@@ -115,32 +164,34 @@ class WaveletMatrix:
         if not 0 <= j < hi - lo:
             raise IndexError(j)
         i = lo + j
-        for k in range(len(self.planes) - 1, -1, -1):
-            bit = symbol >> (len(self.planes) - 1 - k) & 1
-            i = self._select(k, bit, i - self.zeros[k] if bit else i)
+        for k in range(self.planes - 1, -1, -1):
+            bit = symbol >> (self.planes - 1 - k) & 1
+            i = self._select(k, bit, i - int(self.zeros[k]) if bit else i)
         return i
 
     def occurrences(self, symbol: int) -> list[int]:
         return [self.select(symbol, j) for j in range(self.count(symbol))]
 
 
-def image(ids: np.ndarray, doc_ids: np.ndarray, has_id: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The bytes of a shard: magic, sizes, directory (ids, which are not null, lengths) and bit planes, all compressed."""
-    m = WaveletMatrix.build(ids)
-    body = [pack(doc_ids), pack(has_id), pack(lengths), *(zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in m.planes)]
-    return MAGIC + struct.pack("<QQII", len(ids), len(doc_ids), len(m.planes), len(body)) + struct.pack(f"<{len(body)}Q", *map(len, body)) + b"".join(body)
+def _store(path: str):
+    """A file system and the path in it; without a scheme, the local one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def open_file(path: str) -> Shard:
+    store, where = _store(path)
+    file = store.open_input_file(where)
 
+    def read(at: int, size: int) -> bytes:
+        return file.read_at(size, at)
 
-def open_shard(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
-    if data[:4] != MAGIC:
-        raise ValueError("not a wavelet shard")
-    n, _, planes, parts = struct.unpack_from("<QQII", data, 4)
-    at, body = 28 + 8 * parts, []
-    for size in struct.unpack_from(f"<{parts}Q", data, 28):
-        body.append(data[at : at + size])
-        at += size
-    read = zstandard.ZstdDecompressor()
-    return WaveletMatrix(n, [np.frombuffer(read.decompress(x), np.uint8) for x in body[3 : 3 + planes]]), unpack(body[0]), unpack(body[1]), unpack(body[2])
+    return Shard(read)
+
+
+def open_bytes(data: bytes) -> Shard:
+    return Shard(lambda at, size: data[at : at + size])
 
 
 def _byte_letters() -> dict[str, int]:
@@ -198,8 +249,8 @@ def open_pieces(vocabulary: str) -> Pieces:
 _encoders: dict[str, Pieces] = {}
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of shards of about shard_ids ids, or of one longer document."""
+def encode(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shard_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes shards of about shard_ids ids, or of one longer document, into folder; gives the paths of their files (path)."""
 
     def shards(batches):
         import os
@@ -210,13 +261,16 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_ids: int = 2
             _encoders[vocabulary] = open_pieces(vocabulary)
         encoder, end = _encoders[vocabulary], np.array([end_id], np.int32)
         part, seq, ids, held, lengths, chunks, size = TaskContext.get().partitionId(), 0, [], [], [], [], 0
+        store, where = _store(folder)
+        store.create_dir(where, recursive=True)
 
         def flush():
-            body = np.concatenate(chunks).astype(np.uint32)
-            row = [pa.array([ids[0] if held[0] else None], pa.int64()), *(pa.array([x], pa.int64()) for x in (part, seq, len(body), len(ids))), pa.array([image(body, np.array(ids, np.int64), np.array(held, bool), np.array(lengths, np.int64))], pa.binary())]
-            return pa.record_batch(row, ["first_id", "part", "seq", "n_ids", "n_docs", "image"])
+            name = f"{part:08d}-{seq:06d}-{uuid.uuid4().hex}.wmx"
+            with store.open_output_stream(f"{where}/{name}") as out:
+                out.write(image(np.concatenate(chunks).astype(np.uint32), np.array(ids, np.int64), np.array(held, bool), np.array(lengths, np.int64), part, seq))
+            return pa.record_batch([pa.array([f"{folder}/{name}"])], ["path"])
 
-        for block in blocks(batches, 8 << 20):
+        for block in blocks(batches, 4 << 20):
             out, offs = encoder.encode(block)
             for k, doc in enumerate(block.ids.to_pylist()):
                 n = int(offs[k + 1] - offs[k]) + 1
@@ -228,36 +282,40 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_ids: int = 2
         if ids:
             yield flush()
 
+    folder = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD_SCHEMA)
+    return written(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, "path string"), "shards")
 
 
-def write(shards: DataFrame, path: str) -> DataFrame:
-    """Keeps the shards as a table, whose rows are the file images, and opens it again."""
-    shards.write.option("compression", "none").parquet(path)
-    return shards.sparkSession.read.schema(shards.schema).parquet(path)
+def directory(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, taken from the files (path).
 
+    The sums that place a shard run over one row per writing task, then over the shards within each task; headers tell them.
+    """
 
-def directory(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, taken from the images alone.
+    def heads(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                s = open_file(path)
+                first = int(s.doc_ids[0]) if s.has_id[0] else None
+                yield pa.record_batch([pa.array([path]), *(pa.array([x], pa.int64()) for x in (s.part, s.seq, s.n, first))], ["path", "part", "seq", "n_ids", "first_id"])
 
-    The sums that place a shard run over one row per writing task, then over the shards within each task.
-    """
-    tasks = shards.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min("first_id").alias("first"), F.max(F.col("first_id").isNull()).alias("nulls"))
+    head = written(files.mapInArrow(heads, "path string, part bigint, seq bigint, n_ids bigint, first_id bigint"), "heads")
+    tasks = head.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min("first_id").alias("first"), F.max(F.col("first_id").isNull()).alias("nulls"))
     order = Window.orderBy(F.col("nulls").desc(), F.col("first"), F.col("part"))
     tasks = tasks.select("part", (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    own = shards.select("part", "seq", "n_ids").join(tasks, "part")
-    own = own.select("part", "seq", (F.col("before") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")).alias("start"))
+    own = head.join(tasks, "part")
+    own = own.select("path", (F.col("before") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")).alias("start"))
 
     def read(batches):
         for batch in batches:
-            for data, part, seq in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                m, doc, held, lengths = open_shard(data)
-                raw = m.decode().astype("<u4").tobytes()
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
+            for path, start in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                s = open_file(path)
+                raw = s.ids().astype("<u4").tobytes()
+                ends = np.cumsum(s.lengths)
+                starts = ends - s.lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.record_batch([pa.array(doc, mask=~held), *(pa.array(x, pa.int64()) for x in (np.full(len(doc), part), np.full(len(doc), seq), starts, lengths, crc))], ["doc_id", "part", "seq", "local", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(s.doc_ids, mask=~s.has_id), *(pa.array(x, pa.int64()) for x in (starts + start, s.lengths, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("image", "part", "seq").mapInArrow(read, "doc_id bigint, part bigint, seq bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
-    return rows.join(own, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    few = max(1, -(-head.count() // 4))  # files of a task
+    return own.repartition(few, "path").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

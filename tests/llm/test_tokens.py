@@ -70,7 +70,7 @@ def test_wavelet_round_trip(spark):
     own = Tokenizer.from_file(vocabulary)
     texts = spark.read.parquet(SF).select("text").toPandas()["text"].tolist() + ODD
     ids = random.Random(2).sample(range(10_000), len(texts))
-    shards = wavelet.write(wavelet.encode(frame(spark, texts, ids), vocabulary, shard_ids=20_000), shared_path(spark, "test"))
+    shards = wavelet.encode(frame(spark, texts, ids), vocabulary, shared_path(spark, "test"), shard_ids=20_000)
     assert shards.count() > 5
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in wavelet.directory(shards).collect()}
     want, at = {}, 0
@@ -87,7 +87,7 @@ def test_added_tokens_as_in_whole_texts(spark):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     own, t = Tokenizer.from_file(vocabulary), "<|endoftext|>"
     texts = [f"a {t} b", f"a{t}b", t, t + t, f" {t} ", f"<|{t}|>", f"a\n{t}\n\nb", "x <|endof", "text|> y", f"é{t}日本 {t}", "a b", None, f"{'word ' * 400}{t} end", "<|endoftext |>"]
-    shards = wavelet.write(wavelet.encode(frame(spark, texts).coalesce(1), vocabulary), shared_path(spark, "test"))
+    shards = wavelet.encode(frame(spark, texts).coalesce(1), vocabulary, shared_path(spark, "test"))
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in wavelet.directory(shards).collect()}
     want, at = {}, 0
     for i, x in enumerate(texts):
@@ -100,23 +100,38 @@ def test_added_tokens_as_in_whole_texts(spark):
 
 def test_null_and_repeated_ids(spark):
     df = frame(spark, ["b", "a", None, "a"], [3, 3, None, None])
-    shards = wavelet.write(wavelet.encode(df, public_tokenizers.path("byte_bpe_50k.json")), shared_path(spark, "test"))
+    shards = wavelet.encode(df, public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "test"))
     rows = sorted((r.start, r.doc_id, r.n_tokens) for r in wavelet.directory(shards).collect())
     assert rows == [(0, None, 1), (1, None, 2), (3, 3, 2), (5, 3, 2)]
-    empty = wavelet.write(wavelet.encode(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json")), shared_path(spark, "test"))
+    empty = wavelet.encode(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "test"))
     assert wavelet.directory(empty).count() == 0
 
 
-def test_wavelet_access_rank_select():
+@pytest.mark.parametrize("block", [1 << 16, 512])
+def test_wavelet_access_rank_select(monkeypatch, block):
+    monkeypatch.setattr(wavelet, "BLOCK", block)
     rng = np.random.default_rng(3)
     ids = (rng.zipf(1.4, 3000) % 300).astype(np.uint32)
-    m, *_ = wavelet.open_shard(wavelet.image(ids, np.zeros(1, np.int64), np.ones(1, bool), np.array([3000])))
-    assert (m.decode() == ids).all()
+    m = wavelet.open_bytes(wavelet.image(ids, np.zeros(1, np.int64), np.ones(1, bool), np.array([3000])))
+    assert (m.ids() == ids).all()
     for i in range(0, 3000, 7):
         assert m.access(i) == ids[i] and m.rank(int(ids[i]), i) == (ids[:i] == ids[i]).sum() and m.select(int(ids[i]), m.rank(int(ids[i]), i)) == i
     assert m.occurrences(5) == np.flatnonzero(ids == 5).tolist() and m.count(5, 100, 900) == (ids[100:900] == 5).sum()
-    assert m.count(9999) == 0
+    assert m.count(9999) == 0 and m.count(5) == (ids == 5).sum()
     with pytest.raises(IndexError):
         m.select(5, 3000)
     with pytest.raises(IndexError):
         m.access(3000)
+
+
+def test_calls_read_part_of_a_file(tmp_path):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50_000, 1_000_000).astype(np.uint32)
+    (tmp_path / "a.wmx").write_bytes(data := wavelet.image(ids, np.arange(2), np.ones(2, bool), np.array([400_000, 600_000])))
+    m, read = wavelet.open_file(str(tmp_path / "a.wmx")), []
+    m.read = (lambda f: lambda at, size: read.append(size) or f(at, size))(m.read)
+    assert m.access(777_777) == ids[777_777] and m.count(int(ids[5])) == (ids == ids[5]).sum()
+    assert m.select(int(ids[5]), 0) == np.flatnonzero(ids == ids[5])[0] and sum(read) < len(data) / 3
+    assert (m.ids() == ids).all()
+    with pytest.raises(ValueError):
+        wavelet.open_bytes(b"no shard at all, whatever it holds, and long enough for a header")
