@@ -33,12 +33,12 @@ def is_populated(c: Column, kind: str = "string") -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """HTML entities decoded. The whole HTML5 table is Python's, so an Arrow function does it, and only where an ampersand stands."""
+    """HTML entities decoded. The whole HTML5 table is Python's, so an Arrow function does it; texts without an ampersand go by it as nulls."""
     @F.arrow_udf("string")
     def decode(x: pa.Array) -> pa.Array:
         return pa.array([None if s is None else html.unescape(s) for s in x.to_pylist()], pa.string())
 
-    return F.when(F.contains(c, F.lit("&")), decode(c)).otherwise(c)
+    return F.coalesce(decode(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def unescape_common(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import doi_key
@@ -14,9 +14,10 @@ def content_hash(raw: Column) -> Column:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by order. Null keys are equal to each other."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first row of each key by order. Null keys are equal to each other. Tasks keep one row for each key before rows travel, so a frequent key is no one's burden."""
+    whole, first = F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*order)
+    kept = df.groupBy(*(F.col(k).alias(f"key{i}") for i, k in enumerate(keys))).agg(F.min_by(whole, first).alias("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
@@ -43,8 +44,7 @@ def partition(incoming: DataFrame, existing: DataFrame, threshold: int = 90) ->
     from .fuzzy import best_matches
 
     live = existing.where("is_active")
-    first = Window.partitionBy("_key").orderBy("id")
-    held = live.select(doi_key(F.col("doi")).alias("_key"), "id", "title").where("_key <> ''").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+    held = keep_first(live.select(doi_key(F.col("doi")).alias("_key"), "id", "title").where("_key <> ''"), ["_key"], ["id"])
     held = held.select("_key", F.col("id").alias("_id"), F.col("title").alias("_title"))
     marked = incoming.withColumn("_key", doi_key(F.col("doi"))).join(held, "_key", "left").drop("_key")
     exact = marked.where("_id IS NOT NULL").withColumns({"dup_type": F.lit("exact"), "dup_score": F.lit(1.0)})
@@ -63,9 +63,10 @@ def review_queue(parted: DataFrame) -> DataFrame:
     return parted.where("dup_type = 'fuzzy'")
 
 
-def merge_log(parted: DataFrame, run_time) -> DataFrame:
-    """One MERGE_LOG row for each decision; 0 where no record is kept."""
+def merge_log(parted: DataFrame, run_time, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One MERGE_LOG row (with the columns in carry) for each decision; 0 where no record is kept."""
     return parted.where("dup_type <> 'clean'").select(
-        F.coalesce("matched_id", F.lit(0)).alias("kept_record_id"), F.col("_source").alias("removed_source") if "_source" in parted.columns else F.lit(None).cast("string").alias("removed_source"), F.col("title").alias("removed_title"),
+        *carry,
+        F.coalesce("matched_id", F.lit(0)).alias("kept_record_id"), F.col("doi").alias("dropped_doi"), F.col("_source").alias("removed_source") if "_source" in parted.columns else F.lit(None).cast("string").alias("removed_source"), F.col("title").alias("removed_title"),
         F.lit("detect").alias("stage"), F.when(F.col("dup_type") == "exact", "exact_doi").otherwise("fuzzy_title").alias("reason"), F.col("dup_score").alias("similarity"), F.lit(run_time).cast("timestamp").alias("merged_at"),
     )

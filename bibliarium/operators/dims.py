@@ -16,11 +16,13 @@ def members(records: DataFrame, column: str, lower: bool) -> DataFrame:
     return each.groupBy("record_id", "value").agg(F.min("value_order").alias("value_order"))
 
 
-def get_or_create(values: DataFrame, dimension: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+def get_or_create(values: DataFrame, dimension: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """dimension (id, key) with a row for every value (column value); new ids follow the greatest, by hash bucket and value.
 
-    Ranks are counted within buckets and shifted by the buckets before, so that no task sees all values.
+    Ranks are counted within buckets and shifted by the buckets before, so that no task sees all values. There are as
+    many buckets as shuffle partitions, which follow the size of the data.
     """
+    buckets = buckets or max(64, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     new = values.select("value").distinct().join(dimension.select(F.col(key).alias("value")), "value", "left_anti").withColumn("_b", F.pmod(F.crc32("value"), F.lit(buckets)))
     sizes = new.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))

@@ -1,9 +1,11 @@
 """Best fuzzy title match, exact without comparing everything.
 
-Two sorted token strings of lengths l1 and l2 score 200 * LCS / (l1 + l2). A score of t or more bounds the lengths'
-ratio by t / (200 - t), and the strings share a two-character piece whenever the longer is longer than one plus twice
-the differences that the score allows. So titles meet under the pieces that they share; a prefix of a title's
-rarest pieces is enough, since a match shares all but a bounded number of them. Equal strings meet by equality.
+Two sorted token strings of lengths l1 and l2 score 200 * LCS / (l1 + l2). A score of t or more bounds the LCS from
+below, and so what either string loses: a character of its own that goes destroys q of its q-grams at most, one of the
+other that stands between destroys q - 1. What is left is shared (q-grams are told apart by how many equal ones stand
+before them). Titles meet under their rarest q-grams only: of those, a string needs one more than a match may lack.
+Pairs that meet are held to the number of q-grams that their lengths ask for, before anything is compared. Short strings,
+which a match may leave without a shared q-gram, meet by single characters in the same way.
 """
 
 from __future__ import annotations
@@ -14,21 +16,50 @@ from pyspark.sql import functions as F
 from ..functions.similarity import lcs_length, sorted_tokens
 
 
-def _pieces(c: Column) -> Column:
-    """The distinct two-character pieces."""
-    n = F.greatest(F.length(c) - 1, F.lit(0))
-    return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(2))))
+def _pieces(c: Column, q: int) -> Column:
+    """The q-grams of a string, each with how many equal ones stand before it."""
+    n = F.greatest(F.length(c) - (q - 1), F.lit(0))
+    grams = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(q)))
+    told_apart = F.transform(F.array(F.array_sort(grams)), lambda s: F.transform(s, lambda g, i: F.concat(g, F.lit("\x00"), (i - F.array_position(s, g) + 1).cast("string"))))
+    return told_apart[0]
 
 
-def bigrams_suffice(threshold: int, longest: int = 4000) -> bool:
-    """Whether a matching pair of any lengths above one shares a piece: each difference destroys two pieces at most."""
-    for longer in range(2, longest):
-        shorter = -(-longer * threshold // (200 - threshold))
-        for other in (max(shorter, 1), longer):
-            differ = (longer + other) * (100 - threshold) // 100
-            if longer - 1 - 2 * differ < 1:
-                return False
-    return True
+def _lost(own: int, other: int, q: int, threshold: int) -> int | None:
+    """How many q-grams a string may lose to a match of another length; None if no match has these lengths."""
+    common = -(-threshold * (own + other) // 200)
+    return None if common > min(own, other) else q * (own - common) + (q - 1) * (other - common)
+
+
+def gram_length(threshold: int, most_short: int = 12) -> tuple[int, int]:
+    """The greatest q of up to three with which strings of more than `short` characters share a q-gram with every match; and short."""
+    for q in (3, 2):
+        if q * (200 - 2 * threshold) >= 200 - threshold or (q - 1) * (200 - 2 * threshold) >= threshold:
+            continue  # long strings may lose all
+        lengths = range(1, 200)
+        fail = [a for a in lengths if any((x := _lost(a, b, q, threshold)) is not None and a - q + 1 - x < 1 for b in range(1, 2 * a + 200))]
+        if max(fail, default=0) <= most_short:
+            return q, max(fail, default=0)
+    return 1, 0
+
+
+def _meeting(a: DataFrame, b: DataFrame, q: int, threshold: int) -> DataFrame:
+    """(ka, kb) of all pairs that may match, by their q-grams."""
+    la, lb = F.length("ka"), F.length("kb")
+    pieces = a.select(F.col("ka").alias("k")).unionByName(b.select(F.col("kb").alias("k"))).select(F.explode(_pieces(F.col("k"), q)).alias("p")).groupBy("p").agg(F.count("*").alias("df"))
+
+    def rarest(df: DataFrame, k: str) -> DataFrame:
+        """The rarest pieces of each string: one more than a match of any length may lack."""
+        each = df.select(k, F.explode(_pieces(F.col(k), q)).alias("p")).join(pieces, "p")
+        size = F.length(k)
+        lack = F.greatest(q * (size - size * threshold / (200 - threshold)), (q - 1) * (size * (200 - threshold) / threshold - size))
+        order = Window.partitionBy(k).orderBy("df", "p")
+        return each.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.floor(lack + 1e-6) + 1).select(k, "p")
+
+    near = F.least(la, lb) * (200 - threshold) >= F.greatest(la, lb) * threshold
+    common = F.ceil(threshold * (la + lb) / 200)
+    shared = F.size(F.array_intersect(_pieces(F.col("ka"), q), _pieces(F.col("kb"), q)))
+    met = rarest(a, "ka").join(rarest(b, "kb"), "p").where(near).select("ka", "kb").distinct()
+    return met.where(shared >= la - (q - 1) - q * (la - common) - (q - 1) * (lb - common))
 
 
 def best_matches(incoming: DataFrame, existing: DataFrame, threshold: int = 90) -> DataFrame:
@@ -40,23 +71,12 @@ def best_matches(incoming: DataFrame, existing: DataFrame, threshold: int = 90)
     b = b.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(F.col("id").alias("existing_id"), "existing_title", "kb")
     keys_a, keys_b = a.select("ka").distinct(), b.select("kb")
     la, lb = F.length("ka"), F.length("kb")
-    near = (F.least(la, lb) * (200 - threshold) >= F.greatest(la, lb) * threshold)
-    if bigrams_suffice(threshold):
-        pieces = keys_a.select(F.col("ka").alias("k")).unionByName(keys_b.select(F.col("kb").alias("k"))).select(F.explode(_pieces(F.col("k"))).alias("p")).groupBy("p").agg(F.count("*").alias("df"))
-
-        def rarest(df: DataFrame, k: str) -> DataFrame:
-            """The rarest pieces of each string: one more than a match may lack."""
-            each = df.select(k, F.explode(_pieces(F.col(k))).alias("p")).join(pieces, "p")
-            most = F.floor(2 * F.length(k) * (100 - threshold) / threshold) * 2 + 1
-            order = Window.partitionBy(k).orderBy("df", "p")
-            return each.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select(k, "p")
-
-        met = rarest(keys_a, "ka").join(rarest(keys_b, "kb"), "p").where(near).select("ka", "kb").distinct()
-        met = met.unionByName(keys_a.join(keys_b, F.col("ka") == F.col("kb"))).distinct()
-    else:
-        band = lambda k: F.floor(F.log(F.length(k)) / F.log(F.lit((200 - threshold) / threshold)))
-        met = keys_a.select("ka", F.explode(F.array(band("ka") - 1, band("ka"), band("ka") + 1)).alias("w")).join(keys_b.select("kb", band("kb").alias("w")), "w").where(near).select("ka", "kb")
-    scored = met.withColumn("lcs", F.when(F.col("ka") == F.col("kb"), la).otherwise(lcs_length(F.col("ka"), F.col("kb")))).where(200 * F.col("lcs") >= threshold * (la + lb))
+    q, short = gram_length(threshold)
+    met = _meeting(keys_a.where(la > short), keys_b.where(lb > short), q, threshold)
+    if short:
+        most = short * (200 - threshold) // threshold
+        met = met.unionByName(_meeting(keys_a.where(la <= most), keys_b.where(lb <= most), 1, threshold).where(F.least(la, lb) <= short))
+    scored = met.withColumn("lcs", F.coalesce(lcs_length(F.when(F.col("ka") != F.col("kb"), F.col("ka")), F.col("kb")), la)).where(200 * F.col("lcs") >= threshold * (la + lb))
     ranked = a.join(scored, "ka").join(b, "kb").withColumn("similarity", F.round(2 * F.col("lcs") / (F.length("ka") + F.length("kb")), 4)).withColumn("_score", F.col("lcs") / (F.length("ka") + F.length("kb")))
     order = Window.partitionBy("pos").orderBy(F.desc("_score"), "existing_id")
     return ranked.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("pos", "existing_id", "existing_title", "similarity")

@@ -27,7 +27,7 @@ def resolve_conflicts(df: DataFrame) -> DataFrame:
     c, a = F.col("creators"), F.col("authors")
     filled = lambda x, name: F.coalesce(F.size(x) > 0, F.lit(False)) if df.schema[name].dataType.simpleString().startswith("array") else F.coalesce(x != "", F.lit(False))
     differ = filled(c, "creators") & filled(a, "authors") & ~F.to_json(F.struct(c.alias("x"))).eqNullSafe(F.to_json(F.struct(a.alias("x"))))
-    note = F.concat(F.lit("creators/authors mismatch: kept "), F.to_json(F.struct(c.alias("creators"))), F.lit(", dropped "), F.to_json(F.struct(a.alias("authors"))))
+    note = F.concat(F.lit("two lists of names; creators stay: "), F.to_json(F.struct(c.alias("creators"))), F.lit("; left out: "), F.to_json(F.struct(a.alias("authors"))))
     return df.withColumns({"conflict_notes": F.when(differ, F.array(note)).otherwise(F.array().cast("array<string>")), "authors": F.when(~differ, a)})
 
 

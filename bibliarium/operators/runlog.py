@@ -1,4 +1,4 @@
-"""Run log: one row for each run, made at its end, with counts that were observed while the rows went by."""
+"""Run log: one row for each run, from its start on, and the counts of its stages."""
 
 from __future__ import annotations
 
@@ -8,30 +8,33 @@ import time
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RUN_LOG
 
 
-def observed(df: DataFrame, name: str, **counts) -> tuple[DataFrame, Observation]:
-    """df whose first action leaves counts (columns) in the observation."""
-    seen = Observation(name)
-    return df.observe(seen, *(c.alias(k) for k, c in counts.items())), seen
-
-
 @contextlib.contextmanager
 def run(spark: SparkSession, path: str, source: str) -> Iterator[dict]:
-    """Appends a RUN_LOG row to path when the block ends: success, or failed with the error raised on. The block fills the counts of the dict it gets."""
-    started, clock, counts, status = datetime.datetime.now(datetime.UTC), time.monotonic(), {}, "success"
+    """A RUN_LOG row below path, running while the block runs, then success, or failed with the error raised on. The block fills the counts of the dict it gets."""
+    run_id, started, clock, counts = uuid.uuid4().hex, datetime.datetime.now(datetime.UTC), time.monotonic(), {}
+
+    def tell(status: str) -> None:
+        row = {"run_id": run_id, "source": source, "status": status, "started_at": started, "elapsed_seconds": time.monotonic() - clock} | counts
+        spark.createDataFrame([[row.get(f.name) for f in RUN_LOG]], RUN_LOG).coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run_id}")
+
+    tell("running")
+    status = "failed"
     try:
         yield counts
-    except BaseException:
-        status = "failed"
-        raise
+        status = "success"
     finally:
-        row = {"run_id": uuid.uuid4().hex, "source": source, "status": status, "started_at": started, "elapsed_seconds": time.monotonic() - clock} | counts
-        spark.createDataFrame([[row.get(f.name) for f in RUN_LOG]], RUN_LOG).write.mode("append").parquet(path)
+        tell(status)
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """All RUN_LOG rows below path."""
+    return spark.read.schema(RUN_LOG).option("recursiveFileLookup", True).parquet(path)
 
 
 def stage_counts(validated: DataFrame) -> DataFrame:

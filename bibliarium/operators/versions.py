@@ -75,8 +75,8 @@ def tombstones(log: DataFrame, keys: DataFrame, run_time) -> DataFrame:
 
 def latest(log: DataFrame) -> DataFrame:
     """The last row of each record, a tombstone after the version that it ends."""
-    order = Window.partitionBy("record_key").orderBy(F.desc("version_number"), F.desc("updated_at"), F.col("is_active"))
-    return log.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in log.columns)), F.struct("version_number", "updated_at", ~F.col("is_active")))
+    return log.groupBy(F.col("record_key").alias("key")).agg(last.alias("row")).select("row.*")
 
 
 def active(log: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dedup, dims, fuzzy, merge, normalise, runlog, validate, versions
 from ..operators.flatten import flatten
+from ..schemas import VERSIONS
 from . import search as S
 
 YEAR, RUN_TIME = 2026, datetime.datetime(2026, 1, 1)
@@ -186,6 +187,57 @@ def cooccur_edges(spark, sf):
     return S.graph(_suppliers(spark, sf), max_nodes=40, min_weight=2)[1]
 
 
+@query(f"{_GRAPH.replace(') >= 2)),', ') >= 2) AND id IN (SELECT id FROM ds WHERE keywords ILIKE ' + chr(39) + '%economy%' + chr(39) + ')),')} SELECT a.name AS source, b.name AS target, count(*) AS weight FROM many a JOIN many b ON a.id = b.id AND a.name < b.name WHERE a.name IN (SELECT name FROM top) AND b.name IN (SELECT name FROM top) GROUP BY 1, 2 HAVING count(*) >= 2")
+def network_category(spark, sf):
+    return S.network(datasets(spark, sf), category="economy", min_weight=2)[1]
+
+
+@query(f"WITH {DS}{NAMES} SELECT count(DISTINCT name) AS total_authors FROM names WHERE year BETWEEN 1990 AND 2026")
+def network_total(spark, sf):
+    return S.total_authors(datasets(spark, sf))
+
+
+#: Of a string of ASCII letters s.
+_CRC = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({s}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+
+@query(f"{_GRAPH} SELECT name AS id, CAST({_CRC.format(s='name')} % 6 AS BIGINT) AS colour FROM top")
+def network_groups(spark, sf):
+    return S.network(datasets(spark, sf))[0].select("id", F.col("group").cast("bigint").alias("colour"))
+
+
+@query(f"WITH {DS}, p AS (SELECT * FROM ds WHERE authors ILIKE '%author 1%' AND year BETWEEN 1995 AND 2020), e AS (SELECT lower(trim(unnest(string_split_regex(keywords, '[;,|]+')))) AS category FROM p) SELECT category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM p), 1) AS pct FROM e WHERE category <> '' GROUP BY 1")
+def researcher_categories(spark, sf):
+    return S.researcher(datasets(spark, sf), "author 1", 1995, 2020)[2]
+
+
+@query(f"WITH {DS} SELECT CAST(year AS BIGINT) AS year, count(*) AS n FROM ds WHERE authors ILIKE '%author 1%' AND year BETWEEN 1995 AND 2020 GROUP BY 1")
+def researcher_years(spark, sf):
+    return _long(S.researcher(datasets(spark, sf), "author 1", 1995, 2020)[1])
+
+
+@query(f"WITH {DS} SELECT title, authors, CAST(year AS BIGINT) AS year, doi, keywords AS categories, url AS arxiv_id, repository FROM ds WHERE year BETWEEN 1990 AND 2026 AND 1 + id % 12 BETWEEN 3 AND 7 AND keywords ILIKE '%economy%' ORDER BY title, doi NULLS FIRST LIMIT 40")
+def search_months(spark, sf):
+    rows = datasets(spark, sf).withColumn("month", 1 + F.col("id") % 12)
+    return _long(S.search(rows, month_from=7, month_to=3, category="economy", sort="title", limit=40)[0])
+
+
+@query(f"WITH {DS}, p AS (SELECT authors FROM ds WHERE year = 2001 AND 1 + id % 12 = 5 ORDER BY title, doi NULLS FIRST LIMIT 30) SELECT count(DISTINCT authors) AS authors FROM p")
+def page_author_strings(spark, sf):
+    rows = datasets(spark, sf).withColumn("month", 1 + F.col("id") % 12)
+    return S.page_authors(S.search(rows, exact_year=2001, exact_month=5, limit=30)[0])
+
+
+@query(f"WITH {DS}, p AS (SELECT year FROM ds WHERE year BETWEEN 1990 AND 2026 AND title ILIKE '%bolt%' OR year BETWEEN 1990 AND 2026 AND keywords ILIKE '%bolt%' OR year BETWEEN 1990 AND 2026 AND description ILIKE '%bolt%' ORDER BY title, doi NULLS FIRST LIMIT 60) SELECT CAST(year AS BIGINT) AS year, count(*) AS n FROM p GROUP BY 1")
+def page_years(spark, sf):
+    return _long(S.by_year(S.search(datasets(spark, sf), "bolt", limit=60, sort="title")[0]))
+
+
+@query(f"WITH {DS} SELECT id FROM ds WHERE authors ILIKE '%author 2%' ORDER BY id LIMIT 25")
+def guarded_rows(spark, sf):
+    return S.guarded(S.matching(datasets(spark, sf), "author 2", "author"), 25, ["id"]).select("id")
+
+
 # --- scalar functions ---
 @query(f"WITH {DS}{NAMES} SELECT id, string_agg(name, '|' ORDER BY pos) AS names FROM names GROUP BY 1")
 def byline_names(spark, sf):
@@ -229,7 +281,12 @@ def keyword_normalise(spark, sf):
     return _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.keyword_split(raw), "|").alias("keywords"))
 
 
-@query("SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS clean FROM pages WHERE NOT contains(html, '\\')")
+_WS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+_PLAIN = "replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+_NO_TAGS = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '<[^>]+>', ' ', 'g'), '\\[a-zA-Z]+\{{([^}}]*)\}}', '\1', 'g'), '\\[^a-zA-Z{_WS}]', '', 'g')"
+
+
+@query(rf"SELECT page_id, nullif(trim(regexp_replace({_NO_TAGS}, '[{_WS}]+', ' ', 'g')), '') AS clean FROM pages")
 def html_clean_native(spark, sf):
     return _t(spark, sf, "pages").select("page_id", text.strip_markup(text.unescape_common(F.col("html"))).alias("clean"))
 
@@ -389,6 +446,55 @@ def field_merge(spark, sf):
     return merged.select("id", "title", "abstract", "citation_count", "license", F.array_join("changed", "|").alias("changed"), "winner")
 
 
+_DUPS = """x AS (SELECT c_custkey AS pos, c_custkey % 40 + 1 AS matched_id, CASE WHEN c_custkey % 3 = 0 THEN 'exact' ELSE 'fuzzy' END AS dup_type, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS title,
+  CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS abstract, CASE WHEN c_custkey % 7 = 0 THEN 'L' || c_custkey END AS license, CASE WHEN c_custkey % 11 = 0 THEN 'S' || c_nationkey END AS subject_area, CASE WHEN c_custkey % 2 = 0 THEN '10.9/' || c_custkey END AS doi FROM customer),
+ o AS (SELECT *, row_number() OVER (PARTITION BY matched_id ORDER BY CASE WHEN dup_type = 'exact' THEN 0 ELSE 1 END, pos) AS k FROM x),
+ f(id, k, title, abstract, license, subject_area, doi, version_number, took) AS (SELECT range, 0, CASE WHEN range % 2 = 0 THEN 'own ' || range END, CAST(NULL AS VARCHAR), CASE WHEN range % 3 = 0 THEN 'MIT' END, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 1, false FROM range(1, 41)
+  UNION ALL SELECT id, k, CASE WHEN t THEN nt ELSE ot END, CASE WHEN a THEN na ELSE oa END, CASE WHEN l THEN nl ELSE ol END, CASE WHEN s THEN ns ELSE os END, CASE WHEN d THEN nd ELSE od END, CAST(v + CASE WHEN t OR a OR l OR s OR d THEN 1 ELSE 0 END AS INT), t OR a OR l OR s OR d
+   FROM (SELECT *, nt IS NOT NULL AND (ot IS NULL OR (more AND ot <> nt)) AS t, na IS NOT NULL AND (oa IS NULL OR (more AND oa <> na)) AS a, nl IS NOT NULL AND (ol IS NULL OR (more AND ol <> nl)) AS l, ns IS NOT NULL AND (os IS NULL OR (more AND os <> ns)) AS s, nd IS NOT NULL AND (od IS NULL OR (more AND od <> nd)) AS d
+    FROM (SELECT f.id, o.k, f.version_number AS v, f.title AS ot, o.title AS nt, f.abstract AS oa, o.abstract AS na, f.license AS ol, o.license AS nl, f.subject_area AS os, o.subject_area AS ns, f.doi AS od, o.doi AS nd,
+     (f.title IS NOT NULL)::INT + (f.abstract IS NOT NULL)::INT + (f.license IS NOT NULL)::INT + (f.subject_area IS NOT NULL)::INT + (f.doi IS NOT NULL)::INT < (o.title IS NOT NULL)::INT + (o.abstract IS NOT NULL)::INT + (o.license IS NOT NULL)::INT + (o.subject_area IS NOT NULL)::INT + (o.doi IS NOT NULL)::INT AS more
+     FROM f JOIN o ON o.matched_id = f.id AND o.k = f.k + 1)))"""
+
+
+def _folded(spark, sf):
+    c, k = _t(spark, sf, "customer"), F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    dups = c.select(k.alias("pos"), (k % 40 + 1).alias("matched_id"), F.when(k % 3 == 0, "exact").otherwise("fuzzy").alias("dup_type"), F.when(k % 4 != 0, F.col("c_name")).alias("title"), F.when(k % 5 == 0, F.col("c_mktsegment")).alias("abstract"), F.when(k % 7 == 0, F.concat(F.lit("L"), k)).alias("license"), F.when(k % 11 == 0, F.concat(F.lit("S"), "c_nationkey")).alias("subject_area"), F.when(k % 2 == 0, F.concat(F.lit("10.9/"), k)).alias("doi"))
+    n = F.col("id")
+    own = spark.range(1, 41).select(n, F.when(n % 2 == 0, F.concat(F.lit("own "), n)).alias("title"), none.alias("abstract"), F.when(n % 3 == 0, "MIT").alias("license"), none.alias("subject_area"), none.alias("doi"), none.alias("source_id"), none.alias("_source"), F.lit(1).alias("version_number"), F.lit(True).alias("is_active"))
+    return own, dups
+
+
+@query(f"WITH RECURSIVE {_DUPS} SELECT id, title, abstract, license, subject_area, doi, CAST(version_number AS BIGINT) AS version_number FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1")
+def merge_batch(spark, sf):
+    """Many duplicates folded into each record, in order."""
+    records = merge.fold(*_folded(spark, sf))
+    return _long(records.select("id", "title", "abstract", "license", "subject_area", "doi", "version_number"))
+
+
+@query(f"WITH RECURSIVE {_DUPS} SELECT f.id, o.pos, CAST(f.version_number AS BIGINT) AS version_number FROM f JOIN o ON o.matched_id = f.id AND o.k = f.k WHERE f.took")
+def merge_versions(spark, sf):
+    """A version for each merge that changed something."""
+    return _long(merge.fold_steps(*_folded(spark, sf))[1].select("id", "pos", "version_number"))
+
+
+@query("SELECT c_custkey AS id, c_custkey % 5 <> 0 AND NOT (c_custkey % 3 = 0 AND c_custkey % 7 <> 0 AND c_custkey % 40 + 1 <> c_custkey) AS is_active FROM customer")
+def merge_losers(spark, sf):
+    """Duplicates that are records themselves become inactive."""
+    c, k = _t(spark, sf, "customer"), F.col("c_custkey")
+    dups = c.where(k % 3 == 0).select(k.alias("record_id"), (k % 40 + 1).alias("matched_id"), F.when(k % 7 == 0, "clean").otherwise("exact").alias("dup_type"))
+    return merge.soft_delete(c.select(k.alias("id"), (k % 5 != 0).alias("is_active")), merge.losers(dups)).select("id", "is_active")
+
+
+@query("SELECT a.doc_id AS pos, coalesce((SELECT min(b.doc_id) FROM documents b WHERE b.doc_id % 2 = 0 AND b.doc_id % 3 <> 0 AND b.text = a.text), 0) AS kept_record_id, 'exact_doi' AS reason, ' DOI:10.1/' || md5(a.text) AS dropped_doi FROM documents a WHERE a.doc_id % 2 = 1 AND EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND b.doc_id % 3 <> 0 AND b.text = a.text)")
+def merge_log_rows(spark, sf):
+    incoming, existing = _sides(spark, sf)
+    none = F.lit(None).cast("string").alias("title")
+    parted = dedup.partition(incoming.select("*", none), existing.select("*", none))
+    return dedup.merge_log(parted, RUN_TIME, carry=("pos",)).select("pos", "kept_record_id", "reason", "dropped_doi")
+
+
 # --- dimensions ---
 def _words(spark, sf):
     docs = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat("p_name", F.lit(" "), F.upper("p_type"), F.lit(" "), "p_name"), " ").alias("keywords"))
@@ -410,6 +516,23 @@ def link_keywords(spark, sf):
     return _long(_words(spark, sf))
 
 
+@query(f"WITH {DS}{NAMES} SELECT name, count(*) AS n, min(CAST(pos - 1 AS BIGINT)) AS first_order FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY pos) AS pos FROM names) GROUP BY 1")
+def dim_authors(spark, sf):
+    """Names through the dimension and its links, in their order."""
+    rows = datasets(spark, sf).select("id", text.byline(F.col("authors")).alias("authors"))
+    values = dims.members(rows, "authors", lower=False)
+    dim = dims.get_or_create(values, spark.createDataFrame([(5, "Nobody")], "id bigint, name string"), "name")
+    links = dims.links(values, dim, "name", "author_id", "author_order")
+    return links.join(dim, F.col("author_id") == F.col("id")).groupBy("name").agg(F.count("*").alias("n"), F.min("author_order").cast("bigint").alias("first_order"))
+
+
+@query("SELECT count(DISTINCT lower(w)) + 1 AS ids, count(DISTINCT lower(w)) + 7 AS greatest, 7 AS least FROM (SELECT unnest(string_split(p_name || ' ' || upper(p_type) || ' ' || p_name, ' ')) AS w FROM part) WHERE lower(w) <> 'nothing'")
+def dim_ids(spark, sf):
+    """Every new value has an id of its own, without a gap after the greatest."""
+    dim = dims.get_or_create(_words(spark, sf), spark.createDataFrame([(7, "nothing")], "id bigint, keyword string"), "keyword")
+    return _long(dim.agg(F.count_distinct("id").alias("ids"), F.max("id").alias("greatest"), F.min("id").alias("least")))
+
+
 # --- versions ---
 def _changes(spark, sf):
     e = _t(spark, sf, "events")
@@ -447,6 +570,33 @@ def upsert_actions(spark, sf):
     return versions.apply(empty, _changes(spark, sf), ["type", "half"], RUN_TIME)[1].groupBy("action").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_CHAIN} SELECT version_number, CASE WHEN rn = 1 THEN 'inserted' ELSE 'updated' END AS action, type, half FROM v WHERE user_id = 3 AND moves")
+def version_history(spark, sf):
+    empty = spark.createDataFrame([], VERSIONS)
+    log = versions.apply(empty, _changes(spark, sf), ["type", "half"], RUN_TIME)[0]
+    return _long(versions.history(log, "user:3").select("version_number", "action", F.element_at("snapshot", "type").alias("type"), F.element_at("snapshot", "half").alias("half")))
+
+
+@query(f"WITH {_CHAIN}, l2 AS (SELECT user_id, max(version_number) AS version_number FROM v GROUP BY 1) SELECT 'user:' || user_id AS record_key, version_number, user_id % 4 <> 0 AS is_active FROM l2")
+def soft_deletes(spark, sf):
+    """The last state of every record after tombstones for some."""
+    empty = spark.createDataFrame([], VERSIONS)
+    log = versions.apply(empty, _changes(spark, sf), ["type", "half"], RUN_TIME)[0]
+    gone = _t(spark, sf, "events").where("user_id % 4 = 0").select(F.concat(F.lit("user:"), F.col("user_id")).alias("record_key"))
+    log = log.unionByName(versions.tombstones(log, gone, RUN_TIME + datetime.timedelta(days=1)))
+    return _long(versions.latest(log).select("record_key", "version_number", "is_active"))
+
+
+@query(f"WITH {_CHAIN}, before AS (SELECT user_id, arg_max(type, pos) AS type, (list(half ORDER BY pos DESC))[1] AS half, max(version_number) AS n FROM v GROUP BY 1), again AS (SELECT user_id, n, user_id % 2 = 0 AS odd, CASE WHEN user_id % 2 = 0 THEN 'other' ELSE type END AS type FROM before) SELECT 'user:' || user_id AS record_key, 'updated' AS action, n + CASE WHEN odd THEN 1 ELSE 0 END AS version_number FROM again")
+def upsert_again(spark, sf):
+    """Against a log that has every record: half of them change."""
+    empty = spark.createDataFrame([], VERSIONS)
+    log = versions.apply(empty, _changes(spark, sf), ["type", "half"], RUN_TIME)[0]
+    key = F.split("record_key", ":")[1].cast("bigint")
+    more = versions.active(log).select("record_key", F.lit(0).cast("bigint").alias("pos"), F.map_from_arrays(F.array(F.lit("type")), F.array(F.when(key % 2 == 0, "other").otherwise(F.element_at("snapshot", "type")))).alias("fields"))
+    return _long(versions.apply(log, more, ["type", "half"], RUN_TIME + datetime.timedelta(days=1))[1].select("record_key", "action", "version_number"))
+
+
 # --- raw records ---
 _RAW = {
     "zenodo": """'{"doi":"","metadata":{"title":"T' || k || '","publication_date":"20' || lpad(CAST(k % 25 AS VARCHAR), 2, '0') || '-01-02","doi":"10.1/' || k || '","creators":[{"name":"A, B"},{"name":""},{"x":1}],"keywords":"a, b ,c"},"links":{"html":"http://z/' || k || '"}}'""",
@@ -473,13 +623,29 @@ def flatten_sources(spark, sf):
     return _long(out.select("pos", "title", F.array_join("authors", "|").alias("authors"), "publication_year", "doi", F.array_join("keywords", "|").alias("keywords"), "repository", "access_url"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
-def flatten_json(spark, sf):
-    return _t(spark, sf, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+@query("""SELECT event_id, md5('{"a":{"k":' || json_extract(props, '$.k') || ',"u":' || user_id || '},"t":"' || event_type || '"}') AS h FROM events""")
+def content_hashes(spark, sf):
+    """Keys in order at every depth, however the record has them."""
+    raw = F.concat(F.lit('{"t": "'), "event_type", F.lit('", "a": {"u":'), F.col("user_id"), F.lit(', "k": '), F.try_variant_get(F.parse_json("props"), "$.k", "string"), F.lit("}}"))
+    return _t(spark, sf, "events").select("event_id", dedup.content_hash(raw).alias("h"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Smith, J ' || c_custkey || '|Roe, Ann' WHEN 1 THEN 'Doe, Jo|' || c_custkey || ', Al' WHEN 3 THEN 'Aristotle' END AS names FROM customer")
+def author_lists(spark, sf):
+    """Names as objects, whose name stands under one of three keys, and as one string."""
+    c, k = _t(spark, sf, "customer"), F.col("c_custkey")
+    one = lambda a, b, d: F.struct(a.cast("string").alias("name"), b.cast("string").alias("full_name"), d.cast("string").alias("display_name"))
+    none = F.lit(None)
+    objects = F.when(k % 4 == 0, F.array(one(F.concat(F.lit("Smith, J "), k), none, none), one(F.lit(""), none, F.lit("Ann Roe")))).when(k % 4 == 2, F.array(one(none, none, none))).when(k % 4 == 3, F.array(one(none, F.lit(" Aristotle "), F.lit("x"))))
+    strings = F.when(k % 4 == 1, F.concat(F.lit("Jo Doe & Al "), k, F.lit(" and ; ")))
+    made = normalise.normalise(c.select(k.alias("id"), objects.alias("creators"), strings.alias("authors")))
+    return made.select("id", F.array_join(F.coalesce("creators", "authors"), "|").alias("names"))
 
 
-@query("SELECT l_orderkey, arg_max(l_linenumber, l_extendedprice * 1000000 - l_linenumber) AS top_line, max(l_extendedprice) AS top_price FROM lineitem GROUP BY 1")
-def top_per_group(spark, sf):
-    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    rows = _t(spark, sf, "lineitem").withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-    return rows.select("l_orderkey", F.col("l_linenumber").alias("top_line"), F.col("l_extendedprice").alias("top_price"))
+@query("SELECT c_custkey % 3 AS kind, count(*) AS n, sum(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS notes, sum(CASE WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END) AS with_authors FROM customer GROUP BY 1")
+def name_conflicts(spark, sf):
+    """Where two lists differ, a note tells of it and one is left out."""
+    c, k = _t(spark, sf, "customer"), F.col("c_custkey")
+    rows = c.select(k.alias("id"), F.array("c_name").alias("creators"), F.when(k % 3 == 0, F.array(F.upper("c_mktsegment"))).when(k % 3 == 1, F.array("c_name")).alias("authors"))
+    out = normalise.resolve_conflicts(rows)
+    return out.groupBy((F.col("id") % 3).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.size("conflict_notes")).alias("notes"), F.count("authors").alias("with_authors"))

@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, dims, merge, normalise, runlog, validate, versions
 from ..operators.flatten import flatten
-from ..schemas import CONTENT, RECORDS
+from ..schemas import CONTENT, NORMALISED, RECORDS
+from ..sources.files import read_any
 from ..sources.tables import Store
 
 VERSIONED = [*CONTENT, "creators", "keywords", "missing_title_flag", "year_uncertain"]
 
 
+def dump(raws: DataFrame, path: str, each: bool = False) -> None:
+    """The raw records as lines of JSON, all together or a folder for each source; what was there goes."""
+    writer = raws.write.mode("overwrite")
+    (writer.partitionBy("_source") if each else writer).json(path)
+
+
 def ingest(raws: DataFrame) -> DataFrame:
     """raw, _source, pos to NORMALISED rows with pos, the first of each content kept. The hash covers the source's name too."""
     tagged = raws.withColumn("_md5", F.md5(F.concat(F.to_json(F.try_parse_json("raw")), F.lit("|"), "_source")))
@@ -22,12 +29,11 @@ def ingest(raws: DataFrame) -> DataFrame:
 
 
 def insert(store: Store, normalised: DataFrame, run_time: datetime.datetime, threshold: int = 90) -> dict[str, int]:
-    """Path of the catalogue: duplicates of stored records are merged into them, the first of each new identifier is stored, authors and keywords are linked."""
+    """Path of the catalogue: duplicates of stored records are merged into them, with a version for each change, the first of each new identifier is stored, authors and keywords are linked. All tables change together."""
     spark = store.spark
     existing = store.read("records")
     rows = normalised.withColumnRenamed("source", "_source")
     parted = dedup.partition(rows, existing, threshold).persist()
-    log = dedup.merge_log(parted, run_time)
     clean = parted.where("dup_type = 'clean' AND title IS NOT NULL")
     keyed = clean.withColumn("_key", F.coalesce(F.nullif(F.lower(F.trim("doi")), F.lit("")), F.concat(F.lit("#"), F.col("pos"))))
     fresh = dedup.keep_first(keyed, ["_key"], ["pos"]).drop("_key")
@@ -37,25 +43,47 @@ def insert(store: Store, normalised: DataFrame, run_time: datetime.datetime, thr
     new = fresh.withColumns({c.name: F.lit(None).cast(c.dataType) for c in RECORDS if c.name not in fresh.columns})
     new = new.withColumns({"md5_hash": F.col("_md5"), "version_number": F.lit(1), "is_active": F.lit(True), "created_at": F.lit(run_time), "updated_at": F.lit(run_time), "citation_count": F.coalesce("citation_count", F.lit(0))})
     new = new.withColumn("completeness", merge.completeness(new))
-    merged = merge.fold(existing, parted.drop("id") if "id" in parted.columns else parted)
+    merged, steps = merge.merge_records(existing, parted.drop("id"))
     counts = {r["dup_type"]: r["n"] for r in dedup.summary(parted).collect()} | {"inserted": fresh.count()}
     authors = dims.members(fresh, "authors", lower=False).persist()
     words = dims.members(fresh, "keywords", lower=True).persist()
     author_dim, word_dim = dims.get_or_create(authors, store.read("authors"), "name"), dims.get_or_create(words, store.read("keywords"), "keyword")
     record_authors, record_words = dims.links(authors, author_dim, "name", "author_id", "author_order"), dims.links(words, word_dim, "keyword", "keyword_id")
-    store.append("record_authors", record_authors)
-    store.append("record_keywords", record_words)
-    store.replace("authors", author_dim)
-    store.replace("keywords", word_dim)
-    store.append("merge_log", log)
-    store.replace("records", merged.select(*RECORDS.names).unionByName(new.select(*RECORDS.names)))
+    with store.transaction():
+        store.append("record_authors", record_authors)
+        store.append("record_keywords", record_words)
+        store.replace("authors", author_dim)
+        store.replace("keywords", word_dim)
+        store.append("merge_log", merge.log_merges(dedup.merge_log(parted, run_time, carry=("pos",)), steps))
+        store.append("record_versions", merge.snapshots(steps, run_time))
+        store.replace("records", merged.select(*RECORDS.names).unionByName(new.select(*RECORDS.names)))
     for df in (parted, fresh, authors, words):
         df.unpersist()
     return counts
 
 
-def curate(store: Store, records: DataFrame, run_time: datetime.datetime, current_year: int | None = None, rejected_path: str | None = None, normalised_path: str | None = None) -> dict[str, int]:
-    """Path of processing: records (pos and flat fields) are validated, rejects kept with their reasons, the rest normalised and inserted or updated with versions."""
+def insert_file(store: Store, path: str, run_time: datetime.datetime, threshold: int = 90) -> dict[str, int]:
+    """insert() of a file of normalised records, lines or an array of JSON; one that is missing or of no known format inserts nothing."""
+    found = read_any(store.spark, path)
+    if found is None or "raw" not in found.columns:
+        return {"inserted": 0}
+    rows = found.select(F.from_json("raw", NORMALISED).alias("r"), F.col("pos") if "pos" in found.columns else F.monotonically_increasing_id().alias("pos")).select("r.*", "pos")
+    return insert(store, rows, run_time, threshold)
+
+
+def curate(store: Store, records: DataFrame, run_time: datetime.datetime, current_year: int | None = None, rejected_path: str | None = None, normalised_path: str | None = None, log_path: str | None = None, batch: str = "") -> dict[str, int]:
+    """Path of processing: records (pos and flat fields) are validated, rejects kept with their reasons, the rest normalised and inserted or updated with versions.
+
+    With log_path there is a row in the run log. A batch that is run again under its name leaves its rejects once.
+    """
+    if not log_path:
+        return _curate(store, records, run_time, current_year, rejected_path, normalised_path, batch)
+    with runlog.run(store.spark, log_path, "curate") as counts:
+        counts |= _curate(store, records, run_time, current_year, rejected_path, normalised_path, batch)
+        return dict(counts)
+
+
+def _curate(store: Store, records: DataFrame, run_time: datetime.datetime, current_year: int | None, rejected_path: str | None, normalised_path: str | None, batch: str) -> dict[str, int]:
     checked = validate.validate(records, current_year).persist()
     accepted, rejected = validate.route(checked, run_time)
     clean = normalise.normalise(accepted).persist()
@@ -69,8 +97,9 @@ def curate(store: Store, records: DataFrame, run_time: datetime.datetime, curren
         rejected.write.mode("overwrite").json(rejected_path)
     if normalised_path:
         clean.write.mode("overwrite").json(normalised_path)
-    store.append("rejected_records", rejected)
-    store.append("record_versions", rows)
+    with store.transaction():
+        store.append("rejected_records", rejected, batch)
+        store.append("record_versions", rows)
     for df in (checked, clean, outcome, rows):
         df.unpersist()
     return counts

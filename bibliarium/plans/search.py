@@ -5,6 +5,7 @@ Columns that a table lacks are null, as DATASETS names them; year is a number.
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,11 +43,18 @@ def projected(df: DataFrame) -> DataFrame:
     return df.select("title", "authors", "year", "doi", _has(df, "keywords").alias("categories"), link.alias("arxiv_id"), _has(df, "repository").alias("repository"))
 
 
-def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRST, year_to: int = LAST, limit: int = 50, offset: int = 0, category: str | None = None, exact_year: int | None = None, sort: str = "year", tie: str = "title") -> tuple[DataFrame, DataFrame]:
-    """One page of results, newest first (ties by title, then identifier), and a row of total_count, page, page_size, total_pages, range_start, range_end."""
+def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRST, year_to: int = LAST, limit: int = 50, offset: int = 0, category: str | None = None, exact_year: int | None = None, sort: str = "year", tie: str = "title", month_from: int = 1, month_to: int = 12, exact_month: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One page of results, newest first (ties by title, then identifier), and a row of total_count, page, page_size, total_pages, range_start, range_end.
+
+    Months hold for tables with a column month; a row without one passes the whole year only.
+    """
     found = years(matching(df, q, field), year_from, year_to)
     if exact_year is not None:
         found = found.where(F.col("year") == exact_year)
+    if exact_month is not None:
+        found = found.where(_has(df, "month") == exact_month)
+    elif (month_from, month_to) != (1, 12):
+        found = found.where(_has(df, "month").between(*sorted((month_from, month_to))))
     if category:
         found = found.where(contains_ci(_has(df, "keywords"), category))
     order = {"year": [F.desc("year")], "oldest": [F.asc("year")], "title": [F.asc("title")]}[sort]
@@ -56,12 +64,30 @@ def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRS
     return page, total
 
 
+def answer(page: DataFrame, total: DataFrame) -> dict:
+    """What a client gets of one page: results, the row of counts, and the milliseconds that both took."""
+    began = time.monotonic()
+    results, counts = [r.asDict(recursive=True) for r in page.collect()], total.first().asDict()
+    return {"results": results} | counts | {"elapsed_ms": round(1000 * (time.monotonic() - began), 1)}
+
+
+def page_authors(page: DataFrame) -> DataFrame:
+    """How many different author strings a page has."""
+    return page.agg(F.count_distinct("authors").alias("authors"))
+
+
+def guarded(df: DataFrame, most: int | None, order: list[str]) -> DataFrame:
+    """At most so many rows, the first in order; all if no limit is given, which is the rule."""
+    return df if most is None else df.orderBy(*order).limit(most)
+
+
 def page_window(page: Column, total_pages: Column, around: int = 3) -> Column:
     """The page numbers shown beside a page."""
     return F.sequence(F.greatest(page - around, F.lit(1)), F.greatest(F.least(page + around, total_pages), F.greatest(page - around, F.lit(1))))
 
 
 def info(df: DataFrame) -> DataFrame:
+    """total, min_year and max_year; the columns are df.columns."""
     known = F.when(F.col("year") > 0, F.col("year"))
     return df.agg(F.count("*").alias("total"), F.coalesce(F.min(known), F.lit(FIRST)).alias("min_year"), F.coalesce(F.max(known), F.lit(LAST)).alias("max_year"))
 
@@ -102,17 +128,28 @@ def collaborators(df: DataFrame, name: str, top: int = 8) -> DataFrame:
     return each.where(~own).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)
 
 
-def network(df: DataFrame, focus: str = "", year_from: int = FIRST, year_to: int = LAST, max_nodes: int = 50, min_weight: int = 1, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+def _bylines(df: DataFrame, year_from: int, year_to: int, category: str | None) -> DataFrame:
+    rows = years(df.where("authors IS NOT NULL"), year_from, year_to)
+    rows = rows.where(contains_ci(_has(df, "keywords"), category)) if category else rows
+    return rows.select("authors", byline(F.col("authors")).alias("names"))
+
+
+def total_authors(df: DataFrame, year_from: int = FIRST, year_to: int = LAST, category: str | None = None) -> DataFrame:
+    """How many names the bylines of a network have, among its nodes or not."""
+    return _bylines(df, year_from, year_to, category).select(F.explode("names").alias("name")).agg(F.count_distinct("name").alias("total_authors"))
+
+
+def network(df: DataFrame, focus: str = "", year_from: int = FIRST, year_to: int = LAST, max_nodes: int = 50, min_weight: int = 1, depth: int = 1, category: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (the max_nodes most frequent names of bylines with two or more) and edges among them.
 
     Pairs are made inside each byline's array, without a self-join. With depth 2 and a focus, bylines that share a name
     with those of the focus count as well.
     """
-    ranged = years(df.where("authors IS NOT NULL"), year_from, year_to).select(F.monotonically_increasing_id().alias("_p"), "authors", byline(F.col("authors")).alias("names"))
+    ranged = _bylines(df, year_from, year_to, category)
     rows = ranged.where(contains_ci(F.col("authors"), focus)) if focus else ranged
     if focus and depth > 1:
         near = rows.select(F.explode("names").alias("name")).distinct()
-        rows = years(df.where("authors IS NOT NULL"), year_from, year_to).select("authors", byline(F.col("authors")).alias("names")).where(F.size("names") > 0)
+        rows = ranged.where(F.size("names") > 0)
         rows = rows.withColumn("_k", F.xxhash64("authors")).join(rows.select(F.xxhash64("authors").alias("_k"), F.explode("names").alias("name")).join(near, "name", "left_semi").select("_k").distinct(), "_k", "left_semi")
     return graph(rows.select("names"), focus, max_nodes, min_weight)
 

@@ -23,7 +23,7 @@ AUTHORS = _struct(id=_L, name=_S)
 KEYWORDS = _struct(id=_L, keyword=_S)
 RECORD_AUTHORS = _struct(record_id=_L, author_id=_L, author_order=_I)
 RECORD_KEYWORDS = _struct(record_id=_L, keyword_id=_L)
-MERGE_LOG = _struct(kept_record_id=_L, removed_source=_S, removed_title=_S, stage=_S, reason=_S, similarity=_D, merged_at=_TS)
+MERGE_LOG = _struct(kept_record_id=_L, dropped_doi=_S, removed_source=_S, removed_title=_S, stage=_S, reason=_S, similarity=_D, merged_at=_TS)
 REJECTED = _struct(reason_code=_S, title=_S, doi=_S, source_id=_S, raw_record=_S, rejected_at=_TS)
 RUN_LOG = _struct(run_id=_S, source=_S, status=_S, loaded=_L, accepted=_L, rejected=_L, flagged=_L, inserted=_L, updated=_L, started_at=_TS, elapsed_seconds=_D)
 #: The append-only log from which current records and histories are derived.
@@ -34,3 +34,8 @@ TABLES = {
     "records": RECORDS, "authors": AUTHORS, "keywords": KEYWORDS, "record_authors": RECORD_AUTHORS, "record_keywords": RECORD_KEYWORDS,
     "merge_log": MERGE_LOG, "rejected_records": REJECTED, "pipeline_run_log": RUN_LOG, "record_versions": VERSIONS, "datasets": DATASETS,
 }
+#: Columns by which rows of a table are looked up, in the order in which files are sorted.
+LAYOUT = {
+    "records": ["is_active", "repository", "publication_year", "doi"], "authors": ["name"], "keywords": ["keyword"], "record_authors": ["record_id"], "record_keywords": ["record_id"],
+    "record_versions": ["record_key", "version_number"], "datasets": ["year"],
+}

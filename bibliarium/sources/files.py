@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,26 +30,60 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, empty_as_null: bool = False) -> DataFrame:
-    """All columns as strings, quoted line breaks kept; empty cells are empty strings unless asked otherwise."""
+    """All columns as strings, quoted line breaks kept, so that a file is read by one task; empty cells are empty strings unless asked otherwise."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
     return df if empty_as_null else df.na.fill("")
 
 
+_FIELD = re.compile(r"([A-Za-z][A-Za-z0-9_-]*)\s*=\s*")
+_BARE = re.compile(r'[^,{}"\s]+')
+_EDGE = re.compile(r'[{}"]')
+
+
+def bibtex_fields(body: str) -> dict[str, str]:
+    """Fields of an entry, names in lower case, the first of each; values between braces of any depth, between quotes, or bare. One pass from left to right."""
+    out: dict[str, str] = {}
+    found = _FIELD.search(body)
+    while found:
+        at, depth = found.end(), 0
+        mark = body[at : at + 1]
+        end, stop = len(body), len(body)  # of a value that is not closed
+        if mark and mark in '{"':
+            for edge in _EDGE.finditer(body, at + (mark == '"')):
+                if edge[0] == '"':
+                    closed = mark == '"' and depth == 0
+                else:
+                    depth += 1 if edge[0] == "{" else -1
+                    closed = mark == "{" and depth == 0
+                if closed:
+                    end, stop = edge.start(), edge.end()
+                    break
+            value = body[at + 1 : end]
+        else:
+            bare = _BARE.match(body, at)
+            value, stop = (bare[0], bare.end()) if bare else ("", at)
+        if value or stop > at:
+            out.setdefault(found[1].lower(), value)
+        found = _FIELD.search(body, stop)
+    return out
+
+
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each entry: entry_type, entry_key and fields (a map, names in lower case, outer braces or quotes off).
+    """One row for each entry: entry_type, entry_key and fields (a map, as bibtex_fields() has them). A file is read by one task.
 
     Entries begin at an at sign that opens a line, so a file is cut there first; comments, preambles and strings are left out.
     """
+
+    @F.arrow_udf("map<string,string>")
+    def fields(x: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else list(bibtex_fields(s).items()) for s in x.to_pylist()], pa.map_(pa.string(), pa.string()))
+
     text = spark.read.text(path, wholetext=True)
     entry = text.select(F.explode(F.split("value", r"(?m)(?=^\s*@)")).alias("e")).select(F.trim(F.regexp_replace("e", r"\s+", " ")).alias("e"))
     head = r"^@\s*([A-Za-z]+)\s*[{(]\s*([^,\s]*)\s*,"
     entry = entry.select(F.lower(F.regexp_extract("e", head, 1)).alias("entry_type"), F.regexp_extract("e", head, 2).alias("entry_key"), F.regexp_replace("e", head, "").alias("body"))
     entry = entry.where("entry_type <> '' AND entry_type NOT IN ('comment', 'preamble', 'string')")
-    value = r'\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|"[^"]*"|[^,{}"\s]+'
-    pairs = F.regexp_extract_all("body", F.lit(rf"([A-Za-z][A-Za-z0-9_-]*)\s*=\s*({value})"), F.lit(0))
-    clean = F.transform(pairs, lambda p: F.struct(F.lower(F.trim(F.split(p, "=", 2)[0])).alias("k"), F.regexp_replace(F.trim(F.split(p, "=", 2)[1]), r'^[{"]|[}"]$', "").alias("v")))
-    first = F.filter(clean, lambda x, i: ~F.exists(F.slice(clean, 1, i), lambda y: y["k"] == x["k"]))
-    return entry.select("entry_type", "entry_key", F.map_from_entries(first).alias("fields"))
+    return entry.select("entry_type", "entry_key", fields("body").alias("fields"))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame | None:
@@ -71,10 +108,6 @@ def read_required(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def columns(df_or_none: DataFrame | None) -> list[str]:
-    return df_or_none.columns if df_or_none is not None else []
-
-
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -90,3 +123,14 @@ def clean_csv(df: DataFrame, order: str = "pos") -> DataFrame:
     from ..operators.dedup import keep_first
 
     return keep_first(df.withColumn("year", F.substring("year", 1, 4)), ["title", "authors"], [order])
+
+
+def collect_csv(spark: SparkSession, path: str, source: str = "zenodo", **options) -> None:
+    """One catalogue's records as a table of DATASETS columns: fetched, flattened and written."""
+    from ..operators.flatten import flatten
+    from . import rest
+
+    rest.register(spark)
+    raws = spark.read.format("catalogue").options(source=source, **options).load()
+    flat = flatten(raws, carry=("pos",))
+    write_csv(flat.select("title", "authors", F.col("publication_year").alias("year"), "doi", "keywords", F.lit(None).cast("string").alias("description"), F.col("access_url").alias("url"), "repository"), path)

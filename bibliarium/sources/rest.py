@@ -1,9 +1,9 @@
 """Paged REST catalogues as a Spark data source, format "catalogue".
 
 Options: source (zenodo, kaggle, openalex, datacite), base_url, query, max_records, token, and retries, wait, limit_wait,
-pause in seconds. Numbered pages are partitions, fetched in parallel up to the record limit; the one catalogue with
-cursors is read by one task, as each page names the next. An attempt that fails waits longer each time; a source whose
-attempts run out ends with what it has. A catalogue that needs a token gives no rows without one.
+pause in seconds. A source's pages are read one after the other by one task, which keeps to the pause between requests
+and leaves no hole: an attempt that fails waits longer each time, and a source whose attempts run out ends with the
+pages before. Sources are read side by side. A catalogue that needs a token gives no rows without one.
 """
 
 from __future__ import annotations
@@ -62,10 +62,7 @@ class Reader(DataSourceReader):
         c = self.catalogue
         if c.needs_token and not self.token:
             return []
-        if c.cursor:
-            return [Page(0, self.most)]
-        pages = -(-self.most // c.size)
-        return [Page(c.first + k, min(c.size, self.most - k * c.size)) for k in range(pages)]
+        return [Page(0 if c.cursor else c.first, self.most)]
 
     def fetch(self, params: dict) -> dict | list | None:
         request = urllib.request.Request(f"{self.url}?{urllib.parse.urlencode(params)}", headers={"Authorization": f"Bearer {self.token}"} if self.token else {})
@@ -86,7 +83,7 @@ class Reader(DataSourceReader):
             return
         c, left = self.catalogue, partition.most
         mark: object = "*" if c.cursor else partition.number
-        pos = 0 if c.cursor else (partition.number - c.first) * c.size
+        pos = 0
         while left > 0 and mark:
             params = c.fixed | {c.size_name: c.size, c.page: mark} | ({c.query: self.query} if self.query else {})
             answer = self.fetch(params)
@@ -101,7 +98,7 @@ class Reader(DataSourceReader):
                 yield json.dumps(hit, ensure_ascii=False), self.source, pos
                 pos += 1
             left -= len(hits)
-            mark = answer.get("meta", {}).get("next_cursor") if c.cursor else None
+            mark = answer.get("meta", {}).get("next_cursor") if c.cursor else mark + 1
 
 
 class CatalogueSource(DataSource):

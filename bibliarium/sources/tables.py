@@ -1,64 +1,115 @@
-"""The store: one folder of Parquet for each table, replaced whole or appended to. One writer at a time is assumed."""
+"""The store: folders of Parquet for each table, named by one manifest, so that all tables change together.
+
+A manifest lists each table's folders; a new one is written beside the last and takes its number by a rename, which
+fails if another writer took it first. Readers see the tables of one manifest. Folders that the new manifest leaves
+out go after it is there. Rows are sorted within files by the columns that look-ups go by (LAYOUT), so that statistics
+of row groups prune them.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import TABLES
+from ..schemas import LAYOUT, TABLES
 
 
 class Store:
-    """Tables below a root path. A table's current folder is named by a pointer file, so that a reader sees a whole snapshot."""
-
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(conf)
+        self._staged: dict[str, list[list[str]]] | None = None
+        self._made: list[str] = []
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/CURRENT"
+    def _last(self) -> int:
+        """The number of the last manifest; 0 if there is none."""
+        where = self._path(f"{self.root}/_manifests")
+        if not self._fs.exists(where):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(where)]
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("_")), default=0)
 
-    def _folder(self, table: str) -> str | None:
-        if not self._fs.exists(self._path(self._pointer(table))):
-            return None
-        return self.spark.read.text(self._pointer(table)).first()[0]
+    def _manifest(self) -> dict[str, list[list[str]]]:
+        """Of each table, its folders as (key, path)."""
+        last = self._last()
+        if not last:
+            return {}
+        stream = self._fs.open(self._path(f"{self.root}/_manifests/{last:012d}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, before: int, manifest: dict[str, list[list[str]]]) -> None:
+        temp, final = (self._path(f"{self.root}/_manifests/{name}.json") for name in (f"_{uuid.uuid4().hex}", f"{before + 1:012d}"))
+        out = self._fs.create(temp, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(temp, final):
+            self._fs.delete(temp, False)
+            raise RuntimeError(f"another writer changed {self.root}")
+
+    @contextlib.contextmanager
+    def transaction(self) -> Iterator[None]:
+        """What is appended and replaced in the block is seen when it ends, all of it or nothing. Reads see what was there before."""
+        if self._staged is not None:  # within another one
+            yield
+            return
+        before, old = self._last(), self._manifest()
+        self._staged, self._made = {t: list(folders) for t, folders in old.items()}, []
+        try:
+            yield
+            self._commit(before, self._staged)
+        except BaseException:
+            for folder in self._made:
+                self._fs.delete(self._path(folder), True)
+            raise
+        else:
+            kept = {folder for folders in self._staged.values() for _, folder in folders}
+            for folder in {folder for folders in old.values() for _, folder in folders} - kept:
+                self._fs.delete(self._path(folder), True)
+        finally:
+            self._staged = None
+
+    def _write(self, table: str, df: DataFrame) -> str:
+        folder = f"{self.root}/{table}/{uuid.uuid4().hex}"
+        self._made.append(folder)
+        rows = df.select(*(df[f.name].cast(f.dataType) for f in TABLES[table]))
+        (rows.sortWithinPartitions(*LAYOUT[table]) if table in LAYOUT else rows).write.parquet(folder)
+        return folder
 
     def create(self) -> None:
         """Every table that is not there yet, empty."""
-        for table, schema in TABLES.items():
-            if self._folder(table) is None:
-                self.replace(table, self.spark.createDataFrame([], schema))
+        known = self._manifest()
+        if set(TABLES) - set(known):
+            with self.transaction():
+                for table in TABLES:
+                    self._staged.setdefault(table, [])
 
     def drop(self) -> None:
-        for table in TABLES:
+        for table in (*TABLES, "_manifests"):
             self._fs.delete(self._path(f"{self.root}/{table}"), True)
 
     def read(self, table: str) -> DataFrame:
-        folder = self._folder(table)
-        if folder is None:
+        folders = [folder for _, folder in self._manifest().get(table, [])]
+        if not folders:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(folder)
+        return self.spark.read.schema(TABLES[table]).parquet(*folders)
 
-    def append(self, table: str, df: DataFrame) -> None:
-        schema = TABLES[table]
-        folder = self._folder(table)
-        if folder is None:
-            self.replace(table, df)
-        else:
-            df.select(*(df[f.name].cast(f.dataType) for f in schema)).write.mode("append").parquet(folder)
+    def append(self, table: str, df: DataFrame, key: str = "") -> None:
+        """Rows beside those that are there. With a key, they take the place of those that were appended under it before."""
+        with self.transaction():
+            self._staged[table] = [x for x in self._staged.get(table, []) if not key or x[0] != key] + [[key, self._write(table, df)]]
 
     def replace(self, table: str, df: DataFrame) -> None:
-        """A new folder, then the pointer; the old folder goes last."""
-        old, new = self._folder(table), f"{self.root}/{table}/{uuid.uuid4().hex}"
-        df.select(*(df[f.name].cast(f.dataType) for f in TABLES[table])).write.parquet(new)
-        out = self._fs.create(self._path(self._pointer(table)), True)
-        out.write(bytearray(new.encode()))
-        out.close()
-        if old:
-            self._fs.delete(self._path(old), True)
+        with self.transaction():
+            self._staged[table] = [["", self._write(table, df)]]
 
     def columns(self, table: str) -> list[str]:
         return self.read(table).columns if table in TABLES else []
