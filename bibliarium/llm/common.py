@@ -6,6 +6,8 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. All arithmetic on
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -18,6 +20,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 2 << 20
+
+
+def _return_memory() -> None:
+    """Large arrays go back to the system when they are freed: otherwise workers, which stay from stage to stage, keep what their largest block took."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 #: Bytes of text in a piece, unless one document alone has more.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def pieces(docs: DataFrame, make: Callable[[list[pa.RecordBatch]], dict[str, bytes | int]], schema: str, what: str, columns: list) -> DataFrame:

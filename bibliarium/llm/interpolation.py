@@ -35,7 +35,7 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 ORDER = 3
 LEVELS = 26
 #: Bytes of what pieces ask that a bucket takes, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 PIECE_SCHEMA = "ids binary, has_id binary, held binary, deleted binary, lengths binary, hashes binary, tokens binary, train_tokens bigint, train_docs bigint, deleted_tokens bigint, deleted_docs bigint, n_tokens bigint"
 
 
@@ -68,24 +68,24 @@ def _piece(batches: list[pa.RecordBatch]) -> dict:
     }
 
 
-def _grams(hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n-grams of 1 to ORDER tokens: ascending hashes of a piece's distinct ones, and which of them each token ends.
+def _grams(hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n-grams of 1 to `order` tokens: ascending hashes of a piece's distinct ones, and which of them each token ends.
 
     Before a document's first token stand as many starts as needed.
     """
     first = np.cumsum(lengths) - lengths
     out, start = [(hashes, tokens)], MULT[10]
-    for n in range(1, ORDER):
+    for n in range(1, order):
         h, place = out[-1]
         before = np.empty(len(tokens), np.int64)
         before[1:] = place[:-1]
         before[first] = len(h)
         keys, inverse = np.unique(before * np.int64(len(hashes) + 1) + tokens, return_inverse=True)
         made = mix(np.append(h, start)[keys // (len(hashes) + 1)] * MULT[11 + 2 * n] + hashes[keys % (len(hashes) + 1)] * MULT[12 + 2 * n])
-        order = np.argsort(made)
+        by = np.argsort(made)
         rank = np.empty(len(made), np.int64)
-        rank[order] = np.arange(len(made))
-        out.append((made[order], rank[inverse]))
+        rank[by] = np.arange(len(made))
+        out.append((made[by], rank[inverse]))
     return out
 
 
@@ -168,38 +168,46 @@ def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id",
     n = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "deleted_tokens", "deleted_docs", "n_tokens"))).first()
     many = max(8, math.ceil(12 * n[4] / BUCKET_BYTES))  # about six bytes for each bigram and trigram
 
-    def ask(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths = unpack(row["lengths"])
-                train, gone = (np.repeat(x, lengths) for x in (~unpack(row["held"]), unpack(row["deleted"])))
-                cells: dict[int, list] = {}
-                for k, (h, place) in enumerate(_grams(unpack_sorted(row["hashes"]), unpack(row["tokens"]).astype(np.int64), lengths)):
-                    counts = [np.bincount(place[x], minlength=len(h)) for x in (train, gone)]
-                    edge = bucket_of(h, many)
-                    for b in np.flatnonzero(np.diff(edge)).tolist():
-                        lo, hi = edge[b], edge[b + 1]
-                        cells.setdefault(b, [None] * 3 * ORDER)[3 * k : 3 * k + 3] = [pack_sorted(h[lo:hi]), *(pack(narrow(c[lo:hi])) for c in counts)]
-                some = sorted(cells)
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array(np.full(len(some), row["piece"])), *(pa.array([cells[b][j] for b in some], pa.binary()) for j in range(3 * ORDER))], names)
-
-    names = ["bucket", "piece", *(f"{x}{k}" for k in range(ORDER) for x in "hcd")]
-    answered = ["piece", "bucket", "types", *(f"{x}{k}" for k in range(ORDER) for x in "cd")]
     none = pack_sorted(np.zeros(0, np.uint64)), pack(np.zeros(0, np.uint8))
 
-    def answer(t: pa.Table) -> pa.Table:
-        out, types = [], 0
-        for k in range(ORDER):
-            h = [unpack_sorted(x or none[0]) for x in t.column(f"h{k}").to_pylist()]
-            counts, seen = _count(h, [[unpack(x or none[1]) for x in t.column(f"{c}{k}").to_pylist()] for c in "cd"])
-            types = seen if k == 0 else types
-            out += [pa.array([pack(narrow(x)) for x in c], pa.binary()) for c in counts]
-        return pa.table([t.column("piece"), t.column("bucket"), pa.array(np.full(t.num_rows, types)), *out], answered)
-
-    asked = table.select("piece", "hashes", "tokens", "lengths", "held", "deleted").mapInArrow(ask, "bucket int, piece bigint, " + ", ".join(f"{x} binary" for x in names[2:]))
-    answers = asked.groupBy("bucket").applyInArrow(answer, "piece bigint, bucket int, types bigint, " + ", ".join(f"{x} binary" for x in answered[3:]))
-    answers = written(answers, "answers")  # so that what was asked goes before answers meet their pieces
-    types = answers.groupBy("bucket").agg(F.max("types").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    def answers_for(orders: list[int]) -> DataFrame:
+        """What buckets answer about n-grams of some orders, by piece."""
+        names = ["bucket", "piece", *(f"{x}{k}" for k in orders for x in "hcd")]
+        answered = ["piece", "bucket", "types", *(f"{x}{k}" for k in orders for x in "cd")]
+
+        def ask(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    lengths = unpack(row["lengths"])
+                    train, gone = (np.repeat(x, lengths) for x in (~unpack(row["held"]), unpack(row["deleted"])))
+                    cells: dict[int, dict[str, bytes]] = {}
+                    for k, (h, place) in enumerate(_grams(unpack_sorted(row["hashes"]), unpack(row["tokens"]).astype(np.int64), lengths, max(orders) + 1)):
+                        if k in orders:
+                            counts = [narrow(np.bincount(place[x], minlength=len(h))) for x in (train, gone)]
+                            edge = bucket_of(h, many)
+                            for b in np.flatnonzero(np.diff(edge)).tolist():
+                                lo, hi = edge[b], edge[b + 1]
+                                cells.setdefault(b, {}).update({f"h{k}": pack_sorted(h[lo:hi]), f"c{k}": pack(counts[0][lo:hi]), f"d{k}": pack(counts[1][lo:hi])})
+                    some = sorted(cells)
+                    yield pa.record_batch([pa.array(some, pa.int32()), pa.array(np.full(len(some), row["piece"])), *(pa.array([cells[b].get(x) for b in some], pa.binary()) for x in names[2:])], names)
+
+        def answer(t: pa.Table) -> pa.Table:
+            out, types = [], 0
+            for k in orders:
+                h = [unpack_sorted(x or none[0]) for x in t.column(f"h{k}").to_pylist()]
+                counts, seen = _count(h, [[unpack(x or none[1]) for x in t.column(f"{c}{k}").to_pylist()] for c in "cd"])
+                types = seen if k == 0 else types
+                out += [pa.array([pack(narrow(x)) for x in c], pa.binary()) for c in counts]
+            return pa.table([t.column("piece"), t.column("bucket"), pa.array(np.full(t.num_rows, types)), *out], answered)
+
+        asked = table.select("piece", "hashes", "tokens", "lengths", "held", "deleted").mapInArrow(ask, "bucket int, piece bigint, " + ", ".join(f"{x} binary" for x in names[2:]))
+        asked = asked.repartition(many, "bucket")  # a given number of tasks, which follows the data
+        found = asked.groupBy("bucket").applyInArrow(answer, "piece bigint, bucket int, types bigint, " + ", ".join(f"{x} binary" for x in answered[3:]))
+        return written(found, "answers")  # what was asked goes before more is asked, and before answers meet their pieces
+
+    words, longer = answers_for([0, 1]), answers_for([2])
+    types = words.groupBy("bucket").agg(F.max("types").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    answers = words.unionByName(longer, allowMissingColumns=True)
     made = ["ids", "has_id", "held", "deleted", "lengths", *(f"{x}{k}" for k in range(ORDER) for x in "cd")]
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -209,13 +217,13 @@ def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id",
         gone = np.repeat(unpack(row["deleted"]), lengths)
         out = [row[k] for k in made[:5]]
         for k, (_, place) in enumerate(_grams(unpack_sorted(row["hashes"]), unpack(row["tokens"]).astype(np.int64), lengths)):
-            c, d = (np.concatenate([unpack(x) for x in right.column(f"{x}{k}").to_pylist()]) for x in "cd")
+            c, d = (np.concatenate([unpack(v) for v in right.column(f"{x}{k}").to_pylist() if v is not None]) for x in "cd")
             out += [pack(narrow(c[place])), pack(narrow(d[place[gone]]))]
         return pa.table([pa.array([x], pa.binary()) for x in out], made)
 
     body = table.select("piece", "ids", "has_id", "held", "deleted", "lengths", "hashes", "tokens")
     joined = written(body.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(gather, ", ".join(f"{x} binary" for x in made)), "counts")
-    free(table, answers)
+    free(table, words, longer)
     return joined, Mixture(start_weights(), n[0], types, n[1]), (n[2], n[3])
 
 
