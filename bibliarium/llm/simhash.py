@@ -132,7 +132,7 @@ def _near(rows: DataFrame, queries: DataFrame, radius: int, blocks_: int | None)
 
     asks = tables(queries, "q", lambda name: F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     has = tables(rows, "r", lambda name: F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
-    met = asks.join(has, ["table", "key", "salt"])
+    met = asks.join(has.hint("merge"), ["table", "key", "salt"])  # few queries make many rows: they are not broadcast
     differ = F.col("q").bitwiseXOR(F.col("r"))
     earliest = F.expr(f"array_position(transform(array({array}), m -> ((q ^ r) & m) = 0), true) - 1")
     return met.where((F.bit_count(differ) <= radius) & (F.col("table") == earliest)).select("q", "r", F.bit_count(differ).alias("distance"))

@@ -97,5 +97,5 @@ def test_equal_hashes_of_different_bytes(spark, monkeypatch):
     assert suffix_dedup._differ(raw, starts[:1], starts[1:2], np.array([380])).tolist() == [True]
     assert suffix_dedup._differ(raw, starts[[6, 6]], starts[[7, 0]], np.array([230, 230])).tolist() == [False, True]
     assert suffix_dedup._differ(raw, starts[:0], starts[:0], ends[:0]).tolist() == []
-    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 100)
     assert suffix_dedup._differ(raw, starts[[6, 6, 6]], starts[[7, 0, 7]], np.array([230, 230, 230])).tolist() == [False, True, False]
