@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 
@@ -291,9 +292,16 @@ def unused(names: list[str], stem: str) -> str:
     return name
 
 
-def buckets(spark: SparkSession) -> int:
-    """How many buckets hashed keys are dealt to: as many as shuffle partitions, which the session sizes to the data."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def dealt(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers (int) that a repartition into n by them deals one to each partition."""
+    some = spark.range(n * (12 + n.bit_length())).select(F.col("id").cast("int").alias("key"))
+    rows = some.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("p")).agg(F.min("key").alias("key")).collect()  # n rows
+    out = np.full(n, -1, np.int64)
+    for r in rows:
+        out[r["p"]] = r["key"]
+    lack = np.flatnonzero(out < 0)
+    out[lack] = -1 - lack  # as good as any
+    return out
 
 
 def bucket_of(sorted_hashes: np.ndarray, n: int) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MULT, blocks, bucket_of, free, mix, narrow, pack, pack_sorted, span_hash, unpack, unpack_sorted, written
+from .common import LOWER, MULT, blocks, bucket_of, dealt, free, mix, narrow, pack, pack_sorted, span_hash, unpack, unpack_sorted, written
 from .exchange import pieces, text_columns
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -168,11 +168,12 @@ def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id",
     n = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "deleted_tokens", "deleted_docs", "n_tokens"))).first()
     many = max(8, math.ceil(12 * n[4] / BUCKET_BYTES))  # about six bytes for each bigram and trigram
 
+    key = dealt(docs.sparkSession, many)
     none = pack_sorted(np.zeros(0, np.uint64)), pack(np.zeros(0, np.uint8))
 
     def answers_for(orders: list[int]) -> DataFrame:
         """What buckets answer about n-grams of some orders, by piece."""
-        names = ["bucket", "piece", *(f"{x}{k}" for k in orders for x in "hcd")]
+        names = ["deal", "bucket", "piece", *(f"{x}{k}" for k in orders for x in "hcd")]
         answered = ["piece", "bucket", "types", *(f"{x}{k}" for k in orders for x in "cd")]
 
         def ask(batches):
@@ -189,7 +190,7 @@ def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id",
                                 lo, hi = edge[b], edge[b + 1]
                                 cells.setdefault(b, {}).update({f"h{k}": pack_sorted(h[lo:hi]), f"c{k}": pack(counts[0][lo:hi]), f"d{k}": pack(counts[1][lo:hi])})
                     some = sorted(cells)
-                    yield pa.record_batch([pa.array(some, pa.int32()), pa.array(np.full(len(some), row["piece"])), *(pa.array([cells[b].get(x) for b in some], pa.binary()) for x in names[2:])], names)
+                    yield pa.record_batch([pa.array(key[some], pa.int32()), pa.array(some, pa.int32()), pa.array(np.full(len(some), row["piece"])), *(pa.array([cells[b].get(x) for b in some], pa.binary()) for x in names[3:])], names)
 
         def answer(t: pa.Table) -> pa.Table:
             out, types = [], 0
@@ -200,9 +201,9 @@ def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id",
                 out += [pa.array([pack(narrow(x)) for x in c], pa.binary()) for c in counts]
             return pa.table([t.column("piece"), t.column("bucket"), pa.array(np.full(t.num_rows, types)), *out], answered)
 
-        asked = table.select("piece", "hashes", "tokens", "lengths", "held", "deleted").mapInArrow(ask, "bucket int, piece bigint, " + ", ".join(f"{x} binary" for x in names[2:]))
-        asked = asked.repartition(many, "bucket")  # a given number of tasks, which follows the data
-        found = asked.groupBy("bucket").applyInArrow(answer, "piece bigint, bucket int, types bigint, " + ", ".join(f"{x} binary" for x in answered[3:]))
+        asked = table.select("piece", "hashes", "tokens", "lengths", "held", "deleted").mapInArrow(ask, "deal int, bucket int, piece bigint, " + ", ".join(f"{x} binary" for x in names[3:]))
+        asked = asked.repartition(many, "deal")  # a given number of tasks, which follows the data
+        found = asked.groupBy("deal").applyInArrow(answer, "piece bigint, bucket int, types bigint, " + ", ".join(f"{x} binary" for x in answered[3:]))
         return written(found, "answers")  # what was asked goes before more is asked, and before answers meet their pieces
 
     words, longer = answers_for([0, 1]), answers_for([2])

@@ -1,9 +1,10 @@
 """Suffix-array dedup (operator 10): bytes under a string of `window` bytes that starts anywhere else, in any document.
 
 Every window has an anchor, the first of its least-hashed 16-byte grams, which its own bytes determine; neighbouring
-windows with one anchor form a segment. Equal windows have equal anchors, and share the gram and half of what they
-have besides it on one side or the other. Buckets of gram hashes tell pieces which of their segments share that much
-with another; each piece sends these once, by gram, to shards. A shard compares the bytes of segments whose hashes are
+windows with one anchor form a segment. Equal windows have equal anchors, at the same place: by that place windows are
+of CLASSES classes, and those of one class share the gram and all but a CLASSES-th part of what stands around it.
+Buckets of gram hashes tell pieces which of their segments share that much with another; each piece sends these once,
+by gram, to shards. A shard compares the bytes of segments whose hashes are
 equal, joins those that differ into one text, builds its suffix array by induced sorting, and finds by permuted common
 prefixes which windows repeat. Hashes only choose what is compared; bytes decide.
 
@@ -26,20 +27,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, MULT, U64, blocks, bucket_of, flat, mix, narrow, pack, pack_sorted, powers, repeated, span_hash, unpack, unpack_sorted, written
+from .common import BYTE, MULT, U64, blocks, bucket_of, dealt, flat, mix, narrow, pack, pack_sorted, powers, repeated, span_hash, unpack, unpack_sorted, written
 from .exchange import pieces, text_columns
 from .suffix import common_prefixes, suffix_array
 
 GRAM = 16
 #: Different segments of one gram that a shard takes.
 HOT = 2000
-PIECE_SCHEMA = "ids binary, has_id binary, lengths binary, text binary, start binary, windows binary, rank binary, grams binary, segments binary, twice binary, left binary, right binary, n_segments bigint"
+#: Classes of windows, by how many bytes stand before their anchors.
+CLASSES = 3
+NEAR = [f"near{k}" for k in range(CLASSES)]
+PIECE_SCHEMA = "ids binary, has_id binary, lengths binary, text binary, start binary, windows binary, rank binary, grams binary, segments binary, twice binary, " + ", ".join(f"{x} binary" for x in NEAR) + ", n_segments bigint"
 #: Bytes of text that one suffix array is built over; the segments of one gram stay together, however long.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 256 << 10
 #: What a bucket tells of a segment: its windows are to be asked of a shard; of the buckets of windows.
 SEND, SPREAD = 1, 2
 #: Bytes of what pieces ask that a bucket takes, and of text, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+#: Bytes that are compared, or hashed, at a time.
+STEP_BYTES = 1 << 20
 OTHER = mix(BYTE + MULT[0]) | U64(1)
 
 
@@ -50,31 +56,31 @@ def _anchors(prefix: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndar
     none = np.zeros(0, np.int64)
     if not count.sum():
         return none, none, none
-    at = np.arange(n - GRAM + 1)
-    span = window - GRAM + 1
+    at, span = np.arange(n - GRAM + 1), window - GRAM + 1
     key = span_hash(prefix, at, at + GRAM)
-    key = np.concatenate([key, np.full(-len(key) % span + span, ~U64(0))]).reshape(-1, span)
-    place = np.arange(key.size).reshape(key.shape)
-    # least keys, and the leftmost places of them, from a row's begin up to each place and from each place to the row's end
-    ahead = np.minimum.accumulate(key, axis=1)
-    fresh = np.ones(key.shape, bool)
-    fresh[:, 1:] = key[:, 1:] < ahead[:, :-1]
-    ahead_at = np.maximum.accumulate(np.where(fresh, place, -1), axis=1).reshape(-1)
-    behind = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1]
-    behind_at = np.minimum.accumulate(np.where(key <= behind, place, key.size)[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    ahead, behind = ahead.reshape(-1), behind.reshape(-1)
+    padded = np.concatenate([key, np.full(-len(key) % span + span, ~U64(0))]).reshape(-1, span)
+    ahead = np.minimum.accumulate(padded, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     s = flat(offs[:-1][count > 0], count[count > 0])
-    e = s + span - 1
-    anchor = np.where(behind[s] <= ahead[e], behind_at[s], ahead_at[e])
+    least = np.minimum(behind[s], ahead[s + span - 1])
     doc = np.repeat(np.arange(len(count)), count)
-    lead = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
-    return s[lead], np.diff(np.append(lead, len(s))), anchor[lead]
+    # a window has another anchor than the one before it where that one's, which stood first, is left behind, or where a lesser gram comes in at its end
+    left = np.append(True, (key[s[:-1]] == least[:-1]) | (doc[1:] != doc[:-1]))
+    lead = np.flatnonzero(left | np.append(True, least[1:] != least[:-1]))
+    first = s[lead]
+    anchor = first + span - 1
+    search = np.flatnonzero(left[lead])
+    windows = np.lib.stride_tricks.sliding_window_view(key, span)
+    for lo in range(0, len(search), 4096):
+        some = search[lo : lo + 4096]
+        anchor[some] = first[some] + windows[first[some]].argmin(axis=1)  # the first of those that tie
+    return first, np.diff(np.append(lead, len(s))), anchor
 
 
 def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Which of the pairs of stretches that begin at a and b, of size bytes, are not equal."""
     out = np.zeros(len(a), bool)
-    step = np.searchsorted(np.cumsum(size), np.arange(1, int(size.sum() // BUCKET_BYTES) + 1) * BUCKET_BYTES) if len(size) else []
+    step = np.searchsorted(np.cumsum(size), np.arange(1, int(size.sum() // STEP_BYTES) + 1) * STEP_BYTES) if len(size) else []
     for lo, hi in zip([0, *step], [*step, len(a)]):
         n = size[lo:hi]
         unequal = data[flat(a[lo:hi], n)] != data[flat(b[lo:hi], n)]
@@ -86,18 +92,21 @@ def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
 
 def _piece(window: int):
     def make(batches: list[pa.RecordBatch]) -> dict:
-        start, windows, grams, segments, lengths, texts, sides, at = [], [], [], [], [], [], ([], []), 0
-        side = (window - GRAM) // 2
+        start, windows, grams, segments, lengths, texts, near, at = [], [], [], [], [], [], [[] for _ in NEAR], 0
+        around = window - GRAM
         for b in blocks(iter(batches)):
             prefix = b.prefix(BYTE)
             s, w, a = _anchors(prefix, b.offs, window)
             start.append(s + at), windows.append(w)
             grams.append(mix(span_hash(prefix, a, a + GRAM) + MULT[6]))  # anchors have low hashes; these are even
             segments.append(mix(span_hash(prefix, s, s + w + window - 1) + (a - s).astype(np.uint64) * MULT[5]))
-            for k, (lo, has) in enumerate(((a - side, a - s >= side), (a + GRAM, s + w + window - 1 - a - GRAM >= side))):
-                h = mix(segments[-1] + MULT[7])  # of what has no such side: like nothing else
-                h[has] = span_hash(prefix, lo[has], lo[has] + side)
-                sides[k].append(h)
+            for k in range(CLASSES):
+                # of windows with lo to hi bytes before the anchor: lo bytes before it, and what the others have after it
+                lo, hi = around * k // CLASSES, around * (k + 1) // CLASSES
+                h = mix(segments[-1] + MULT[7] + U64(k))  # of segments without such windows: like nothing else
+                has = np.flatnonzero((a - s >= lo) & (a - s - w < hi))
+                h[has] = span_hash(prefix, a[has] - lo, a[has]) * MULT[8] + span_hash(prefix, a[has] + GRAM, a[has] + GRAM + around - hi)
+                near[k].append(h)
             lengths.append(np.diff(b.offs)), texts.append(b.data)
             at += len(b.data)
         ids = pa.chunked_array([b.column(0) for b in batches])
@@ -117,24 +126,24 @@ def _piece(window: int):
             "ids": pack(pc.fill_null(ids, 0).to_numpy()), "has_id": pack(pc.is_valid(ids).to_numpy()), "lengths": pack(np.concatenate(lengths)), "text": pack(data),
             "start": pack_sorted(begin.astype(np.uint64)), "windows": pack(narrow(np.concatenate(windows))), "rank": pack(rank.astype(np.uint32)),
             "grams": pack_sorted(g[order][lead]), "segments": pack(s[order][lead]), "twice": pack(np.bincount(rank, minlength=int(lead.sum()))[: int(lead.sum())] > 1), "n_segments": int(lead.sum()),
-            "left": pack(np.concatenate(sides[0])[order][lead]), "right": pack(np.concatenate(sides[1])[order][lead]),
+            **{x: pack(np.concatenate(h)[order][lead]) for x, h in zip(NEAR, near)},
         }
 
     return make
 
 
-def _ask(many: int):
+def _ask(many: int, key: np.ndarray):
     """Each piece's distinct segments, by bucket of their grams."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                g, others = unpack_sorted(row["grams"]), [unpack(row[k]) for k in ("segments", "twice", "left", "right")]
+                g, others = unpack_sorted(row["grams"]), [unpack(row[k]) for k in ("segments", "twice", *NEAR)]
                 edge = bucket_of(g, many)
                 some = np.flatnonzero(np.diff(edge))
                 cells = [(int(edge[k]), int(edge[k + 1])) for k in some]
                 cols = [[pack_sorted(g[a:b]) for a, b in cells], *([pack(x[a:b]) for a, b in cells] for x in others)]
-                yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["piece"])), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "piece", "grams", "segments", "twice", "left", "right"])
+                yield pa.record_batch([pa.array(key[some], pa.int32()), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["piece"])), *(pa.array(c, pa.binary()) for c in cols)], ["deal", "bucket", "piece", "grams", "segments", "twice", *NEAR])
 
     return run
 
@@ -145,7 +154,7 @@ def _tell(t: pa.Table, hot: int) -> pa.Table:
     g = [unpack_sorted(x) for x in c["grams"]]
     cut = np.cumsum([len(x) for x in g])[:-1]
     g = np.concatenate(g)
-    s, twice, left, right = (np.concatenate([unpack(x) for x in c[k]]) for k in ("segments", "twice", "left", "right"))
+    s, twice, *near = (np.concatenate([unpack(x) for x in c[k]]) for k in ("segments", "twice", *NEAR))
     order = np.lexsort((s, g))  # stable: of equal segments the first piece's comes first
     sg, ss = g[order], s[order]
     new_g = np.append(True, sg[1:] != sg[:-1])[: len(sg)]
@@ -153,9 +162,10 @@ def _tell(t: pa.Table, hot: int) -> pa.Table:
     new_s[1:] |= ss[1:] != ss[:-1]
     which = np.cumsum(new_s) - 1
     often = np.bincount(which) + np.bincount(which, twice[order]).astype(np.int64) if len(which) else np.zeros(0, np.int64)
-    # a window holds one whole side of its anchor, so different segments that share one share a side
     own = order[new_s]
-    meets = repeated(mix(g[own] * MULT[8] + left[own])) | repeated(mix(g[own] * MULT[9] + right[own]))
+    meets = np.zeros(len(own), bool)
+    for k, h in enumerate(near):
+        meets |= repeated(mix(g[own] * MULT[9 + k] + h[own]))
     several = meets[which] | (often[which] > 1)
     gram = np.cumsum(new_g) - 1
     kinds = np.bincount(gram, new_s & several).astype(np.int64) if len(gram) else np.zeros(0, np.int64)
@@ -176,8 +186,9 @@ def _codes(told: list[dict], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _window_hashes(data: np.ndarray, start: np.ndarray, windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of all windows of some segments, one segment's after the other's."""
     out = ([], [])
-    for lo in range(0, len(start), 20_000):
-        s, w = start[lo : lo + 20_000], windows[lo : lo + 20_000]
+    many = max(1, STEP_BYTES // (2 * window))
+    for lo in range(0, len(start), many):
+        s, w = start[lo : lo + many], windows[lo : lo + many]
         size = w + window - 1
         own = data[flat(s, size)]
         at = flat(np.cumsum(size) - size, w)
@@ -205,7 +216,7 @@ def _asked(code: np.ndarray, first: np.ndarray, rank: np.ndarray, grams: np.ndar
     return go, bucket_of(grams[rank[go]], many)
 
 
-def _split(many: int, window: int):
+def _split(many: int, window: int, key: np.ndarray):
     """From a piece and what it was told: the segments it sends to shards, and the window hashes it asks of buckets."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -213,18 +224,18 @@ def _split(many: int, window: int):
         start, windows, rank = unpack_sorted(row["start"]).astype(np.int64), unpack(row["windows"]).astype(np.int64), unpack(row["rank"]).astype(np.int64)
         data = unpack(row["text"])
         code, first = _codes(right.to_pylist(), rank)
-        grams, twice = unpack_sorted(row["grams"]), unpack(row["twice"])
+        grams, hashes, twice = unpack_sorted(row["grams"]), unpack(row["segments"]), unpack(row["twice"])
         go, edge = _asked(code, first, rank, grams, many)
         rows = []
         for k, (a, b) in enumerate(zip(edge, edge[1:])):
             if b > a:
                 seg = go[a:b]
-                rows.append((1, k, pack(data[flat(start[seg], windows[seg] + window - 1)]), pack(narrow(windows[seg])), pack(twice[rank[seg]]), pack_sorted(grams[rank[seg]])))
+                rows.append((1, k, pack(data[flat(start[seg], windows[seg] + window - 1)]), pack(narrow(windows[seg])), pack(twice[rank[seg]]), pack_sorted(grams[rank[seg]]), pack(hashes[rank[seg]])))
         far = np.flatnonzero(code & SPREAD)
         one, two, _, n = _distinct(*_window_hashes(data, start[far], windows[far], window))
         edge = bucket_of(one, many)
-        rows += [(2, k, pack_sorted(one[a:b]), pack(two[a:b]), pack(n[a:b] > 1), b"") for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([row["piece"]] * len(rows), pa.int64()), *(pa.array([x[k] for x in rows], pa.binary()) for k in (2, 3, 4, 5))], ["kind", "bucket", "piece", "a", "b", "c", "d"])
+        rows += [(2, k, pack_sorted(one[a:b]), pack(two[a:b]), pack(n[a:b] > 1), b"", b"") for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+        return pa.table([pa.array([int(key[x[1]]) for x in rows], pa.int32()), pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([row["piece"]] * len(rows), pa.int64()), *(pa.array([x[k] for x in rows], pa.binary()) for k in (2, 3, 4, 5, 6))], ["deal", "kind", "bucket", "piece", "a", "b", "c", "d", "e"])
 
     return run
 
@@ -259,10 +270,8 @@ def _shard(t: pa.Table, window: int) -> pa.Table:
     if kind == 1:
         windows = [unpack(x).astype(np.int64) for x in c["b"]]
         sizes = np.concatenate(windows) + window - 1
-        data, twice, grams = (np.concatenate([read(x) for x in c[k]]) for k, read in (("a", unpack), ("c", unpack), ("d", unpack_sorted)))
+        data, twice, grams, h = (np.concatenate([read(x) for x in c[k]]) for k, read in (("a", unpack), ("c", unpack), ("d", unpack_sorted), ("e", unpack)))
         begin = np.cumsum(sizes) - sizes
-        up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(len(data))[0])])
-        h = span_hash(up, begin, begin + sizes)
         order = np.lexsort((sizes, h, grams))
         lead = np.ones(len(order), bool)
         lead[1:] = (grams[order][1:] != grams[order][:-1]) | (h[order][1:] != h[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
@@ -351,13 +360,14 @@ def dedup(docs: DataFrame, window: int = 200, hot: int = HOT, id_col: str = "doc
         raise ValueError(f"windows of {2 * GRAM} bytes at least")
     table = pieces(docs, _piece(window), PIECE_SCHEMA, "pieces", text_columns(id_col, text_col))
     total = table.agg(F.sum(F.octet_length("text")), F.sum("n_segments")).first()
-    many = max(8, math.ceil(max(total[0] or 0, 33 * (total[1] or 0)) / BUCKET_BYTES))
-    asked = table.select("piece", "grams", "segments", "twice", "left", "right").mapInArrow(_ask(many), "bucket int, piece bigint, grams binary, segments binary, twice binary, left binary, right binary")
-    told = written(asked.groupBy("bucket").applyInArrow(lambda t: _tell(t, hot), "piece bigint, bucket int, kind int, told binary"), "told")
+    many = max(8, math.ceil(max(total[0] or 0, 40 * (total[1] or 0)) / BUCKET_BYTES))
+    key = dealt(docs.sparkSession, many)
+    asked = table.select("piece", "grams", "segments", "twice", *NEAR).mapInArrow(_ask(many, key), "deal int, bucket int, piece bigint, grams binary, segments binary, twice binary, " + ", ".join(f"{x} binary" for x in NEAR))
+    told = written(asked.repartition(many, "deal").groupBy("deal").applyInArrow(lambda t: _tell(t, hot), "piece bigint, bucket int, kind int, told binary"), "told")
     body = table.select("piece", "ids", "has_id", "lengths", "text", "start", "windows", "rank", "grams", "twice")
-    sent = body.select("piece", "text", "start", "windows", "rank", "grams", "twice").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_split(many, window), "kind int, bucket int, piece bigint, a binary, b binary, c binary, d binary")
+    sent = table.select("piece", "text", "start", "windows", "rank", "grams", "segments", "twice").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_split(many, window, key), "deal int, kind int, bucket int, piece bigint, a binary, b binary, c binary, d binary, e binary")
     # a given number of partitions is not merged into few tasks, whose work is more than their bytes tell
-    found = sent.repartition(many, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(lambda t: _shard(t, window), "piece bigint, bucket int, kind int, told binary")
+    found = sent.repartition(many, "deal").groupBy("deal", "kind").applyInArrow(lambda t: _shard(t, window), "piece bigint, bucket int, kind int, told binary")
     answers = told.unionByName(written(found, "found"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
     return body.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(_finish(many, window, with_text), schema)
