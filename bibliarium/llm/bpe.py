@@ -220,7 +220,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         enc, pieces = encoder(path, pattern)
         decimal = [f"{i}" for i in range(max(enc.tokens, default=-1) + 1)]
-        for b in blocks(batches, 8 << 20):
+        for b in blocks(batches, 3 << 20):
             ids, offs = pieces.encode(b)
             back = pieces.decode(ids).tobytes()
             size = np.concatenate([[0], np.cumsum(np.diff(pieces.byte_at)[ids])])[offs].tolist()

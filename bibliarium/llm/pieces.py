@@ -14,8 +14,8 @@ import numpy as np
 
 from .common import BYTE, MULT, U64, Block, flat, mix, span_hash
 
-#: Pieces kept by each worker at most; beyond that it keeps those of the last block only.
-KNOWN = 2_000_000
+#: Pieces kept by each worker; beyond that it keeps the half that was used last.
+KNOWN = 1_000_000
 OTHER = mix(BYTE + MULT[0]) | U64(1)
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -63,7 +63,8 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.others, self.begin, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hashes, self.others, self.begin, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.used, self.clock = np.zeros(0, np.int32), 0
 
     def _learn(self, hashes: np.ndarray, others: np.ndarray, pieces: list[bytes]) -> None:
         """Adds pieces by their ascending, unknown hashes."""
@@ -71,7 +72,16 @@ class Pieces:
         begin = begin + len(self.pool)
         self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.others, self.begin, self.count = np.insert(self.hashes, at, hashes), np.insert(self.others, at, others), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+        for name, values in (("hashes", hashes), ("others", others), ("begin", begin), ("count", count), ("used", self.clock)):
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+
+    def _forget(self) -> None:
+        """Keeps the KNOWN / 2 pieces that were used last."""
+        keep = np.sort(np.argsort(self.used, kind="stable")[-(KNOWN // 2) :])
+        self.hashes, self.others, self.used = self.hashes[keep], self.others[keep], self.used[keep]
+        begin, self.count = self.begin[keep], self.count[keep]
+        self.pool = self.pool[flat(begin, self.count)]
+        self.begin = np.cumsum(self.count, dtype=np.int64) - self.count
 
     def _whole(self, b: Block, raw: bytes) -> np.ndarray:
         """The documents that hold one of the uncut strings; one that runs over a document's end is none."""
@@ -98,16 +108,15 @@ class Pieces:
         first, each = order[lead], h[order[lead]]
         inverse = np.empty(len(h), np.int64)
         inverse[order] = np.cumsum(lead) - 1
-        for again in range(2):
-            at = np.minimum(np.searchsorted(self.hashes, each), max(len(self.hashes) - 1, 0))
-            new = self.hashes[at] != each if len(self.hashes) else np.ones(len(each), bool)
-            if not new.any():
-                break
-            if again == 0 and len(self.hashes) + int(new.sum()) > KNOWN:
-                self.clear()
-                new[:] = True
+        if len(self.hashes) > KNOWN:
+            self._forget()
+        self.clock += 1
+        at = np.minimum(np.searchsorted(self.hashes, each), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != each if len(self.hashes) else np.ones(len(each), bool)
+        if new.any():
             self._learn(each[new], other[first[new]], [raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-        at = np.searchsorted(self.hashes, each)
+            at = np.searchsorted(self.hashes, each)
+        self.used[at] = self.clock
         begin, count = self.begin[at][inverse], self.count[at][inverse]
         ids = self.pool[flat(begin, count)]
         total = np.concatenate([[0], np.cumsum(count)])

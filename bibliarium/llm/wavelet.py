@@ -294,6 +294,7 @@ def directory(files: DataFrame) -> DataFrame:
     """
 
     def heads(batches):
+        _encoders.clear()  # what encoding has kept in this worker
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 s = open_file(path)
@@ -308,6 +309,7 @@ def directory(files: DataFrame) -> DataFrame:
     own = own.select("path", (F.col("before") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")).alias("start"))
 
     def read(batches):
+        _encoders.clear()
         for batch in batches:
             for path, start in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 s = open_file(path)
