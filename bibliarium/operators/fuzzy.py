@@ -57,9 +57,11 @@ def _meeting(a: DataFrame, b: DataFrame, q: int, threshold: int) -> DataFrame:
 
     near = F.least(la, lb) * (200 - threshold) >= F.greatest(la, lb) * threshold
     common = F.ceil(threshold * (la + lb) / 200)
-    shared = F.size(F.array_intersect(_pieces(F.col("ka"), q), _pieces(F.col("kb"), q)))
+    hashed = lambda k: F.transform(_pieces(F.col(k), q), lambda p: F.xxhash64(p))  # noqa: E731  one for each string, not for each pair
     met = rarest(a, "ka").join(rarest(b, "kb"), "p").where(near).select("ka", "kb").distinct()
-    return met.where(shared >= la - (q - 1) - q * (la - common) - (q - 1) * (lb - common))
+    met = met.join(a.select("ka", hashed("ka").alias("_ga")), "ka").join(b.select("kb", hashed("kb").alias("_gb")), "kb")
+    shared = F.size(F.array_intersect("_ga", "_gb"))
+    return met.select("ka", "kb", "_ga", "_gb").where(shared >= la - (q - 1) - q * (la - common) - (q - 1) * (lb - common)).select("ka", "kb")
 
 
 def best_matches(incoming: DataFrame, existing: DataFrame, threshold: int = 90) -> DataFrame:
