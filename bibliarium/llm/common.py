@@ -255,7 +255,8 @@ def _drop_all() -> None:
             return
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when it is there, and Python gets a thousand rows at a time, not megabytes of texts.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -264,12 +265,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     The shuffle files that made it are of no use then, and go when the write ends. free() takes the table back.
     """
     spark = df.sparkSession
-    path, before = shared_path(spark, what), spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    path, before = shared_path(spark, what), {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

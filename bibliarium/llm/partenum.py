@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, MULT, U64, Block, blocks, bucket_of, free, grams, labels, mix, narrow, pack, pack_sorted, ranges, slices, span_hash, unpack, unpack_sorted, unused, written
+from .common import LOWER, MULT, U64, Block, blocks, bucket_of, dealt, free, grams, labels, mix, narrow, pack, pack_sorted, ranges, slices, span_hash, unpack, unpack_sorted, unused, written
 from .components import components
 
 #: Signatures that a task gathers before it hands them on, and those of a bucket (8 bytes each, before compression).
@@ -44,8 +44,8 @@ FLUSH, BUCKET = 3_000_000, 2_000_000
 ROUNDS = 16
 #: Bytes of text in a window; the part of its documents in which a frequent feature stands; how many of those are left out at most.
 WINDOW_BYTES, FREQUENT, MOST_FREQUENT = 16 << 20, 0.003, 200_000
-#: Sets in each side of a square of comparisons, and features in them.
-SIDE, SIDE_FEATURES, SALTS = 512, 4_000_000, 32
+#: Sets in each side of a square of comparisons, from small families to large ones, and features in them; keys that a large family's sets are dealt to.
+SIDE, MOST_SIDE, SIDE_FEATURES, SALTS = 256, 1024, 4_000_000, 32
 CHOICES = ((1, 2), (0, 2), (0, 1))
 
 
@@ -275,6 +275,7 @@ def _sift(t: pa.Table, percent: int) -> pa.Table:
 
 def candidates(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: np.ndarray | None = None, many: int = 8) -> DataFrame:
     """(a, b): links of sets, named by their first hash, that connect those which share a signature; pairs may repeat. many: buckets of signatures."""
+    key = dealt(docs.sparkSession, many).tolist()
     schema = "bucket int, sigs binary, which binary, nodes binary, a binary, b binary"
 
     def emit(batches) -> Iterator[pa.RecordBatch]:
@@ -289,7 +290,7 @@ def candidates(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
             for k, (lo, hi, x, y) in enumerate(zip(edge.tolist(), edge[1:].tolist(), share.tolist(), share[1:].tolist())):
                 if hi > lo or y > x:
                     few, which = np.unique(node[lo:hi], return_inverse=True)
-                    rows.append((k, pack_sorted(sig[lo:hi]), pack(narrow(which)), pack(seen[few]), pack(seen[child[x:y]]), pack(seen[top[child[x:y]]])))
+                    rows.append((key[k], pack_sorted(sig[lo:hi]), pack(narrow(which)), pack(seen[few]), pack(seen[child[x:y]]), pack(seen[top[child[x:y]]])))
             return pa.record_batch([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(6)], ["bucket", "sigs", "which", "nodes", "a", "b"])
 
         for block in blocks(batches):
@@ -314,7 +315,7 @@ def candidates(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
         return pa.table({"a": np.concatenate([names[child], *a]).view(np.int64), "b": np.concatenate([names[top[child]], *b]).view(np.int64)})
 
     rows = _own(docs, id_col, text_col).mapInArrow(emit, schema)
-    return rows.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+    return rows.repartition(many, "bucket").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")  # tasks follow the data
 
 
 def _fresh(h: np.ndarray, real: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -382,13 +383,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     full = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.max("n_shingles").alias("n_shingles"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers that stay, once written
-    many = max(8, math.ceil(1.5 * (classes.agg(F.sum("n_shingles")).first()[0] or 0) / BUCKET))  # a feature makes about 1.4 signatures at 80 %
+    n_signatures = 1.4 * (classes.agg(F.sum("n_shingles")).first()[0] or 0)  # about, at 80 %
+    many = math.ceil(max(8, n_signatures / BUCKET, min(64, 8 * n_signatures / BUCKET)))
     families = components(candidates(docs, n, percent, id_col, text_col, frequent, many))
     members = classes.join(families.select(F.col("node").alias("h1"), "component"), "h1")
 
     def squared(members: DataFrame) -> DataFrame:
-        """Sets with their family's number of pieces, so many that a piece has about SIDE sets and SIDE_FEATURES features at most, and their own piece."""
-        pieces = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum("n_shingles") / SIDE_FEATURES)).cast("int").alias("pieces")).where("pieces > 1")
+        """Sets with their family's number of pieces, so many that a piece has about SIDE to MOST_SIDE sets and SIDE_FEATURES features at most, and their own piece."""
+        side = F.least(F.greatest(F.count("*") / 16, F.lit(float(SIDE))), F.lit(float(max(SIDE, MOST_SIDE))))
+        pieces = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / side, F.sum("n_shingles") / SIDE_FEATURES)).cast("int").alias("pieces")).where("pieces > 1")
         # a large family's members meet its number of pieces under SALTS keys
         pieces = pieces.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(pieces, ["component", "salt"], "left").drop("salt").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
@@ -416,7 +419,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
             yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in cols), pa.array([packed[int(k)] for k in of], pa.binary())], ["component", "i", "j", "side", "node", "first_id", "weight", "features"])
 
     named = light.select(F.col("first_id").alias("doc_id"), "h1", "h2", "component", "node", "weight", "pieces", "piece")
-    # by a shuffle at every size: a broadcast that only small tables allow would hide what large ones cost
+    # by a shuffle at every size, here and in one_of_each(): a broadcast that only small tables allow would hide what large ones cost
     rows = _own(docs, id_col, text_col).join(named.hint("merge"), "doc_id").mapInArrow(features, "component bigint, i bigint, j bigint, side bigint, node bigint, first_id bigint, weight bigint, features binary")
     found = written(rows.groupBy("component", "i", "j").applyInArrow(lambda t: _compare(t, percent), "node bigint, first_id bigint, parent bigint, links bigint"), "found")
     free(light)
@@ -440,7 +443,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     gone, place = unused(names, "_drop"), unused(names, "_row")
     found = written(join(docs, n, percent, id_col, text_col), "components")
     drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
-    left = docs.join(drop, F.col(id_col).cast("bigint") == F.col(gone), "left_anti")
+    left = docs.join(drop.hint("merge"), F.col(id_col).cast("bigint") == F.col(gone), "left_anti")
     again = found.where("n_shingles > 0 AND component_id = doc_id").groupBy("doc_id").count().where("count > 1")
     if not again.isEmpty():
         order = Window.partitionBy(id_col).orderBy(F.col(text_col).isNull(), text_col)
