@@ -1,4 +1,4 @@
-"""The ten operators' queries, with production parameters, each over its whole table.
+"""The operators' queries, with production parameters, each over its whole table.
 
 Queries base_* give those columns of an operator's result that SQL can express, with SQL in oracles.
 """
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, interpolation, mixing, oracles, partenum, pii, quality, secrets, simhash, suffix_dedup, wavelet
+from . import bpe, conversations, interpolation, mixing, oracles, partenum, pii, quality, recompression, secrets, simhash, suffix_dedup, wavelet, whitening
 from .common import shared_path, written
 
 
@@ -72,6 +72,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), window=200, with_text=False)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup(table(spark, sf_dir, "documents"), window=35, with_text=False)
+
+
 def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
@@ -92,11 +104,18 @@ def base_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
-TEN = (op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe, op8_lm_score, op9_jaccard_join, op10_suffix_dedup)
-BASES = (base_secrets, base_quality, base_personal, base_fingerprints, base_tokens)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*TEN, *BASES)} | {"pipeline": corpus_pipeline.run}
+def base_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
+OPERATORS = (
+    op1_secret_scan, op2_mixing, op3_quality_rules, op4_token_ids, op5_personal_data, op6_fingerprints, op7_byte_bpe, op8_lm_score, op9_jaccard_join, op10_suffix_dedup,
+    op11_whitening, op12_conversation_repair, op13_recompression,
+)
+BASES = (base_secrets, base_quality, base_personal, base_fingerprints, base_tokens, base_whitening)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*OPERATORS, *BASES)} | {"pipeline": corpus_pipeline.run}
 #: Models, trees and encoders have none; they are held to brute force, exact round trips or held-out accuracy in tests.
 ORACLES: dict[str, str] = {
     "base_secrets": oracles.SECRETS, "base_quality": oracles.QUALITY, "base_personal": oracles.PERSONAL, "base_fingerprints": oracles.FINGERPRINTS, "base_tokens": oracles.TOKENS,
-    "op9_jaccard_join": oracles.JACCARD, "op10_suffix_dedup": oracles.REPEATS,
+    "base_whitening": oracles.WHITENING, "op9_jaccard_join": oracles.JACCARD, "op10_suffix_dedup": oracles.REPEATS, "op12_conversation_repair": oracles.CONVERSATIONS, "op13_recompression": oracles.PASSAGES,
 }
