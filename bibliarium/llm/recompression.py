@@ -8,9 +8,10 @@ name those that stand at two places or more. What stands at one place only gets
 repeat, and it is left out of all later rounds, so that after the first ones little but repeated text is left.
 
 A window's own part of a round is what its words alone determine: its first and last run, and an end that may pair with
-what stands outside, are popped; the core goes on to the next round. A window of which any part has no name is done
-with. The popped names of all rounds and the last core's determine the window's words and are determined by them:
-pieces ask buckets which of these sequences occur again (by digests of 128 bits), and windows that do are removed.
+what stands outside, are popped; the core goes on to the next round. Windows whose core has a part without a name go, and
+with them what no other window needs. At last a window is the names of its core, which stand for most of its words, and
+of the words around it; this determines its words and is determined by them. Pieces ask buckets which of these sequences
+occur again (by digests of 128 bits), and windows that do are removed.
 
 Null and empty texts have no words; texts shorter than a window lose none. Every row counts, so a repeated row repeats
 its words; null ids stay. Texts are read whole, and one text is never split. An empty table gives no rows; extra columns
@@ -28,18 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, MULT, U64, blocks, bucket_of, dealt, flat, free, mix, narrow, pack, pack_sorted, powers, span_hash, unpack, unpack_sorted, written
+from .common import BYTE, MULT, SPACE, U64, Block, blocks, bucket_of, dealt, flat, free, mix, narrow, pack, pack_sorted, powers, span_hash, unpack, unpack_sorted, written
 from .exchange import pieces, text_columns
 
 #: Rounds of runs and pairs. Each pops about three names of growing length: after five, windows of 35 words have no core.
 ROUNDS = 4
-#: Bytes of what pieces ask that a bucket takes, about.
+#: Bytes of text that a bucket of what pieces ask stands for.
 BUCKET_BYTES = 4 << 20
-#: Windows that are looked at together.
-STEP = 1 << 20
 ASKED = "deal int, bucket int, piece bigint, a binary, b binary, c binary, d binary, twice binary"
 TOLD = "piece bigint, bucket int, told binary"
-LEVEL = "piece bigint, level int, dictionary binary, codes binary, starts binary, n_slots bigint"
+LEVEL = "piece bigint, level int, dictionary binary, codes binary, starts binary, n_slots bigint, live binary, a binary, b binary, done binary"
 HOLE = U64(0)
 
 
@@ -48,26 +47,45 @@ def _name_bits(level: int, bucket: int) -> int:
     return level << 58 | bucket << 32
 
 
+def _coded(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different names, frequent ones first, as their small codes compress, and the code of each."""
+    d = pa.array(names).dictionary_encode()
+    codes, names = d.indices.to_numpy(), d.dictionary.to_numpy()
+    by = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return names[by], place[codes]
+
+
 class Level:
-    """A piece's documents as names end to end, one hole after each document; where each begins, in slots (a word, or a document's end)."""
+    """A piece's documents as names end to end, one hole after each document; where each begins, in slots (a word, or a document's end).
+
+    live: the slots where windows begin that may repeat, with their cores from a to b; done: those whose words are popped.
+    """
+
+    def __init__(self, names: np.ndarray, starts: np.ndarray, n_slots: int, live: np.ndarray, a: np.ndarray, b: np.ndarray, done: np.ndarray):
+        self.names, self.starts, self.n_slots, self.live, self.a, self.b, self.done = names, starts, n_slots, live, a, b, done
+
+    def index(self, slots: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, slots)
 
-    def __init__(self, names: np.ndarray, starts: np.ndarray, n_slots: int):
-        # holes side by side are one
+    def needed(self) -> Level:
+        """Names outside all cores become holes, and holes side by side one."""
+        open_ = np.bincount(self.index(self.a), minlength=len(self.names) + 1) - np.bincount(self.index(self.b), minlength=len(self.names) + 1)
+        names = np.where(np.cumsum(open_)[:-1] > 0, self.names, HOLE)
         keep = np.ones(len(names), bool)
         keep[1:] = (names[1:] != HOLE) | (names[:-1] != HOLE)
-        self.names, self.starts, self.n_slots = names[keep], starts[keep], n_slots
-        self.holes = np.cumsum(np.append(0, self.names == HOLE))
+        return Level(names[keep], self.starts[keep], self.n_slots, self.live, self.a, self.b, self.done)
 
     def row(self, piece: int, level: int) -> dict:
-        names, codes, n = np.unique(self.names, return_inverse=True, return_counts=True)
-        by = np.argsort(-n, kind="stable")  # frequent names have small codes, which compress
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        return {"piece": piece, "level": level, "dictionary": pack(names[by]), "codes": pack(narrow(place[codes])), "starts": pack(narrow(np.diff(self.starts, prepend=0))), "n_slots": self.n_slots}
+        names, codes = _coded(self.names)
+        steps = {k: pack(narrow(np.diff(x, prepend=0))) for k, x in (("starts", self.starts), ("live", self.live), ("done", self.done))}
+        return {"piece": piece, "level": level, "dictionary": pack(names), "codes": pack(narrow(codes)), "n_slots": self.n_slots, "a": pack(narrow(self.a - self.live)), "b": pack(narrow(self.b - self.live)), **steps}
 
     @classmethod
     def of(cls, row: dict) -> Level:
-        return cls(unpack(row["dictionary"])[unpack(row["codes"])], np.cumsum(unpack(row["starts"]), dtype=np.int64), row["n_slots"])
+        starts, live, done = (np.cumsum(unpack(row[k]), dtype=np.int64) for k in ("starts", "live", "done"))
+        return cls(unpack(row["dictionary"])[unpack(row["codes"])], starts, row["n_slots"], live, live + unpack(row["a"]), live + unpack(row["b"]), done)
 
 
 class Cut:
@@ -99,7 +117,7 @@ class Cut:
         """The key of each different run or pair in order, one that stands for it, which of them each is, and which stand there twice."""
         cols = [x[self.fresh] for x in (self.a, self.ka, self.b, self.kb)]
         key = mix(sum((x * MULT[30 + k] for k, x in enumerate(cols)), U64(0)))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         lead = np.zeros(len(key), bool)
         lead[:1] = True
         for x in cols:
@@ -112,43 +130,49 @@ class Cut:
     def next(self, level: Level, told: np.ndarray, rank: np.ndarray) -> Level:
         names = self.a.copy()
         names[self.fresh] = told[rank]
-        return Level(names, self.starts, level.n_slots)
+        r, s = self.run_of[level.index(level.a)], self.run_of[level.index(level.b) - 1]
+        # the first run and the last are popped, then a first that may pair with what is before it, and a last likewise
+        off = self.right[np.minimum(r + 1, len(self.right) - 1)] if len(r) else r
+        r = r + 1 + off
+        s = s - ((s > r) & self.left[np.maximum(s - 1, 0)] if len(s) else s)
+        over = r >= s
+        live, a, b = level.live[~over], self.unit_of[r[~over]], self.unit_of[s[~over] - 1] + 1
+        holes = np.cumsum(np.append(0, names == HOLE))
+        fit = holes[b] == holes[a]
+        live, a, b = live[fit], self.starts[a[fit]], np.append(self.starts, level.n_slots)[b[fit]]
+        return Level(names, self.starts, level.n_slots, live, a, b, np.sort(np.append(level.done, level.live[over]))).needed()
 
 
-def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which of the pairs of stretches that begin at a and b, of size bytes, are equal."""
-    unequal = np.cumsum(np.append(0, data[flat(a, size)] != data[flat(b, size)]))
-    ends = np.cumsum(size)
-    return unequal[ends] == unequal[ends - size]
+PIECE = "ids binary, has_id binary, lengths binary, text binary, n_asked bigint"
 
 
-PIECE = "ids binary, has_id binary, first binary, begin binary, size binary, text binary, rank binary, head binary, keys binary, twice binary, n_asked bigint"
+def _words(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Of a piece's documents: where words begin, their sizes, each document's first word, and the words."""
+    offs = np.append(0, np.cumsum(lengths, dtype=np.int64))
+    texts = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offs), pa.py_buffer(text))
+    begin, end, first = Block(pa.record_batch([texts, texts], ["id", "text"])).words()
+    size = end - begin
+    ends = np.append(0, np.cumsum(size))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(text[~SPACE[text]])])
+    return begin, size, first, words.dictionary_encode()  # by their bytes
 
 
 def _piece(batches: list[pa.RecordBatch]) -> dict:
-    begin, end, first, texts, keys, at, words = [], [], [np.zeros(1, np.int64)], [], [], 0, 0
-    for b in blocks(iter(batches)):
-        s, e, f = b.words()
-        keys.append(span_hash(b.prefix(BYTE), s, e))
-        begin.append(s + at), end.append(e + at), first.append(f[1:] + words), texts.append(b.data)
-        at, words = at + len(b.data), words + len(s)
+    parts = [(b.data, np.diff(b.offs)) for b in blocks(iter(batches))]
+    text, lengths = (np.concatenate(x) for x in zip(*parts))
     ids = pa.chunked_array([b.column(0) for b in batches])
-    begin, size, key, data = np.concatenate(begin), np.concatenate(end), np.concatenate(keys), np.concatenate(texts)
-    size -= begin
-    order = np.argsort(key, kind="stable")
-    lead = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
-    same = np.flatnonzero(~lead)
-    like = order[lead][np.cumsum(lead) - 1][same] if len(key) else same
-    wrong = size[order[same]] != size[like]
-    wrong[~wrong] = ~_same(data, begin[order[same]][~wrong], begin[like][~wrong], size[like][~wrong])
-    lead[same[wrong]] = True  # equal hashes of different words
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(lead) - 1
-    own = order[lead]
-    return {
-        "ids": pack(pc.fill_null(ids, 0).to_numpy()), "has_id": pack(pc.is_valid(ids).to_numpy()), "first": pack(np.concatenate(first)), "begin": pack(narrow(np.diff(begin, prepend=0))), "size": pack(narrow(size)), "text": pack(data),
-        "rank": pack(rank.astype(np.uint32)), "head": pack(own.astype(np.uint32)), "keys": pack_sorted(key[own]), "twice": pack(np.bincount(rank, minlength=len(own)) > 1), "n_asked": len(own),
-    }
+    full = ~SPACE[text]
+    return {"ids": pack(pc.fill_null(ids, 0).to_numpy()), "has_id": pack(pc.is_valid(ids).to_numpy()), "lengths": pack(narrow(lengths)), "text": pack(text), "n_asked": int(np.count_nonzero(full[1:] & ~full[:-1])) + 1}
+
+
+def _in_order(words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the different words, where they end, their keys, and their order by key."""
+    d = words.dictionary
+    ends = np.frombuffer(d.buffers()[1], np.int64)[: len(d) + 1] if len(d) else np.zeros(1, np.int64)
+    data = np.frombuffer(d.buffers()[2], np.uint8)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(len(data))[0])])
+    key = span_hash(prefix, ends[:-1], ends[1:])
+    return data, ends, key, np.argsort(key, kind="stable")
 
 
 def _cells(piece: int, keys: np.ndarray, many: int, deal: np.ndarray, cols: list) -> pa.RecordBatch:
@@ -168,9 +192,11 @@ def _ask_words(many: int, deal: np.ndarray):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                begin, size, data, head, twice = np.cumsum(unpack(r["begin"]), dtype=np.int64), unpack(r["size"]).astype(np.int64), unpack(r["text"]), unpack(r["head"]), unpack(r["twice"])
-                b, n = begin[head], size[head]
-                yield _cells(r["piece"], unpack_sorted(r["keys"]), many, deal, [lambda x, y: pack(data[flat(b[x:y], n[x:y])]), lambda x, y: pack(narrow(n[x:y])), _nothing, _nothing, lambda x, y: pack(twice[x:y])])
+                words = _words(unpack(r["text"]), unpack(r["lengths"]))[3]
+                data, ends, key, order = _in_order(words)
+                begin, size = ends[order], np.diff(ends)[order]
+                twice = np.bincount(words.indices.to_numpy(), minlength=len(key))[order] > 1
+                yield _cells(r["piece"], key[order], many, deal, [lambda x, y: pack(data[flat(begin[x:y], size[x:y])]), lambda x, y: pack(narrow(size[x:y])), _nothing, _nothing, lambda x, y: pack(twice[x:y])])
 
     return run
 
@@ -235,14 +261,21 @@ def _level_table(rows: list[dict]) -> pa.Table:
     return pa.table([pa.array([r[n] for r in rows], kinds[t]) for n, t in (x.split() for x in LEVEL.split(", "))], [x.split()[0] for x in LEVEL.split(", ")])
 
 
-def _words_level(left: pa.Table, right: pa.Table) -> pa.Table:
-    row = left.to_pylist()[0]
-    first, rank = unpack(row["first"]), unpack(row["rank"])
-    words = _all_told(right.to_pylist())[rank]
-    n_slots = len(words) + len(first) - 1
-    names = np.zeros(n_slots, np.uint64)
-    names[np.arange(len(words)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = words
-    return _level_table([Level(names, np.arange(n_slots), n_slots).row(row["piece"], 1)])
+def _words_level(window: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        _, _, first, words = _words(unpack(row["text"]), unpack(row["lengths"]))
+        order = _in_order(words)[3]
+        told = np.empty(len(order), np.uint64)
+        told[order] = _all_told(right.to_pylist())
+        n_slots = len(words) + len(first) - 1
+        names = np.zeros(n_slots, np.uint64)
+        names[np.arange(len(words)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = told[words.indices.to_numpy()]
+        holes = np.cumsum(np.append(0, names == HOLE))
+        live = np.flatnonzero(holes[window:] == holes[: max(n_slots + 1 - window, 0)])
+        return _level_table([Level(names, np.arange(n_slots), n_slots, live, live, live + window, live[:0]).needed().row(row["piece"], 1)])
+
+    return run
 
 
 def _next_level(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -252,88 +285,40 @@ def _next_level(left: pa.Table, right: pa.Table) -> pa.Table:
     return _level_table([cut.next(level, _all_told(right.to_pylist()), cut.distinct()[2]).row(row["piece"], row["level"] + 1)])
 
 
-class Digest:
-    """Two hashes of 64 bits of each window's popped names."""
-
-    LANES = ((40, 41, 42), (43, 44, 45))
-
-    def __init__(self, n: int):
-        self.h = [np.zeros(n, np.uint64), np.full(n, 1, np.uint64)]
-
-    def add(self, at: np.ndarray, tag: int, name: np.ndarray, size: np.ndarray) -> None:
-        for h, (i, j, k) in zip(self.h, self.LANES):
-            h[at] = mix((h[at] + U64(tag)) * MULT[i] + name * MULT[j] + size.astype(np.uint64) * MULT[k])
-
-
-def _popped(levels: list[Level], cuts: list[Cut], begin: np.ndarray, window: int, digest: Digest | None) -> np.ndarray:
-    """Which of the windows that begin at the slots given have a name for all that their words determine; with a digest, it is filled for each."""
-    level = levels[0]
-    a = np.searchsorted(level.starts, begin, side="right") - 1
-    live = np.flatnonzero(level.starts[a] == begin)
-    b = np.minimum(a[live] + window, len(level.names))
-    a = a[live]
-    fit = level.holes[b] == level.holes[a]  # a document's end is a hole, too
-    live, a, b = live[fit], a[fit], b[fit]
-    done = []
-    for k, (level, cut) in enumerate(zip(levels, cuts)):
-        tag = 8 * k
-        r, s = cut.run_of[a], cut.run_of[b - 1]
-        one = r == s
-        if digest:
-            digest.add(live, tag + 1, level.names[a], np.where(one, b - a, cut.begin[np.minimum(r + 1, len(cut.begin) - 1)] - a))
-            two = np.flatnonzero(~one)
-            digest.add(live[two], tag + 2, level.names[b[two] - 1], b[two] - cut.begin[s[two]])
-        r = r + 1
-        over = one | (r >= s)
-        done.append(live[over])
-        live, r, s = live[~over], r[~over], s[~over]
-        off = cut.right[r]
-        if digest:
-            digest.add(live[off], tag + 3, cut.name[r[off]], cut.size[r[off]])
-        r = r + off
-        off = (s > r) & cut.left[np.maximum(s - 1, 0)]
-        if digest:
-            digest.add(live[off], tag + 4, cut.name[s[off] - 1], cut.size[s[off] - 1])
-        s = s - off
-        over = r >= s
-        done.append(live[over])
-        live, a, b = live[~over], cut.unit_of[r[~over]], cut.unit_of[s[~over] - 1] + 1
-        # to the next level's names, where none of the core is a hole
-        after = levels[k + 1]
-        begins, ends = cut.starts[a], np.append(cut.starts, level.n_slots)[b]
-        a = np.searchsorted(after.starts, begins, side="right") - 1
-        b = np.searchsorted(after.starts, ends, side="left")
-        fit = after.holes[b] == after.holes[a]
-        live, a, b = live[fit], a[fit], b[fit]
-    if digest:
-        last = levels[-1]
-        for lane, (i, j, k) in enumerate(Digest.LANES):
-            up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(last.names * MULT[i] + U64(lane)) * powers(len(last.names))[0])])
-            digest.h[lane][live] = mix(digest.h[lane][live] * MULT[j] + span_hash(up, a, b) * MULT[k])
-    return np.sort(np.concatenate([*done, live]))
+#: Numbers in MULT of each of two hashes of a window.
+LANES = ((40, 41, 42, 43), (44, 45, 46, 47))
+
+
+def _sums(level: Level, multiplier: int) -> np.ndarray:
+    h = mix(level.names * MULT[multiplier] + U64(1))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(len(h))[0])])
 
 
 def _windows(window: int, many: int, deal: np.ndarray):
-    """From all levels of a piece: the slots of the windows that may repeat, in order of their digests, and what is asked of buckets."""
+    """From a piece's words and its last level: the slots of the windows that may repeat, in order of their digests, and what is asked of buckets."""
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["level"])
-        levels = [Level.of(r) for r in rows]
-        cuts = [Cut(x, r["level"] + 1) for x, r in zip(levels[:-1], rows)]
-        slots, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for lo in range(0, max(levels[0].n_slots - window, 0), STEP):
-            begin = np.arange(lo, min(lo + STEP, levels[0].n_slots - window))
-            begin = begin[_popped(levels, cuts, begin, window, None)]
-            digest = Digest(len(begin))
-            _popped(levels, cuts, begin, window, digest)
-            slots.append(begin), one.append(digest.h[0]), two.append(digest.h[1])
-        slots, one, two = np.concatenate(slots), np.concatenate(one), np.concatenate(two)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, last = Level.of(left.to_pylist()[0]), Level.of(right.to_pylist()[0])
+        slots = np.append(last.live, last.done)
+        end = slots + window
+        a, b = np.append(last.a, end[len(last.a) :]), np.append(last.b, end[len(last.b) :])
+        at = [words.index(x) for x in (slots, a, b, end)]
+        core = last.index(last.a), last.index(last.b)
+        lanes = []
+        for i, j, k, m in LANES:
+            up, above = _sums(words, i), _sums(last, i)
+            h = span_hash(up, at[0], at[1]) * MULT[j] + span_hash(up, at[2], at[3]) * MULT[k]
+            h[: len(core[0])] += span_hash(above, *core) * MULT[m]
+            lanes.append(mix(h))
+        one, two = lanes
         order = np.lexsort((two, one))
         slots, one, two = slots[order], one[order], two[order]
         lead = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
         count = np.diff(np.append(np.flatnonzero(lead), len(one)))
-        asked = _cells(rows[0]["piece"], one[lead], many, deal, [lambda a, b: pack_sorted(one[lead][a:b]), lambda a, b: pack(two[lead][a:b]), _nothing, _nothing, lambda a, b: pack(count[a:b] > 1)])
-        own = [[-1], [-1], [rows[0]["piece"]], [pack(narrow(slots))], [pack(narrow(count))], [b""], [b""], [b""]]
+        one, two = one[lead], two[lead]
+        piece = left.column("piece")[0].as_py()
+        asked = _cells(piece, one, many, deal, [lambda x, y: pack_sorted(one[x:y]), lambda x, y: pack(two[x:y]), _nothing, _nothing, lambda x, y: pack(count[x:y] > 1)])
+        own = [[-1], [-1], [piece], [pack(narrow(slots))], [pack(narrow(count))], [b""], [b""], [b""]]
         return pa.concat_tables([pa.Table.from_batches([asked]), pa.table([pa.array(v, f.type) for v, f in zip(own, asked.schema)], asked.schema.names)])
 
     return run
@@ -358,7 +343,8 @@ def _finish(window: int, with_text: bool):
         own = next(x for x in told if x["bucket"] < 0)
         flags = _all_told([x for x in told if x["bucket"] >= 0]).astype(bool)
         slots = unpack(own["slots"]).astype(np.int64)[np.repeat(flags, unpack(own["count"]).astype(np.int64))]
-        first, begin, size, data = unpack(row["first"]), np.cumsum(unpack(row["begin"]), dtype=np.int64), unpack(row["size"]).astype(np.int64), unpack(row["text"])
+        data = unpack(row["text"])
+        begin, size, first, _ = _words(data, unpack(row["lengths"]))
         n_words = np.diff(first)
         doc = np.repeat(np.arange(len(n_words)), n_words)
         hit = np.zeros(len(doc) + len(n_words) + window + 1, np.int64)
@@ -389,26 +375,24 @@ def dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     body = pieces(docs, _piece, PIECE, "pieces", text_columns(id_col, text_col))
     total = body.agg(F.sum(F.octet_length("text")), F.sum("n_asked")).first()
-    many = max(8, math.ceil(max(total[0] or 0, 24 * (total[1] or 0)) / BUCKET_BYTES))
+    many = max(8, math.ceil(max(total[0] or 0, 4 * (total[1] or 0)) / BUCKET_BYTES))
     deal = dealt(spark, many)
 
     def answers(asked: DataFrame, tell, what: str) -> DataFrame:
         return written(asked.repartition(many, "deal").groupBy("deal").applyInArrow(tell, TOLD), what)
 
-    told = answers(body.select("piece", "text", "begin", "size", "head", "keys", "twice").mapInArrow(_ask_words(many, deal), ASKED), _name_words, "told")
-    levels = [written(body.select("piece", "first", "rank").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_words_level, LEVEL), "level")]
+    told = answers(body.select("piece", "text", "lengths").mapInArrow(_ask_words(many, deal), ASKED), _name_words, "told")
+    words = written(body.select("piece", "text", "lengths").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_words_level(window), LEVEL), "words")
     free(told)
+    level = words
     for k in range(2, ROUNDS + 2):
-        told = answers(levels[-1].mapInArrow(_ask_pairs(k, many, deal), ASKED), _name_pairs(k), "told")
-        levels.append(written(levels[-1].groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_next_level, LEVEL), "level"))
-        free(told)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    asked = written(every.groupBy("piece").applyInArrow(_windows(window, many, deal), ASKED), "windows")
-    free(*levels)
+        told = answers(level.select("piece", "level", "dictionary", "codes", "starts", "n_slots", "live", "a", "b", "done").mapInArrow(_ask_pairs(k, many, deal), ASKED), _name_pairs(k), "told")
+        before, level = level, written(level.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_next_level, LEVEL), "level")
+        free(told, *[before] * (before is not words))
+    asked = written(words.groupBy("piece").cogroup(level.groupBy("piece")).applyInArrow(_windows(window, many, deal), ASKED), "windows")
+    free(words, level)
     told = answers(asked.where("bucket >= 0"), _again, "told")
     slots = asked.where("bucket < 0").select("piece", "bucket", F.lit(None).cast("binary").alias("told"), F.col("a").alias("slots"), F.col("b").alias("count"))
     told = told.withColumns({"slots": F.lit(None).cast("binary"), "count": F.lit(None).cast("binary")}).unionByName(slots)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
-    return body.select("piece", "ids", "has_id", "first", "begin", "size", "text").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_finish(window, with_text), schema)
+    return body.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(_finish(window, with_text), schema)
