@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dedup, dims, fuzzy, merge, normalise, runlog, validate, versions
+from ..operators.grams import GramIndex
 from ..operators.flatten import flatten
 from ..schemas import VERSIONS
+from ..sources import scratch
 from . import search as S
 
 YEAR, RUN_TIME = 2026, datetime.datetime(2026, 1, 1)
@@ -131,6 +133,31 @@ def author_match(spark, sf):
     return S.author_match(datasets(spark, sf), "author 1")
 
 
+SEARCHED = ["title", "authors", "doi", "keywords", "description"]
+
+
+def _index(spark, sf, fields=SEARCHED) -> GramIndex:
+    return GramIndex(spark, scratch.folder(spark, "index")).add(datasets(spark, sf), fields)
+
+
+@query(ORACLES["search_page"])
+def search_indexed(spark, sf):
+    """search_page() of the candidates that the trigram index finds."""
+    return _long(S.search(_index(spark, sf, ["title", "keywords", "description"]).rows("bolt", ["title", "keywords", "description"]), "bolt", limit=50, offset=10)[0])
+
+
+@query(ORACLES["author_match"])
+def author_match_indexed(spark, sf):
+    return S.author_match(_index(spark, sf, ["authors"]).rows("author 1", ["authors"]), "author 1")
+
+
+@query(f"""WITH {DS}, v AS (SELECT id, 'authors' AS field, lower(authors) AS t FROM ds UNION ALL SELECT id, 'doi', lower(doi) FROM ds),
+  g AS (SELECT DISTINCT id, field, t[i : i + 2] AS gram FROM (SELECT id, field, t, unnest(range(1, length(t) - 1)) AS i FROM v WHERE length(t) >= 3)) SELECT field, gram, count(*) AS n FROM g GROUP BY 1, 2""")
+def index_counts(spark, sf):
+    """The inverted table's trigrams, with the number of rows of each."""
+    return _index(spark, sf, ["authors", "doi"]).counts()
+
+
 @query(f"WITH {DS} SELECT title, authors, CAST(year AS BIGINT) AS year, doi, keywords AS categories, url AS arxiv_id, repository FROM ds WHERE authors ILIKE '%Author 12%' AND year BETWEEN 1990 AND 2026")
 def author_papers(spark, sf):
     return _long(S.author_profile(datasets(spark, sf), "Author 12")[0])
@@ -424,12 +451,6 @@ def _pair(spark, sf):
     return e, i
 
 
-@query(f"WITH {_MERGE} SELECT id, es AS completeness FROM s")
-def completeness(spark, sf):
-    e, i = _pair(spark, sf)
-    return e.join(i.select("id"), "id", "left_semi").select("id", merge.completeness(e).alias("completeness"))
-
-
 @query(f"WITH {_MERGE} SELECT id, round((CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN abstract <> '' THEN 1 ELSE 0 END + CASE WHEN citation_count IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN license <> '' THEN 1 ELSE 0 END) / 11, 4) AS completeness FROM e")
 def completeness_every_row(spark, sf):
     """Of rows without an incoming one, too."""
