@@ -17,7 +17,12 @@ def members(records: DataFrame, column: str, lower: bool) -> DataFrame:
 
 
 def get_or_create(values: DataFrame, dimension: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
-    """dimension (id, key) with a row for every value (column value); new ids follow the greatest, by hash bucket and value.
+    """dimension (id, key) with a row for every value (column value)."""
+    return dimension.unionByName(created(values, dimension, key, buckets))
+
+
+def created(values: DataFrame, dimension: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """(id, key) of the values that dimension lacks; new ids follow the greatest, by hash bucket and value.
 
     Ranks are counted within buckets and shifted by the buckets before, so that no task sees all values. There are as
     many buckets as shuffle partitions, which follow the size of the data.
@@ -28,7 +33,7 @@ def get_or_create(values: DataFrame, dimension: DataFrame, key: str, buckets: in
     before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     ranked = new.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("value"))).join(F.broadcast(before), "_b").join(F.broadcast(top))
-    return dimension.unionByName(ranked.select((F.col("_top") + F.col("_before") + F.col("_rn")).cast("bigint").alias("id"), F.col("value").alias(key)))
+    return ranked.select((F.col("_top") + F.col("_before") + F.col("_rn")).cast("bigint").alias("id"), F.col("value").alias(key))
 
 
 def links(values: DataFrame, dimension: DataFrame, key: str, id_name: str, order_name: str | None = None) -> DataFrame:

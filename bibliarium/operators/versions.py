@@ -54,9 +54,9 @@ def apply(log: DataFrame, changes: DataFrame, columns: list[str], run_time) -> t
     A record whose latest row is a tombstone becomes active again with a new version. As in a plain re-load, a change
     without effect on a stored record is reported as updated, and appends nothing.
     """
-    last = log.groupBy("record_key").agg(F.max_by(F.struct("version_number", "snapshot", "is_active"), F.struct("version_number", "updated_at")).alias("l"))
-    touched = changes.select("record_key").distinct()
-    base = last.join(touched, "record_key", "left_semi").select("record_key", F.lit(-1).cast("bigint").alias("pos"), F.col("l.snapshot").alias("fields"))
+    own = log.join(changes.select("record_key").distinct(), "record_key", "left_semi")  # before anything of the log is shuffled
+    last = own.groupBy("record_key").agg(F.max_by(F.struct("version_number", "snapshot", "is_active"), F.struct("version_number", "updated_at")).alias("l"))
+    base = last.select("record_key", F.lit(-1).cast("bigint").alias("pos"), F.col("l.snapshot").alias("fields"))
     made = chain(base.unionByName(changes.select("record_key", F.col("pos").cast("bigint").alias("pos"), "fields")), columns)
     state = last.select("record_key", F.col("l.version_number").alias("_v"), F.col("l.is_active").alias("_on"))
     made = made.where("pos >= 0").join(state, "record_key", "left")
@@ -68,6 +68,13 @@ def apply(log: DataFrame, changes: DataFrame, columns: list[str], run_time) -> t
     return rows, outcome
 
 
+def conflicts(log: DataFrame, changes: DataFrame) -> DataFrame:
+    """Keys of changes (record_key) that can't be inserted, as they are those of active records, or are there twice: (record_key, n, stored)."""
+    asked = changes.groupBy("record_key").agg(F.count("*").alias("n"))
+    held = active(log.join(asked.select("record_key"), "record_key", "left_semi")).select("record_key", F.lit(True).alias("stored"))
+    return asked.join(held, "record_key", "left").select("record_key", "n", F.coalesce("stored", F.lit(False)).alias("stored")).where("stored OR n > 1")
+
+
 def tombstones(log: DataFrame, keys: DataFrame, run_time) -> DataFrame:
     """Rows that make active records (column record_key of keys) inactive; their version stays."""
     return active(log).join(keys.select("record_key").distinct(), "record_key", "left_semi").select("record_key", "version_number", F.lit("deleted").alias("action"), F.expr("map_filter(changed, (k, v) -> false)").alias("changed"), "snapshot", F.lit(False).alias("is_active"), F.lit(run_time).cast("timestamp").alias("updated_at"))

@@ -15,9 +15,11 @@ from ..functions import text
 from ..operators import dedup, dims, fuzzy, merge, normalise, runlog, validate, versions
 from ..operators.grams import GramIndex
 from ..operators.flatten import flatten
-from ..schemas import VERSIONS
+from ..schemas import RECORDS, VERSIONS
 from ..sources import scratch
+from ..sources.tables import Store
 from . import search as S
+from .pipeline import fresh_rows
 
 YEAR, RUN_TIME = 2026, datetime.datetime(2026, 1, 1)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -554,6 +556,47 @@ def dim_ids(spark, sf):
     return _long(dim.agg(F.count_distinct("id").alias("ids"), F.max("id").alias("greatest"), F.min("id").alias("least")))
 
 
+# --- the store ---
+_SPELLED = """d AS (SELECT p_partkey AS pos, p_name AS title, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CASE p_partkey % 4 WHEN 0 THEN '10.1234/Ds.' WHEN 1 THEN 'https://doi.org/10.1234/dS.' WHEN 2 THEN ' doi:10.1234/DS.' ELSE 'HTTP://dx.doi.org/10.1234/ds.' END || (p_partkey // 5) END AS doi FROM part),
+ k AS (SELECT *, coalesce(regexp_replace(lower(trim(doi)), '^(https?://(dx\\.)?doi\\.org/|doi:)', ''), '#' || pos) AS key FROM d)"""
+
+
+def _spelled(spark, sf):
+    k = F.col("p_partkey")
+    form = F.when(k % 4 == 0, "10.1234/Ds.").when(k % 4 == 1, "https://doi.org/10.1234/dS.").when(k % 4 == 2, " doi:10.1234/DS.").otherwise("HTTP://dx.doi.org/10.1234/ds.")
+    return _t(spark, sf, "part").select(k.cast("bigint").alias("pos"), F.col("p_name").alias("title"), F.when(k % 9 != 0, F.concat(form, F.floor(k / 5).cast("string"))).alias("doi"))
+
+
+@query(f"WITH {_SPELLED} SELECT pos, title, doi FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos) = 1")
+def insert_fresh(spark, sf):
+    """The first row of each identifier, in whichever of its forms."""
+    return fresh_rows(_spelled(spark, sf))
+
+
+@query(f"WITH {_SPELLED}, c AS (SELECT CASE WHEN doi IS NULL THEN 'src:' || pos ELSE 'doi:' || key END AS record_key, count(*) AS n FROM k GROUP BY 1), held AS (SELECT DISTINCT 'doi:' || key AS record_key FROM k WHERE doi IS NOT NULL AND pos % 50 = 1), gone AS (SELECT DISTINCT 'doi:' || key AS record_key FROM k WHERE doi IS NOT NULL AND pos % 150 = 1) SELECT record_key, n, record_key IN (SELECT record_key FROM held) AND record_key NOT IN (SELECT record_key FROM gone) AS stored FROM c WHERE n > 1 OR (record_key IN (SELECT record_key FROM held) AND record_key NOT IN (SELECT record_key FROM gone))")
+def insert_conflicts(spark, sf):
+    """What a strict insert refuses: identifiers twice in it, and those of active records; not those of deleted ones."""
+    rows = _spelled(spark, sf)
+    changes = rows.select(versions.record_key(F.col("doi"), F.col("pos").cast("string")).alias("record_key"), "pos", versions.given(rows, ["title"]).alias("fields"))
+    held = changes.where("record_key LIKE 'doi:%'")
+    log = versions.apply(spark.createDataFrame([], VERSIONS), held.where("pos % 50 = 1"), ["title"], RUN_TIME)[0]
+    log = log.unionByName(versions.tombstones(log, held.where("pos % 150 = 1"), RUN_TIME + datetime.timedelta(days=1)))
+    return versions.conflicts(log, changes)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN upper(c_mktsegment) ELSE c_name END AS title FROM customer UNION ALL SELECT -c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0")
+def store_upsert(spark, sf):
+    """Records in buckets: all customers, then some with another title and some that are new."""
+    store = Store(spark, scratch.folder(spark, "store"), buckets=16)
+    store.create()
+    c, k = _t(spark, sf, "customer"), F.col("c_custkey")
+    full = lambda df: df.select("id", "title", *(F.lit(None).cast(f.dataType).alias(f.name) for f in RECORDS if f.name not in ("id", "title")))
+    store.upsert("records", full(c.select(k.alias("id"), F.col("c_name").alias("title"))))
+    changed = c.where(k % 7 == 0).select(k.alias("id"), F.upper("c_mktsegment").alias("title"))
+    store.upsert("records", full(changed.unionByName(c.where(k % 10 == 0).select((-k).alias("id"), F.col("c_name").alias("title")))))
+    return store.read("records").select("id", "title")
+
+
 # --- versions ---
 def _changes(spark, sf):
     e = _t(spark, sf, "events")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, dims, merge, normalise, runlog, validate, versions
+from ..functions.text import doi_key
 from ..operators.flatten import flatten
 from ..schemas import CONTENT, NORMALISED, RECORDS
 from ..sources.files import read_any
@@ -28,36 +29,48 @@ def ingest(raws: DataFrame) -> DataFrame:
     return flatten(dedup.keep_first(tagged.where("_md5 IS NOT NULL"), ["_md5"], ["pos"]), carry=("pos",))
 
 
+def fresh_rows(clean: DataFrame) -> DataFrame:
+    """The first row (by pos) of each identifier, however it is spelled; every row without one."""
+    keyed = clean.withColumn("_key", F.coalesce(F.nullif(doi_key(F.col("doi")), F.lit("")), F.concat(F.lit("#"), F.col("pos"))))
+    return dedup.keep_first(keyed, ["_key"], ["pos"]).drop("_key")
+
+
 def insert(store: Store, normalised: DataFrame, run_time: datetime.datetime, threshold: int = 90) -> dict[str, int]:
-    """Path of the catalogue: duplicates of stored records are merged into them, with a version for each change, the first of each new identifier is stored, authors and keywords are linked. All tables change together."""
+    """Path of the catalogue: duplicates of stored records are merged into them, with a version for each change, the first of each new identifier is stored, authors and keywords are linked.
+
+    All tables change together; of those with a key, only the buckets of new and changed rows are written.
+    """
     spark = store.spark
     existing = store.read("records")
     rows = normalised.withColumnRenamed("source", "_source")
     parted = dedup.partition(rows, existing, threshold).persist()
     clean = parted.where("dup_type = 'clean' AND title IS NOT NULL")
-    keyed = clean.withColumn("_key", F.coalesce(F.nullif(F.lower(F.trim("doi")), F.lit("")), F.concat(F.lit("#"), F.col("pos"))))
-    fresh = dedup.keep_first(keyed, ["_key"], ["pos"]).drop("_key")
+    fresh = fresh_rows(clean)
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     ids = dims.get_or_create(fresh.select(F.format_string("%020d", "pos").alias("value")), spark.createDataFrame([(top, "")], "id long, k string"), "k").where("k <> ''").select("id", F.col("k").cast("bigint").alias("pos"))
     fresh = fresh.join(ids, "pos").persist()
     new = fresh.withColumns({c.name: F.lit(None).cast(c.dataType) for c in RECORDS if c.name not in fresh.columns})
     new = new.withColumns({"md5_hash": F.col("_md5"), "version_number": F.lit(1), "is_active": F.lit(True), "created_at": F.lit(run_time), "updated_at": F.lit(run_time), "citation_count": F.coalesce("citation_count", F.lit(0))})
     new = new.withColumn("completeness", merge.completeness(new))
-    merged, steps = merge.merge_records(existing, parted.drop("id"))
+    named = parted.where("matched_id IS NOT NULL")
+    touched = named.select(F.col("matched_id").alias("id"))
+    touched = touched.unionByName(named.select(F.col("record_id").cast("bigint").alias("id"))) if "record_id" in named.columns else touched
+    merged, steps = merge.merge_records(existing.join(touched.distinct(), "id", "left_semi"), parted.drop("id"))
     counts = {r["dup_type"]: r["n"] for r in dedup.summary(parted).collect()} | {"inserted": fresh.count()}
     authors = dims.members(fresh, "authors", lower=False).persist()
     words = dims.members(fresh, "keywords", lower=True).persist()
-    author_dim, word_dim = dims.get_or_create(authors, store.read("authors"), "name"), dims.get_or_create(words, store.read("keywords"), "keyword")
+    new_authors, new_words = dims.created(authors, store.read("authors"), "name").persist(), dims.created(words, store.read("keywords"), "keyword").persist()
+    author_dim, word_dim = store.read("authors").unionByName(new_authors), store.read("keywords").unionByName(new_words)
     record_authors, record_words = dims.links(authors, author_dim, "name", "author_id", "author_order"), dims.links(words, word_dim, "keyword", "keyword_id")
     with store.transaction():
         store.append("record_authors", record_authors)
         store.append("record_keywords", record_words)
-        store.replace("authors", author_dim)
-        store.replace("keywords", word_dim)
+        store.upsert("authors", new_authors)
+        store.upsert("keywords", new_words)
         store.append("merge_log", merge.log_merges(dedup.merge_log(parted, run_time, carry=("pos",)), steps))
-        store.append("record_versions", merge.snapshots(steps, run_time))
-        store.replace("records", merged.select(*RECORDS.names).unionByName(new.select(*RECORDS.names)))
-    for df in (parted, fresh, authors, words):
+        store.add("record_versions", merge.snapshots(steps, run_time))
+        store.upsert("records", merged.select(*RECORDS.names).unionByName(new.select(*RECORDS.names)))
+    for df in (parted, fresh, authors, words, new_authors, new_words):
         df.unpersist()
     return counts
 
@@ -90,7 +103,7 @@ def _curate(store: Store, records: DataFrame, run_time: datetime.datetime, curre
     fields = [c for c in VERSIONED if c in clean.columns]
     flat = clean.withColumns({c: F.to_json(c) for c in fields if clean.schema[c].dataType.typeName() == "array"})
     changes = flat.select(versions.record_key(F.col("doi"), F.col("source_id")).alias("record_key"), "pos", versions.given(flat, fields).alias("fields"))
-    rows, outcome = versions.apply(store.read("record_versions"), changes, fields, run_time)
+    rows, outcome = versions.apply(store.near("record_versions", changes), changes, fields, run_time)
     outcome, rows = outcome.persist(), rows.persist()
     counts = runlog.stage_counts(checked).first().asDict() | {"inserted": 0} | {r["action"]: r["count"] for r in outcome.groupBy("action").count().collect()}
     if rejected_path:
@@ -99,12 +112,28 @@ def _curate(store: Store, records: DataFrame, run_time: datetime.datetime, curre
         clean.write.mode("overwrite").json(normalised_path)
     with store.transaction():
         store.append("rejected_records", rejected, batch)
-        store.append("record_versions", rows)
+        store.add("record_versions", rows)
     for df in (checked, clean, outcome, rows):
         df.unpersist()
     return counts
 
 
+def insert_new(store: Store, records: DataFrame, run_time: datetime.datetime) -> int:
+    """Version 1 of each record (pos and flat fields), in the log; ValueError, and nothing stored, if any is there as an active one or twice among them."""
+    fields = [c for c in VERSIONED if c in records.columns]
+    flat = records.withColumns({c: F.to_json(c) for c in fields if records.schema[c].dataType.typeName() == "array"})
+    changes = flat.select(versions.record_key(F.col("doi"), F.col("source_id")).alias("record_key"), "pos", versions.given(flat, fields).alias("fields"))
+    log = store.near("record_versions", changes)
+    taken = [r["record_key"] for r in versions.conflicts(log, changes).orderBy("record_key").limit(5).collect()]
+    if taken:
+        raise ValueError(f"records are there already: {', '.join(taken)}")
+    rows = versions.apply(log, changes, fields, run_time)[0].persist()
+    store.add("record_versions", rows)
+    n = rows.count()
+    rows.unpersist()
+    return n
+
+
 def run(spark: SparkSession, root: str, raws: DataFrame, run_time: datetime.datetime | None = None, log_path: str | None = None) -> dict[str, int]:
     """ingest() and insert() into the store at root, with a row in the run log."""
     store = Store(spark, root)

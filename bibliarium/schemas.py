@@ -39,3 +39,5 @@ LAYOUT = {
     "records": ["is_active", "repository", "publication_year", "doi"], "authors": ["name"], "keywords": ["keyword"], "record_authors": ["record_id"], "record_keywords": ["record_id"],
     "record_versions": ["record_key", "version_number"], "datasets": ["year"],
 }
+#: Keys by whose hash rows are dealt to buckets: a change of some rows rewrites the buckets of their keys only.
+KEYS = {"records": "id", "authors": "name", "keywords": "keyword", "record_versions": "record_key"}

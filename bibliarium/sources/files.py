@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranges
+
 RAW = T.StructType([T.StructField("raw", T.StringType())])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row (raw, pos) for each object of a file that holds an array of objects, one object, or anything else (no rows).
+    """One row (raw, pos) for each object of files that hold an array of objects, one object, or anything else (no rows).
 
-    pos is the object's place in its file; files are taken one at a time by a task each, as JSON arrays can't be split.
+    pos is the object's place in its file's array. A file is read by many tasks, on however few lines it is (see ranges).
     """
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    kind = F.schema_of_variant("v")
-    many = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(kind.startswith("OBJECT"), F.array("v"))
-    return text.select(F.posexplode(many).alias("pos", "o")).where(F.schema_of_variant("o").startswith("OBJECT")).select(F.to_json("o").alias("raw"), F.col("pos").cast("bigint").alias("pos"))
+    each = ranges.json_objects(spark, path).select(F.try_parse_json("text").alias("o"), "pos")
+    return each.where(F.schema_of_variant("o").startswith("OBJECT")).select(F.to_json("o").alias("raw"), "pos")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +30,14 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, empty_as_null: bool = False) -> DataFrame:
-    """All columns as strings, quoted line breaks kept, so that a file is read by one task; empty cells are empty strings unless asked otherwise."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    """All columns as strings, line breaks between quotes kept; empty cells are empty strings unless asked otherwise.
+
+    A file is read by many tasks (see ranges), its first record names the columns; those of several files must agree.
+    """
+    names = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).columns  # of the first record
+    rows = ranges.csv_records(spark, path).where("at > 0 OR pos > 0")
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    df = rows.select(F.from_csv("text", ddl, {"escape": '"'}).alias("r")).select("r.*")
     return df if empty_as_null else df.na.fill("")
 
 
