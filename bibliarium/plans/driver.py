@@ -18,6 +18,7 @@ from ..operators.flatten import flatten
 from ..schemas import RECORDS, VERSIONS
 from ..sources import scratch
 from ..sources.tables import Store
+from ..streaming.versions import versioned
 from . import search as S
 from .pipeline import fresh_rows
 
@@ -616,6 +617,19 @@ def version_chain(spark, sf):
     return _long(versions.chain(_changes(spark, sf), ["type", "half"]).select("record_key", "pos", "version_number", "action"))
 
 
+@query(ORACLES["version_chain"])
+def version_stream(spark, sf):
+    """The same from keyed state, by a stream that is stopped twice and goes on from its checkpoint."""
+    changes, root = _changes(spark, sf), scratch.folder(spark, "stream")
+    low, high = changes.agg(F.min("pos"), F.max("pos")).first()
+    third = ((high or 0) - (low or 0)) // 3 + 1
+    for k in range(3):
+        changes.where(F.floor((F.col("pos") - F.lit(low)) / third) == k).write.mode("append").parquet(f"{root}/in")
+        stream = versioned(spark.readStream.schema(changes.schema).parquet(f"{root}/in"), ["type", "half"])
+        stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out", format="parquet").awaitTermination()
+    return _long(spark.read.parquet(f"{root}/out").select("record_key", "pos", "version_number", "action"))
+
+
 @query(f"WITH {_CHAIN} SELECT 'user:' || user_id AS record_key, max(version_number) AS version_number, arg_max(type, pos) AS type, (list(half ORDER BY pos DESC))[1] AS half FROM v GROUP BY 1")
 def current_view(spark, sf):
     log = versions.apply(spark.createDataFrame([], "record_key string, version_number int, action string, changed map<string,struct<old:string,new:string>>, snapshot map<string,string>, is_active boolean, updated_at timestamp"), _changes(spark, sf), ["type", "half"], RUN_TIME)[0]

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import KEYS, LAYOUT, TABLES
 
-BUCKETS = 64
+#: Of a store that is made without a number; more for larger ones, as a bucket is what a change rewrites.
+BUCKETS = 16
 #: A bucket of an appended table with more folders than this is written anew as one.
 MOST_FOLDERS = 8
 
@@ -117,7 +118,7 @@ class Store:
     def near(self, table: str, keys: DataFrame) -> DataFrame:
         """Rows of the buckets in which the keys (the table's key column) are: all of these keys' rows, and few others."""
         touched = {str(r[0]) for r in keys.select(self._bucket(F.col(KEYS[table]))).distinct().collect()}  # as many as buckets at most
-        return self._folders(table, [folder for key, folder in self._manifest().get(table, []) if key in touched or not key])
+        return self._folders(table, [folder for key, folder in self._manifest().get(table, []) if key in touched or not key.isdigit()])
 
     def upsert(self, table: str, df: DataFrame) -> None:
         """Rows take the place of those of the same key, or are added. Only buckets that they fall in are read and written."""
