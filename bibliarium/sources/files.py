@@ -42,54 +42,93 @@ def read_csv(spark: SparkSession, path: str, empty_as_null: bool = False) -> Dat
 
 
 _FIELD = re.compile(r"([A-Za-z][A-Za-z0-9_-]*)\s*=\s*")
-_BARE = re.compile(r'[^,{}"\s]+')
+_BARE = re.compile(r'[^,{}"#\s]+')
 _EDGE = re.compile(r'[{}"]')
+_JOIN = re.compile(r"\s*#\s*")
+#: Macros that every file has. Fixed values.
+MONTHS = {
+    "jan": "January", "feb": "February", "mar": "March", "apr": "April", "may": "May", "jun": "June",
+    "jul": "July", "aug": "August", "sep": "September", "oct": "October", "nov": "November", "dec": "December",
+}
+
+
+def _value(body: str, at: int) -> tuple[bool, str, int]:
+    """The value that begins there: whether it is a macro's name, its text, and where it ends; between braces of any depth, between quotes, or bare."""
+    mark, depth = body[at : at + 1], 0
+    if not mark or mark not in '{"':
+        bare = _BARE.match(body, at)
+        return (not bare[0].isdigit(), bare[0], bare.end()) if bare else (False, "", at)
+    for edge in _EDGE.finditer(body, at + (mark == '"')):
+        if edge[0] == '"':
+            closed = mark == '"' and depth == 0
+        else:
+            depth += 1 if edge[0] == "{" else -1
+            closed = mark == "{" and depth == 0
+        if closed:
+            return False, body[at + 1 : edge.start()], edge.end()
+    return False, body[at + 1 :], len(body)  # it is not closed
 
 
-def bibtex_fields(body: str) -> dict[str, str]:
-    """Fields of an entry, names in lower case, the first of each; values between braces of any depth, between quotes, or bare. One pass from left to right."""
-    out: dict[str, str] = {}
+def bibtex_parts(body: str) -> dict[str, list[tuple[bool, str]]]:
+    """Fields of an entry, names in lower case, the first of each, as what # joins: (is a macro's name, text). One pass from left to right."""
+    out: dict[str, list[tuple[bool, str]]] = {}
     found = _FIELD.search(body)
     while found:
-        at, depth = found.end(), 0
-        mark = body[at : at + 1]
-        end, stop = len(body), len(body)  # of a value that is not closed
-        if mark and mark in '{"':
-            for edge in _EDGE.finditer(body, at + (mark == '"')):
-                if edge[0] == '"':
-                    closed = mark == '"' and depth == 0
-                else:
-                    depth += 1 if edge[0] == "{" else -1
-                    closed = mark == "{" and depth == 0
-                if closed:
-                    end, stop = edge.start(), edge.end()
-                    break
-            value = body[at + 1 : end]
-        else:
-            bare = _BARE.match(body, at)
-            value, stop = (bare[0], bare.end()) if bare else ("", at)
-        if value or stop > at:
-            out.setdefault(found[1].lower(), value)
+        at, parts = found.end(), []
+        while True:
+            macro, text, stop = _value(body, at)
+            if text or stop > at:
+                parts.append((macro, text))
+            more = _JOIN.match(body, stop) if parts else None
+            if not more:
+                break
+            at = more.end()
+        if parts:
+            out.setdefault(found[1].lower(), parts)
         found = _FIELD.search(body, stop)
     return out
 
 
+def _joined(parts: list[tuple[bool, str]], macros: dict[str, str]) -> str:
+    """A macro that is not defined stands for its name."""
+    return "".join(macros.get(text.lower(), text) if macro else text for macro, text in parts)
+
+
+def bibtex_fields(body: str, macros: dict[str, str] | None = None) -> dict[str, str]:
+    """Fields of an entry with macros in their place."""
+    return {name: _joined(parts, macros or {}) for name, parts in bibtex_parts(body).items()}
+
+
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     """One row for each entry: entry_type, entry_key and fields (a map, as bibtex_fields() has them). A file is read by one task.
 
-    Entries begin at an at sign that opens a line, so a file is cut there first; comments, preambles and strings are left out.
+    Entries begin at an at sign that opens a line, so a file is cut there first; comments and preambles are left out. A
+    macro stands for what the last @string before the entry gives it, in any case of letters; @strings may name others
+    that come before them. Months are defined from the start.
     """
 
     @F.arrow_udf("map<string,string>")
-    def fields(x: pa.Array) -> pa.Array:
-        return pa.array([None if s is None else list(bibtex_fields(s).items()) for s in x.to_pylist()], pa.map_(pa.string(), pa.string()))
-
-    text = spark.read.text(path, wholetext=True)
-    entry = text.select(F.explode(F.split("value", r"(?m)(?=^\s*@)")).alias("e")).select(F.trim(F.regexp_replace("e", r"\s+", " ")).alias("e"))
+    def fields(bodies: pa.Array, places: pa.Array, defined: pa.Array) -> pa.Array:
+        out, known, taken, macros = [], None, 0, {}
+        for body, pos, strings in zip(bodies.to_pylist(), places.to_pylist(), defined.to_pylist()):
+            strings = strings or []
+            if strings != known or taken and strings[taken - 1]["pos"] > pos:  # another file, or not in its order
+                known, taken, macros = strings, 0, dict(MONTHS)
+            while taken < len(strings) and strings[taken]["pos"] < pos:
+                macros |= bibtex_fields(strings[taken]["body"], macros)
+                taken += 1
+            out.append(None if body is None else list(bibtex_fields(body, macros).items()))
+        return pa.array(out, pa.map_(pa.string(), pa.string()))
+
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    entry = text.select("path", F.posexplode(F.split("value", r"(?m)(?=^\s*@)")).alias("pos", "e")).select("path", "pos", F.trim(F.regexp_replace("e", r"\s+", " ")).alias("e"))
     head = r"^@\s*([A-Za-z]+)\s*[{(]\s*([^,\s]*)\s*,"
-    entry = entry.select(F.lower(F.regexp_extract("e", head, 1)).alias("entry_type"), F.regexp_extract("e", head, 2).alias("entry_key"), F.regexp_replace("e", head, "").alias("body"))
-    entry = entry.where("entry_type <> '' AND entry_type NOT IN ('comment', 'preamble', 'string')")
-    return entry.select("entry_type", "entry_key", fields("body").alias("fields"))
+    kind = F.lower(F.regexp_extract("e", r"^@\s*([A-Za-z]+)\s*[{(]", 1))
+    body = F.regexp_replace("e", r"(?i)^@\s*string\s*[{(]|[})]\s*$", "")
+    strings = entry.where(kind == "string").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", body.alias("body")))).alias("strings"))  # a file's definitions
+    entry = entry.select("path", "pos", F.lower(F.regexp_extract("e", head, 1)).alias("entry_type"), F.regexp_extract("e", head, 2).alias("entry_key"), F.regexp_replace("e", head, "").alias("body"))
+    entry = entry.where("entry_type <> '' AND entry_type NOT IN ('comment', 'preamble', 'string')").join(strings, "path", "left")
+    return entry.select("entry_type", "entry_key", fields("body", "pos", "strings").alias("fields"))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame | None:

@@ -29,6 +29,23 @@ def test_bibtex_file_with_a_megabyte_of_abstract(spark, tmp_path):
     assert rows["k"]["abstract"].strip() == text.strip() and rows["l"] == {"title": "U"}
 
 
+def test_bibtex_macros(spark, tmp_path):
+    (tmp_path / "a.bib").write_text("""@string{jcd = "Journal of Climate Data"}
+@STRING(pub = {Press of } # "Basel")
+@article{k1, journal = JCD, month = jan, publisher = pub, year = 2020, note = "see " # jcd # { no. } # 7, other = unknown # "x"}
+@string{jcd = jcd # ", second series"}
+@comment{jcd = "no"}
+@string{long = jcd # " (" # pub # ")", mar = "Maerz"}
+@article{k2, journal = jcd # { } # long, month = MAR # "~" # 3, empty = {} # "", title = {A # B}}
+""")
+    (tmp_path / "b.bib").write_text('@misc{k3, journal = jcd, month = dec}\n@string{jcd = "late"}\n')
+    got = {r.entry_key: r.fields for r in files.read_bibtex(spark, f"{tmp_path}/*.bib").collect()}
+    first, second = "Journal of Climate Data", "Journal of Climate Data, second series"
+    assert got["k1"] == {"journal": first, "month": "January", "publisher": "Press of Basel", "year": "2020", "note": f"see {first} no. 7", "other": "unknownx"}
+    assert got["k2"] == {"journal": f"{second} {second} (Press of Basel)", "month": "Maerz~3", "empty": "", "title": "A # B"}
+    assert got["k3"] == {"journal": "jcd", "month": "December"} and len(got) == 3
+
+
 def test_sqlite(spark, tmp_path):
     path = f"{tmp_path}/a.db"
     with sqlite3.connect(path) as con:
