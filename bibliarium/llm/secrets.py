@@ -5,7 +5,8 @@ ordinary identifiers, are counted from labelled samples; a run of 20 or more tok
 mean log-likelihood ratio of its transitions is above a threshold. Spans of the patterns (assign, access, hex) always
 stay; spans of the models (markov) are added where they overlap none of those. Offsets count code points. Null and
 empty texts have no spans; every row is scanned, repeated or not; an empty table gives no rows (and a model of no
-samples, under which nothing is random); extra columns are not read.
+samples, under which nothing is random); extra columns are not read. A text's cost is in proportion to its length and
+spans, however many they are: running sums and maxima go by blocks, as appending to an array copies it.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import unused
 
-#: Fixed patterns: kind, pattern, and the least length of what must be long (the match, or group 2).
+#: Fixed patterns: kind, pattern, and the least length of group 2. A run that is too short holds no long one, so that
+#: access and hex ask for their 18 and 16 characters at once; an assignment that is too short takes its text with it.
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
-    ("access", r"AKIA[A-Z0-9]+", 18),
-    ("hex", r"[0-9a-f]+", 16),
+    ("access", r"AKIA[A-Z0-9]{14,}", None),
+    ("hex", r"[0-9a-f]{16,}", None),
 ]
 #: What may hold a match that is long enough; the texts without one are not split.
 GUARDS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
@@ -30,20 +32,40 @@ RUN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SIZE = len(ALPHABET) + 1
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+#: Values in a block of running(), and code points in a piece of a text that is rewritten.
+BLOCK, PIECE = 128, 1024
 
 
-def _found(text: Column, pattern: str, guard: str, kind: str, rank: int, keep) -> Column:
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once: lambdas evaluate a column they name for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(values: Column, add, levels: int = 2) -> Column:
+    """Running results of add (sum or greatest; 0 changes neither) over an array of longs of 0 and more.
+
+    Blocks are folded by themselves, then their last values a level higher: BLOCK ** 3 values cost no more than
+    3 * BLOCK copies each.
+    """
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("bigint"))
+    within = lambda block: F.aggregate(block, F.array().cast("array<bigint>"), lambda acc, x: F.array_append(acc, add(last(acc), x)))
+    if levels == 0:
+        return within(values)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / BLOCK).cast("int")), lambda k: within(F.slice(v, k * BLOCK + 1, BLOCK)))
+    shift = lambda block, before: F.transform(block, lambda x: add(x, before))
+    join = lambda blocks: let(running(F.transform(blocks, last), add, levels - 1), lambda ends: F.flatten(F.transform(blocks, lambda b, k: let(F.coalesce(F.get(ends, k - 1), F.lit(0).cast("bigint")), lambda before: shift(b, before)))))
+    return let(values, lambda v: let(cut(v), join))
+
+
+def _found(text: Column, pattern: str, guard: str, kind: str, rank: int, keep=None) -> Column:
     """The spans of a pattern's matches of which keep() holds: matches and what lies between them alternate."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size"), keep(m).alias("keep")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["size"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((begin + x["size"]).alias("at"), F.when(x["keep"], F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+    def spans(matches: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda gap, m: (F.length(gap) + F.length(m)).cast("bigint"))
+        span = lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
+        return F.array_compact(F.zip_with(running(sizes, lambda a, b: a + b), matches, lambda end, m: F.when(keep(m), span(end, m)) if keep else span(end, m)))
 
-    return F.when(text.rlike(guard), F.aggregate(steps, start, step, lambda s: s["spans"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(guard), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def ratio(run: Column, model: str) -> Column:
@@ -101,15 +123,21 @@ def spans_of(text_col: str, model: str, threshold: float) -> dict[str, Column]:
     text = F.col(text_col)
     parts = []
     for rank, (kind, pattern, least) in enumerate(KINDS):
-        keep = (lambda m, p=pattern, n=least: F.length(F.regexp_extract(m, p, 2)) >= n) if kind == "assign" else (lambda m, n=least: F.length(m) >= n)
+        keep = (lambda m, p=pattern, n=least: F.length(F.regexp_extract(m, p, 2)) >= n) if least else None
         parts.append(_found(text, pattern, GUARDS[kind], kind, rank, keep))
     markov = _found(text, RUN, RUN, "markov", len(KINDS), lambda m: ratio(m, model) > threshold)
     return {"base": F.array_sort(F.concat(*parts)), "markov": markov}
 
 
 def with_models(base: str, markov: str) -> Column:
-    free = F.filter(markov, lambda m: ~F.exists(F.col(base), lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    return F.when(F.size(markov) == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), free)))
+    """Spans of base, and those of markov (which overlap none of their own) that overlap none of base, in order.
+
+    A span overlaps one that starts no later, if the furthest end up to there is behind its start, or the next one.
+    """
+    own = len(KINDS)
+    after = lambda every, i: F.coalesce((F.get(every, i + 1)["rank"] < own) & (F.get(every, i + 1)["start"] < F.get(every, i)["end"]), F.lit(False))
+    free = lambda every: let(running(F.transform(every, lambda s: F.when(s["rank"] < own, s["end"]).otherwise(0)), F.greatest), lambda ends: F.filter(every, lambda s, i: (s["rank"] < own) | ((F.get(ends, i) <= s["start"]) & ~after(every, i))))
+    return F.when(F.size(markov) == 0, F.col(base)).otherwise(let(F.array_sort(F.concat(base, markov)), free))
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -125,12 +153,11 @@ def redact(docs: DataFrame, model: str, threshold: float = 0.8, text_col: str =
     text = F.col(f"`{text_col}`")
     spans = docs.withColumn(own, F.coalesce(text.cast("string"), F.lit("")))
     spans = spans.withColumns(dict(zip((base, markov), spans_of(own, model, threshold).values()))).withColumn(found, with_models(base, markov))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col(own), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        new = F.when(x["start"] >= s["at"], F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), new.alias("out"))
-
-    clean = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(F.col(own), (s["at"] + 1).cast("int"), F.length(own))))
+    # the text between two spans is taken from the pieces it lies in: substring() counts from its text's beginning
+    between = lambda pieces, a, b: F.substring(F.array_join(F.slice(pieces, F.floor(a / PIECE).cast("int") + 1, (F.floor(b / PIECE) - F.floor(a / PIECE)).cast("int") + 1), ""), (a % PIECE).cast("int") + 1, (b - a).cast("int"))
+    ends = running(F.transform(found, lambda s: s["end"]), F.greatest)
+    before = lambda reach, i: F.coalesce(F.get(reach, i - 1), F.lit(0).cast("bigint"))
+    marked = lambda pieces, reach: F.transform(F.filter(F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), before(reach, i).alias("at"))), lambda s: s["start"] >= s["at"]), lambda s: F.concat(between(pieces, s["at"], s["start"]), F.lit(mark)))
+    whole = lambda pieces, reach: F.concat(F.array_join(marked(pieces, reach), ""), between(pieces, F.get(reach, F.size(reach) - 1), F.length(own).cast("bigint")))
+    clean = let(F.regexp_extract_all(own, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: let(ends, lambda reach: whole(pieces, reach)))
     return spans.withColumn(text_col, F.when(F.size(found) > 0, clean).otherwise(text)).select(*(f"`{c}`" for c in names))

@@ -1,9 +1,12 @@
 import base64
 import hashlib
+import itertools
 import random
 import re
+import time
 
 from bibliarium.llm import secrets
+from pyspark.sql import functions as F
 from tests.llm.brute import NASTY
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -66,3 +69,46 @@ def test_redact_with_names_of_its_own(spark):
     model = secrets.train(secrets.samples(spark.createDataFrame([(1, "some plain words")], "doc_id long, text string")))
     out = secrets.redact(df, model)
     assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [("[SECRET]", 1, 2, 3, 4, 5), (None, 1, 2, 3, 4, 5)]
+
+
+def test_running(spark):
+    rng = random.Random(3)
+    rows = [(k, [rng.randrange(1000) for _ in range(n)]) for k, n in enumerate([0, 1, 127, 128, 129, 128 * 128 - 1, 128 * 128 + 5, 40_000])]
+    df = spark.createDataFrame(rows, "k int, v array<long>")
+    got = {r.k: r for r in df.select("k", secrets.running(F.col("v"), lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), F.greatest).alias("m")).collect()}
+    for k, v in rows:
+        assert got[k].s == list(itertools.accumulate(v)) and got[k].m == list(itertools.accumulate(v, max))
+
+
+def test_models_spans_beside_the_patterns(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(200):
+        free, at = [], 0
+        while at < 400:
+            at += rng.choice([0, 1, 3, 30])
+            free.append((at, 3, at + rng.randrange(1, 60), "markov"))
+            at = free[-1][2]
+        kinds = [(s, r, s + rng.randrange(1, 90), "hex") for r in range(3) for s in rng.sample(range(400), rng.randrange(4))]
+        rows.append((k, sorted(kinds), free))
+    got = spark.createDataFrame(rows, f"k int, base {secrets.SPAN}, markov {secrets.SPAN}").select("k", secrets.with_models("base", "markov").alias("f")).collect()
+    for r in got:
+        _, kinds, free = rows[r.k]
+        assert [tuple(x) for x in r.f] == sorted(kinds + [m for m in free if not any(s[0] < m[2] and m[0] < s[2] for s in kinds)])
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(5)
+    some = [f"{rng.getrandbits(128):032x}" for _ in range(500)]
+    text = " é🙂\n".join(rng.choice(some) for _ in range(140_000))  # 5 million characters
+    odd = "x" * 3000 + "token=" + "ab1/" * 600 + "🙂" * 2500 + some[0] + "." + some[1]
+    df = spark.createDataFrame([(1, text), (2, odd)], "doc_id long, text string")
+    model = ",".join(["1.0"] * secrets.SIZE**2)  # all runs are random to it, and those of the patterns stay theirs
+    began = time.monotonic()
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(df, model)).collect()}
+    out = {r.doc_id: r.text for r in secrets.redact(df, model).collect()}
+    assert time.monotonic() - began < 60
+    assert got[1].n_hex == 140_000 and got[1].n_markov == 0
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"hex:{36 * k}:{36 * k + 32}" for k in range(140_000)).encode()).hexdigest()
+    assert out[1] == " é🙂\n".join(["[SECRET]"] * 140_000)
+    assert out[2] == "x" * 3000 + "[SECRET]" + "🙂" * 2500 + "[SECRET].[SECRET]"
