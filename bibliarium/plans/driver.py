@@ -79,6 +79,13 @@ def search_page(spark, sf):
     return _long(S.search(datasets(spark, sf), "bolt", limit=50, offset=10)[0])
 
 
+@query(f"WITH {DS} SELECT title, authors, CAST(year AS BIGINT) AS year, doi, keywords AS categories, url AS arxiv_id, repository, count(*) OVER () AS total FROM ds WHERE year BETWEEN 1990 AND 2026 ORDER BY year DESC, title, doi NULLS FIRST LIMIT 40 OFFSET 120")
+def search_deep_page(spark, sf):
+    """A page found by counts of ranges, each cut again while it holds more than 50 rows."""
+    page = S.search_deep(datasets(spark, sf), limit=40, offset=120, most=50)
+    return _long(page.rows).withColumn("total", F.lit(page.total).cast("bigint"))
+
+
 @query(f"WITH {DS}, c AS (SELECT count(*) AS n FROM ds WHERE year BETWEEN 1990 AND 2026 AND authors ILIKE '%author 1%') SELECT n AS total_count, CAST(3 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_size, CAST(ceil(n / 20.0) AS BIGINT) AS total_pages, least(41, n) AS range_start, least(60, n) AS range_end FROM c")
 def search_count(spark, sf):
     return S.search(datasets(spark, sf), "author 1", "author", limit=20, offset=40)[1]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import byline, colour_group, contains_ci
+from .pages import Page, page_of
 
 FIRST, LAST = 1990, 2026
 
@@ -43,11 +44,8 @@ def projected(df: DataFrame) -> DataFrame:
     return df.select("title", "authors", "year", "doi", _has(df, "keywords").alias("categories"), link.alias("arxiv_id"), _has(df, "repository").alias("repository"))
 
 
-def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRST, year_to: int = LAST, limit: int = 50, offset: int = 0, category: str | None = None, exact_year: int | None = None, sort: str = "year", tie: str = "title", month_from: int = 1, month_to: int = 12, exact_month: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """One page of results, newest first (ties by title, then identifier), and a row of total_count, page, page_size, total_pages, range_start, range_end.
-
-    Months hold for tables with a column month; a row without one passes the whole year only.
-    """
+def filtered(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRST, year_to: int = LAST, category: str | None = None, exact_year: int | None = None, month_from: int = 1, month_to: int = 12, exact_month: int | None = None) -> DataFrame:
+    """The rows that search() pages through."""
     found = years(matching(df, q, field), year_from, year_to)
     if exact_year is not None:
         found = found.where(F.col("year") == exact_year)
@@ -57,6 +55,15 @@ def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRS
         found = found.where(_has(df, "month").between(*sorted((month_from, month_to))))
     if category:
         found = found.where(contains_ci(_has(df, "keywords"), category))
+    return found
+
+
+def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRST, year_to: int = LAST, limit: int = 50, offset: int = 0, category: str | None = None, exact_year: int | None = None, sort: str = "year", tie: str = "title", month_from: int = 1, month_to: int = 12, exact_month: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One page of results, newest first (ties by title, then identifier), and a row of total_count, page, page_size, total_pages, range_start, range_end.
+
+    Months hold for tables with a column month; a row without one passes the whole year only.
+    """
+    found = filtered(df, q, field, year_from, year_to, category, exact_year, month_from, month_to, exact_month)
     order = {"year": [F.desc("year")], "oldest": [F.asc("year")], "title": [F.asc("title")]}[sort]
     page = projected(found).orderBy(*order, tie, "doi").offset(offset).limit(limit)
     size = F.lit(max(limit, 1)).cast("bigint")
@@ -64,6 +71,12 @@ def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRS
     return page, total
 
 
+def search_deep(df: DataFrame, q: str = "", field: str = "all", limit: int = 50, offset: int = 0, sort: str = "year", tie: str = "title", most: int = 100_000, **where) -> Page:
+    """search()'s page and total by counts of ranges: for offsets of any depth, where search() keeps offset + limit rows in every task. where: the other parameters of filtered()."""
+    order = [("title", False)] if sort == "title" else [("year", sort == "year")]
+    return page_of(projected(filtered(df, q, field, **where)), [*order, *((c, False) for c in dict.fromkeys((tie, "doi")) if (c, False) not in order)], offset, limit, most)
+
+
 def answer(page: DataFrame, total: DataFrame) -> dict:
     """What a client gets of one page: results, the row of counts, and the milliseconds that both took."""
     began = time.monotonic()
