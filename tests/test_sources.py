@@ -1,4 +1,5 @@
 import datetime
+import itertools
 import json
 import sqlite3
 
@@ -167,7 +168,25 @@ def test_fuzzy_candidates_are_few(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 10))) for _ in range(400)]
     titles = [" ".join(sorted(rng.choices(words, k=9))) for _ in range(3000)]
-    a = spark.createDataFrame([(t,) for t in titles[::2]], "ka string").distinct()
-    b = spark.createDataFrame([(t,) for t in titles[1::2]], "kb string").distinct()
-    q, short = fuzzy.gram_length(90)
-    assert (q, short) == (3, 2) and fuzzy._meeting(a, b, q, 90).count() < 0.01 * 1500 * 1500
+    rows = lambda some, names: spark.createDataFrame(list(enumerate(some)), names)
+    got = fuzzy.report(rows(titles[::2], "pos long, title string"), rows(titles[1::2], "id long, title string"), 90)
+    assert fuzzy.gram_length(90) == (3, 2) and got["titles"] == 3000 and got["compared"] < 0.01 * 1500 * 1500 and got["compared"] <= got["met"] < 0.2 * 1500 * 1500
+
+
+def test_frequent_grams_are_dealt_to_squares(spark):
+    """Titles of which all have the same few grams: no square holds more than about two blocks, and no match goes."""
+    titles = ["".join(t) for t in itertools.product("ab", repeat=9)]
+    rows = lambda some, names: spark.createDataFrame(list(enumerate(some)), names)
+    a, b = rows(titles[::2], "pos long, title string"), rows(titles[1::2], "id long, title string")
+    whole, parted = fuzzy.report(a, b, 80), fuzzy.report(a, b, 80, block=40)
+    assert whole["largest_square"] > 300 and parted["largest_square"] < 150 and parted["prefix_rows"] > whole["prefix_rows"]
+    assert parted["met"] == whole["met"] and parted["compared"] == whole["compared"] > 0
+
+
+def test_titles_that_very_many_rows_have(spark):
+    """Copies on both sides, ids and titles that are null, an empty side."""
+    a = spark.createDataFrame([(k, "Deep nets for climate") for k in range(500)] + [(500, None), (501, "  ")], "pos long, title string")
+    b = spark.createDataFrame([(k, "climate for deep net") for k in range(7, 300)] + [(None, "deep nets for climate"), (1, None)], "id long, title string")
+    got = fuzzy.best_matches(a, b, 90).collect()
+    assert sorted(r.pos for r in got) == list(range(500)) and {(r.existing_id, r.existing_title) for r in got} == {(7, "climate for deep net")}
+    assert fuzzy.best_matches(a, b.limit(0), 90).count() == 0 == fuzzy.best_matches(a.limit(0), b, 90).count()
