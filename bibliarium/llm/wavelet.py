@@ -20,8 +20,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
+from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, pack, unpack, written
@@ -173,8 +174,25 @@ class Shard:
         return [self.select(symbol, j) for j in range(self.count(symbol))]
 
 
+# fixed values: schemes that Arrow's file systems, by which tasks read and write shards, share with Spark's
+SCHEMES = ("abfs", "abfss", "file", "gs", "hdfs", "s3", "viewfs")
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as all tasks must name it: one without a scheme lies in the session's default file system, as it does for Spark. A plain path for local files; ValueError for a file system that Arrow doesn't know."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        where = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where)
+        scheme = where.toUri().getScheme()
+    except Py4JJavaError as e:
+        raise ValueError(f"Spark has no file system for {folder}") from e
+    if scheme not in SCHEMES:
+        raise ValueError(f"shards can't be kept in {folder}: its scheme, {scheme}, is none of {', '.join(SCHEMES)}")
+    return where.toUri().getPath() if scheme == "file" else where.toString()
+
+
 def _store(path: str):
-    """A file system and the path in it; without a scheme, the local one."""
+    """A file system and the path in it; what qualified() gives has a scheme unless it is a local file."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
@@ -250,7 +268,7 @@ _encoders: dict[str, Pieces] = {}
 
 
 def encode(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shard_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes shards of about shard_ids ids, or of one longer document, into folder; gives the paths of their files (path)."""
+    """Writes shards of about shard_ids ids, or of one longer document, into folder, which all executors share (see qualified()); gives the paths of their files (path)."""
 
     def shards(batches):
         import os
@@ -282,7 +300,7 @@ def encode(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shard
         if ids:
             yield flush()
 
-    folder = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
+    folder = qualified(docs.sparkSession, folder)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return written(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, "path string"), "shards")
 

@@ -107,6 +107,22 @@ def test_null_and_repeated_ids(spark):
     assert wavelet.directory(empty).count() == 0
 
 
+def test_folders_lie_in_the_default_file_system(spark, tmp_path):
+    """A folder without a scheme is where Spark looks for it, not on the disk of whichever machine runs the task."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert wavelet.qualified(spark, "/a b/c") == wavelet.qualified(spark, "file:///a b/c") == wavelet.qualified(spark, "file:/a b/c") == "/a b/c"
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.shards.link./in", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://shards")
+    try:
+        assert wavelet.qualified(spark, "/in/x") == "viewfs://shards/in/x" and wavelet.qualified(spark, f"file://{tmp_path}") == str(tmp_path)
+    finally:
+        conf.set("fs.defaultFS", before)
+    for unknown in ("s3a://b/x", "dbfs:/x", "ftp://h/x"):
+        with pytest.raises(ValueError):
+            wavelet.encode(frame(spark, ["a"]), public_tokenizers.path("byte_bpe_50k.json"), unknown)
+
+
 @pytest.mark.parametrize("block", [1 << 16, 512])
 def test_wavelet_access_rank_select(monkeypatch, block):
     monkeypatch.setattr(wavelet, "BLOCK", block)
