@@ -31,20 +31,28 @@ from .pieces import Pieces, laid
 MAGIC = b"WMX2"
 HEAD = struct.Struct("<4sIQQqqQ")  # magic, planes, ids, documents, writing task, place in it, length of the directory
 BLOCK = 1 << 16
+#: Symbols that are parted at a time.
+CHUNK = 1 << 15
 
 
 def planes_of(ids: np.ndarray) -> list[np.ndarray]:
     """The bit planes of a sequence, packed, the highest first, each a stable partition by the one before."""
     bits = max(1, int(ids.max(initial=0)).bit_length())
     out, cur = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    after = np.empty_like(cur)
     for k in range(bits - 1, -1, -1):
         one = (cur >> k & 1).astype(np.uint8).view(bool)
         out.append(np.packbits(one))
-        after = np.empty_like(cur)
-        zeros = len(cur) - int(np.count_nonzero(one))
-        np.compress(~one, cur, out=after[:zeros])
-        np.compress(one, cur, out=after[zeros:])
-        cur = after
+        zero, ones = 0, len(cur) - int(np.count_nonzero(one))
+        for lo in range(0, len(cur), CHUNK):  # places within a chunk stay in the processor's cache
+            here, some = cur[lo : lo + CHUNK], one[lo : lo + CHUNK]
+            at = np.flatnonzero(~some)
+            here.take(at, out=after[zero : zero + len(at)], mode="clip")
+            zero += len(at)
+            at = np.flatnonzero(some)
+            here.take(at, out=after[ones : ones + len(at)], mode="clip")
+            ones += len(at)
+        cur, after = after, cur
     return out
 
 
@@ -107,9 +115,16 @@ class Shard:
             raw = self.read(places[0], places[-1] - places[0])
             plane = b"".join(read.decompress(raw[a - places[0] : b - places[0]]) for a, b in zip(places, places[1:]))
             one = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n).view(bool)
-            out, z = np.empty_like(cur), int(self.zeros[k])
-            out[np.flatnonzero(~one)] = cur[:z]
-            out[np.flatnonzero(one)] = cur[z:] | kind(1 << (self.planes - 1 - k))
+            out, zero, ones = np.empty_like(cur), 0, int(self.zeros[k])
+            cur[ones:] |= kind(1 << (self.planes - 1 - k))
+            for lo in range(0, self.n, CHUNK):
+                there, some = out[lo : lo + CHUNK], one[lo : lo + CHUNK]
+                at = np.flatnonzero(~some)
+                there[at] = cur[zero : zero + len(at)]
+                zero += len(at)
+                at = np.flatnonzero(some)
+                there[at] = cur[ones : ones + len(at)]
+                ones += len(at)
             cur = out
         return cur.astype(np.uint32)
 
