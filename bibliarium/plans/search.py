@@ -39,9 +39,19 @@ def matching(df: DataFrame, q: str = "", field: str = "all") -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, over)) if over else df.where("false")
 
 
-def projected(df: DataFrame) -> DataFrame:
+def projected(df: DataFrame, *more: str) -> DataFrame:
     link = F.col("url") if "url" in df.columns else _has(df, "doi")
-    return df.select("title", "authors", "year", "doi", _has(df, "keywords").alias("categories"), link.alias("arxiv_id"), _has(df, "repository").alias("repository"))
+    return df.select("title", "authors", "year", "doi", _has(df, "keywords").alias("categories"), link.alias("arxiv_id"), _has(df, "repository").alias("repository"), *more)
+
+
+def with_id(df: DataFrame) -> DataFrame:
+    """projected() with the table's id, if it has one, as _id."""
+    return projected(df.withColumn("_id", F.col("id")), "_id") if "id" in df.columns else projected(df)
+
+
+def last_keys(rows: DataFrame) -> list[str]:
+    """What comes last in the order of with_id()'s rows, so that no tie is left open and pages neither share nor lose a row: the id, or else all that a page shows."""
+    return ["_id"] if "_id" in rows.columns else ["title", "authors", "year", "doi", "categories", "arxiv_id", "repository"]
 
 
 def filtered(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRST, year_to: int = LAST, category: str | None = None, exact_year: int | None = None, month_from: int = 1, month_to: int = 12, exact_month: int | None = None) -> DataFrame:
@@ -59,13 +69,14 @@ def filtered(df: DataFrame, q: str = "", field: str = "all", year_from: int = FI
 
 
 def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRST, year_to: int = LAST, limit: int = 50, offset: int = 0, category: str | None = None, exact_year: int | None = None, sort: str = "year", tie: str = "title", month_from: int = 1, month_to: int = 12, exact_month: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """One page of results, newest first (ties by title, then identifier), and a row of total_count, page, page_size, total_pages, range_start, range_end.
+    """One page of results, newest first (ties by title, then identifier, then last_keys()), and a row of total_count, page, page_size, total_pages, range_start, range_end.
 
     Months hold for tables with a column month; a row without one passes the whole year only.
     """
     found = filtered(df, q, field, year_from, year_to, category, exact_year, month_from, month_to, exact_month)
     order = {"year": [F.desc("year")], "oldest": [F.asc("year")], "title": [F.asc("title")]}[sort]
-    page = projected(found).orderBy(*order, tie, "doi").offset(offset).limit(limit)
+    rows = with_id(found)
+    page = rows.orderBy(*order, tie, "doi", *last_keys(rows)).offset(offset).limit(limit).drop("_id")
     size = F.lit(max(limit, 1)).cast("bigint")
     total = found.agg(F.count("*").alias("total_count")).select("total_count", F.lit(offset // max(limit, 1) + 1).cast("bigint").alias("page"), size.alias("page_size"), F.ceil(F.col("total_count") / size).alias("total_pages"), F.least(F.lit(offset + 1).cast("bigint"), "total_count").alias("range_start"), F.least(F.lit(offset + limit).cast("bigint"), "total_count").alias("range_end"))
     return page, total
@@ -74,7 +85,11 @@ def search(df: DataFrame, q: str = "", field: str = "all", year_from: int = FIRS
 def search_deep(df: DataFrame, q: str = "", field: str = "all", limit: int = 50, offset: int = 0, sort: str = "year", tie: str = "title", most: int = 100_000, **where) -> Page:
     """search()'s page and total by counts of ranges: for offsets of any depth, where search() keeps offset + limit rows in every task. where: the other parameters of filtered()."""
     order = [("title", False)] if sort == "title" else [("year", sort == "year")]
-    return page_of(projected(filtered(df, q, field, **where)), [*order, *((c, False) for c in dict.fromkeys((tie, "doi")) if (c, False) not in order)], offset, limit, most)
+    rows = with_id(filtered(df, q, field, **where))
+    led = {c for c, _ in order}
+    page = page_of(rows, [*order, *((c, False) for c in dict.fromkeys((tie, "doi", *last_keys(rows))) if c not in led)], offset, limit, most)
+    page.rows = page.rows.drop("_id")
+    return page
 
 
 def answer(page: DataFrame, total: DataFrame) -> dict:

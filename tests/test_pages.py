@@ -40,3 +40,18 @@ def test_deep_search_is_the_search(table):
         page, total = S.search(df, "ab", limit=20, offset=30_000, sort=sort, year_from=1995)
         deep = S.search_deep(df, "ab", limit=20, offset=30_000, sort=sort, year_from=1995, most=3000)
         assert deep.rows.collect() == page.collect() and deep.total == total.first().total_count and deep.sorted <= 5000
+
+
+@pytest.mark.parametrize("has_id", [True, False])
+def test_ties_of_the_order_are_parted_the_same_way_on_all_pages(spark, has_id):
+    """Rows of one title and no identifier, in tasks that hold them in another order: by id, or by what a page shows."""
+    k = F.col("id")
+    df = spark.range(3000).select(k, F.lit(2001).alias("year"), F.lit("t").alias("title"), F.concat(F.lit("A"), k % 2999).alias("authors"), F.lit(None).cast("string").alias("doi"))
+    df = df.repartition(7, F.hash("id")) if has_id else df.repartition(7, F.hash("id")).drop("id")
+    want = [f"A{i % 2999}" for i in range(3000)]
+    want = want if has_id else sorted(want)
+    for sort in ("year", "title"):
+        got = [r.authors for at in (0, 10, 20) for r in S.search(df, limit=10, offset=at, sort=sort)[0].collect()]
+        assert got == want[:30]
+        assert [r.authors for r in S.search_deep(df, limit=30, offset=1500, sort=sort, most=100).rows.collect()] == want[1500:1530]
+        assert S.search(df, limit=1)[0].columns == S.search_deep(df, limit=1).rows.columns == S.projected(df).columns
