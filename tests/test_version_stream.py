@@ -1,8 +1,10 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from bibliarium.operators import versions
+from bibliarium.streaming import versions as stream_versions
 from bibliarium.streaming.versions import to_log, versioned
 
 COLUMNS = ["title", "abstract"]
@@ -48,3 +50,15 @@ def test_tombstones_by_change_and_by_timer(spark, tmp_path):
     assert {x for x in seen if x[0] == "a" and x[1] is not None} == {("a", 0, "inserted", 1, True), ("a", 2, "deleted", 1, False), ("a", 3, "unchanged", 1, False), ("a", 4, "reactivated", 2, True)}
     assert ("a", None, "deleted", 2, False) in seen and ("b", None, "deleted", 1, False) in seen  # no change for an hour
     assert ("b", 7, "reactivated", 2, True) in seen and not any(x[0] == "c" and x[2] == "deleted" for x in seen)
+
+
+@pytest.mark.parametrize("most, packs", [(1 << 18, 1), (500, 2)])
+def test_a_keys_changes_reach_the_state_as_one_row(monkeypatch, most, packs):
+    """Whatever the order of the rows of a micro-batch, and however they are cut into Arrow batches; a null key is a key."""
+    monkeypatch.setattr(stream_versions, "PACKED", most)
+    rows = [(None if i % 5 == 0 else f"k{i % 5}", i, str(i)) for i in range(1000)]
+    random.Random(1).shuffle(rows)
+    batches = [pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows[a : a + 100]), (pa.string(), pa.int64(), pa.string()))], ["record_key", "pos", "v0"]) for a in range(0, 1000, 100)]
+    got = [r for b in stream_versions._pack(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == 5 * packs and all(r["pos"] == sorted(r["pos"]) and r["v0"] == [str(p) for p in r["pos"]] for r in got)
+    assert {p: r["record_key"] for r in got for p in r["pos"]} == {p: k for k, p, _ in rows}
