@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,12 +162,12 @@ def _contexts(counts: list[np.ndarray], lengths: np.ndarray, documents: int) ->
     return out
 
 
-def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mixture, tuple[int, int]]:
-    """A written table of pieces with the training counts of each token's n-grams, and of the deleted documents' tokens also those in deleted documents;
+def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> tuple[DataFrame, Mixture, tuple[int, int]]:
+    """A written table of pieces with the training counts of each token's n-grams (of 1 to `order` tokens), and of the deleted documents' tokens also those in deleted documents;
     a mixture without learned weights; and how many tokens and documents are deleted."""
     table = pieces(docs, _piece, PIECE_SCHEMA, "tokens", [*text_columns(id_col, text_col), held.alias("held"), off.alias("deleted")])
     n = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "deleted_tokens", "deleted_docs", "n_tokens"))).first()
-    many = max(8, math.ceil(12 * n[4] / BUCKET_BYTES))  # about six bytes for each bigram and trigram
+    many = max(8, math.ceil(6 * max(order - 1, 1) * n[4] / BUCKET_BYTES))  # about six bytes for each bigram and trigram, and for words less
 
     key = dealt(docs.sparkSession, many)
     none = pack_sorted(np.zeros(0, np.uint64)), pack(np.zeros(0, np.uint8))
@@ -206,10 +207,11 @@ def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id",
         found = asked.groupBy("deal").applyInArrow(answer, "piece bigint, bucket int, types bigint, " + ", ".join(f"{x} binary" for x in answered[3:]))
         return written(found, "answers")  # what was asked goes before more is asked, and before answers meet their pieces
 
-    words, longer = answers_for([0, 1]), answers_for([2])
+    asked = [answers_for(orders) for orders in ([*range(min(order, 2))], [*range(2, order)]) if orders]
+    words = asked[0]
     types = words.groupBy("bucket").agg(F.max("types").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    answers = words.unionByName(longer, allowMissingColumns=True)
-    made = ["ids", "has_id", "held", "deleted", "lengths", *(f"{x}{k}" for k in range(ORDER) for x in "cd")]
+    answers = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), asked)
+    made = ["ids", "has_id", "held", "deleted", "lengths", *(f"{x}{k}" for k in range(order) for x in "cd")]
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -217,14 +219,14 @@ def counted(docs: DataFrame, held: Column, off: Column, id_col: str = "doc_id",
         lengths = unpack(row["lengths"])
         gone = np.repeat(unpack(row["deleted"]), lengths)
         out = [row[k] for k in made[:5]]
-        for k, (_, place) in enumerate(_grams(unpack_sorted(row["hashes"]), unpack(row["tokens"]).astype(np.int64), lengths)):
+        for k, (_, place) in enumerate(_grams(unpack_sorted(row["hashes"]), unpack(row["tokens"]).astype(np.int64), lengths, order)):
             c, d = (np.concatenate([unpack(v) for v in right.column(f"{x}{k}").to_pylist() if v is not None]) for x in "cd")
             out += [pack(narrow(c[place])), pack(narrow(d[place[gone]]))]
         return pa.table([pa.array([x], pa.binary()) for x in out], made)
 
     body = table.select("piece", "ids", "has_id", "held", "deleted", "lengths", "hashes", "tokens")
     joined = written(body.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(gather, ", ".join(f"{x} binary" for x in made)), "counts")
-    free(table, words, longer)
+    free(table, *asked)
     return joined, Mixture(start_weights(), n[0], types, n[1]), (n[2], n[3])
 
 
@@ -272,19 +274,32 @@ def fit(joined: DataFrame, m: Mixture, without: tuple[int, int], rounds: int = 2
     return Mixture(weights, m.tokens, m.types, m.documents)
 
 
-def score(docs: DataFrame, held: Column | None = None, off: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10, the mixture)."""
-    joined, m, without = counted(docs, held_out(id_col) if held is None else held, deleted(id_col) if off is None else off, id_col, text_col)
-    m = fit(joined, m, without)
+def _scored(joined: DataFrame, m: Mixture, order: int) -> DataFrame:
+    """Sums over the tokens of each document; the mixture's only of counts of all orders."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"] + ["score"] * (order == ORDER)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                lengths, counts = unpack(row["lengths"]), _counts(row)
+                lengths, counts = unpack(row["lengths"]), [unpack(row[f"c{k}"]).astype(np.int64) for k in range(order)]
                 at = np.cumsum(lengths) - lengths
-                base = np.log10((counts[0] + 1) / (m.tokens + m.types + 1))
-                sums = [np.add.reduceat(x, at) for x in (base, m.log10(counts, _contexts(counts, lengths, m.documents)))]
+                logs = [np.log10((counts[0] + 1) / (m.tokens + m.types + 1))]
+                if order == ORDER:
+                    logs.append(m.log10(counts, _contexts(counts, lengths, m.documents)))
                 known = np.add.reduceat((counts[0] > 0).astype(np.int64), at)
-                yield pa.record_batch([pa.array(unpack(row["ids"]), mask=~unpack(row["has_id"])), pa.array(unpack(row["held"])), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(at), m.tokens)), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.record_batch([pa.array(unpack(row["ids"]), mask=~unpack(row["has_id"])), pa.array(unpack(row["held"])), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(at), m.tokens)), *(pa.array(np.add.reduceat(x, at)) for x in logs)], names)
+
+    types = ["bigint", "boolean", "bigint", "bigint", "bigint", "double", "double"]
+    return joined.select("ids", "has_id", "lengths", "held", *(f"c{k}" for k in range(order))).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
+
+
+def score(docs: DataFrame, held: Column | None = None, off: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10, the mixture)."""
+    joined, m, without = counted(docs, held_out(id_col) if held is None else held, deleted(id_col) if off is None else off, id_col, text_col)
+    return _scored(joined, fit(joined, m, without), ORDER)
+
 
-    return joined.select("ids", "has_id", "lengths", "held", *(f"c{k}" for k in range(ORDER))).mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+def base(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score()'s columns but the mixture's score: only words are counted, and no weights are learned."""
+    joined, m, _ = counted(docs, held_out(id_col) if held is None else held, F.lit(False), id_col, text_col, order=1)
+    return _scored(joined, m, 1)

@@ -109,3 +109,12 @@ def test_no_training_tokens_null_ids_empty(spark):
     rows = interpolation.score(frame(spark, [(None, "a b"), (1, None), (1, "a b")])).collect()
     assert sorted((x.doc_id or -1, x.n_tokens) for x in rows) == [(-1, 3), (1, 1), (1, 3)]
     assert interpolation.score(frame(spark, [])).count() == 0
+
+
+def test_base_is_the_scores_own_from_counts_of_words_alone(spark):
+    rows = [(r.doc_id, r.text[:500]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()] + [(5000 + i, t) for i, t in enumerate(NASTY)] + [(None, "a b"), (None, None)]
+    got = interpolation.base(frame(spark, rows))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, interpolation.score(frame(spark, rows)).drop("score").collect()))
+    joined, _, _ = interpolation.counted(frame(spark, rows), interpolation.held_out("doc_id"), interpolation.deleted("doc_id"), order=1)
+    assert not {"c1", "c2"} & set(joined.columns)
+    assert interpolation.base(frame(spark, [])).count() == 0
